@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import global_order
+from tickloom.llm.common import global_order, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _coders: dict = {}
@@ -140,4 +140,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, ca
     """Documents to packed sequences: a row a piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
     ids if asked for. Empty texts are one end id; an empty table gives no rows; null and repeated doc_ids are kept."""
     pieces = tokenize_pieces(docs, tokenizer, ranks, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    return place_pieces(pieces if keep_ids else pieces.drop("ids"), capacity)
+    return place_pieces(materialize(pieces if keep_ids else pieces.drop("ids")), capacity)  # ordering reads its input twice
