@@ -106,7 +106,7 @@ def minimax(sizes, shards):
 def normalised(line):
     import regex
 
-    return regex.sub(r"[^\p{L}0]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
+    return regex.sub(r"[^\p{L}]+", " ", line.lower()).strip(" ")
 
 
 def line_simhash(norm):
@@ -124,7 +124,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def fuzzy_lines(docs, min_chars=20, max_bits=2, similarity=0.8):
+def fuzzy_lines(docs, min_chars=20, max_bits=2, similarity=0.9):
     places = defaultdict(list)
     for d, t in sorted(docs, key=lambda x: x[0]):
         for i, line in enumerate((t or "").split("\n") if t is not None else []):

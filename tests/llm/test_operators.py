@@ -3,11 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tickloom.llm import linededup
 from tickloom.llm import queries as Q
 from tickloom.llm.common import with_row_id
 from tickloom.llm.components import connected_components
 from tickloom.llm.importance import importance_resample
-from tickloom.llm.linededup import dedup_lines, simhash
+from tickloom.llm.linededup import dedup_lines, grouped_simhash
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.packing import best_two_fit, pack_documents
 from tickloom.llm.pivots import top_products
@@ -201,8 +202,12 @@ def test_best_two_fit_replaces_the_smallest():
 
 def test_line_simhash(spark):
     lines = ["a b c", "one two three four five", " ".join(f"w{i % 7}" for i in range(63)), " ".join(f"w{i}" for i in range(64)), " ".join(f"w{i % 90}" for i in range(500))]
-    frame = spark.createDataFrame([(x,) for x in lines], "t string").select("t", simhash(F.split("t", " ")).alias("h"))
-    assert {r.t: r.h % (1 << 64) for r in frame.collect()} == {x: brute.line_simhash(x) for x in lines}
+    frame = spark.createDataFrame([(x,) for x in lines], "t string")
+    words = frame.select("t", F.split("t", " ").alias("words")).select("t", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
+    for size in (30_000, 50):
+        linededup.LANE_WORDS = size
+        assert {r.t: r.fp % (1 << 64) for r in grouped_simhash(words, ["t"]).collect()} == {x: brute.line_simhash(x) for x in lines}
+    linededup.LANE_WORDS = 30_000
 
 
 def test_fuzzy_lines(spark, odd):

@@ -15,37 +15,43 @@ BROADCAST_ROWS = 50_000
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, runs of digits as 0, all that is neither letter nor digit as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[^\p{L}0]+", " "))
+    """Lower-case letters; all between them, digits too, as one space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words: a bit is 1 if over half of the words' XXH64 have it.
+LANES, LANE_WORDS = 16, 30_000
 
-    All 64 counters are added at once, bit-sliced: plane i holds bit i of each. They start at 2**planes less the
-    majority, so that the top plane is 1 just where a majority was reached.
-    """
 
-    def of(planes: int) -> Column:
-        bias = F.lit(1 << planes).cast("long") - (F.floor(F.size(words) / 2) + 1)
-        start = F.struct(*[(-(F.shiftright(bias, i).bitwiseAND(F.lit(1).cast("long")))).cast("long").alias(f"c{i}") for i in range(planes)], F.lit(0).cast("long").alias(f"c{planes}"))
+def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and fp, a 64-bit SimHash: a bit is 1 if over half of the words' XXH64 have it.
 
-        def add(acc: Column, x: Column) -> Column:
-            out, carry = [], x
-            for i in range(planes + 1):
-                out.append(acc[f"c{i}"].bitwiseXOR(carry).alias(f"c{i}"))
-                carry = acc[f"c{i}"].bitwiseAND(carry)
-            return F.struct(*out)
+    words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so 16 sums
+    count all 64 bits, in generated code. They hold LANE_WORDS words; longer lines are summed in parts, and the parts'
+    counters, unpacked, once more.
+    """
+    hashed = words.select(*keys, "n", (F.col("pos") / LANE_WORDS).cast("int").alias("part"), F.xxhash64("w").alias("x"))
+    lane = lambda i: F.shiftrightunsigned("x", i).bitwiseAND(F.lit(0x0001_0001_0001_0001).cast("long"))
+    sums = hashed.groupBy(*keys, "part").agg(F.max("n").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
+    counts = {i + LANES * j: F.shiftright(f"s{i}", LANES * j).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(LANES) for j in range(4)}
 
-        return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), start, add, lambda acc: acc[f"c{planes}"])
+    def over_half(count: dict[int, Column]) -> Column:
+        fp = F.lit(0).cast("long")
+        for at, c in count.items():
+            fp = fp.bitwiseOR(F.when(c * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
+        return fp.alias("fp")
 
-    return F.when(F.size(words) < 64, of(6)).otherwise(of(24))
+    long = sums.filter(F.col("n") > LANE_WORDS).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(c).alias(f"c{at}") for at, c in counts.items()])
+    return sums.filter(F.col("n") <= LANE_WORDS).select(*keys, over_half(counts)).unionByName(long.select(*keys, over_half({at: F.col(f"c{at}") for at in counts})))
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line of at least min_chars normalised characters: where it stands, two hashes, SimHash."""
-    lines = docs.select("doc_id", ROW, F.posexplode(F.split("text", "\n")).alias("ln", "line")).select("doc_id", ROW, "ln", normalised(F.col("line")).alias("norm"))
-    return lines.filter(F.length("norm") >= min_chars).select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), simhash(F.split("norm", " ")).alias("fp"))
+    """A row for each line of at least min_chars normalised characters: where it stands, two hashes, SimHash. The one-element
+    explodes hold a line's form and words, which else would be computed anew wherever they are named."""
+    keys = ["doc_id", ROW, "ln", "h1", "h2"]
+    lines = docs.select("doc_id", ROW, F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    once = lines.select("doc_id", ROW, "ln", F.explode(F.array(normalised(F.col("line")))).alias("norm")).filter(F.length("norm") >= min_chars)
+    split = once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.explode(F.array(F.split("norm", " "))).alias("words"))
+    return grouped_simhash(split.select(*keys, F.size("words").alias("n"), F.posexplode("words").alias("pos", "w")), keys)
 
 
 def block_pairs(lines: DataFrame, max_bits: int, blocks: int) -> DataFrame:
@@ -79,10 +85,10 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     both = skew_join(skew_join(pairs.withColumn("lid", F.col("a")), texts.withColumnRenamed("norm", "na"), ["lid"]).withColumn("lid", F.col("b")), texts.withColumnRenamed("norm", "nb"), ["lid"])
     longest = F.greatest(F.length("na"), F.length("nb"))
     allowed = F.floor((1 - F.lit(similarity)) * longest + 1e-9)
-    return both.filter(F.levenshtein("na", "nb") <= allowed).select("a", "b")
+    return both.filter(F.call_function("levenshtein", "na", "nb", allowed.cast("int")) >= 0).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, max_bits: int = 2, blocks: int = 4, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, max_bits: int = 2, blocks: int = 4, similarity: float = 0.9) -> DataFrame:
     """docs with text less every line that an earlier one stands for, and n_lines_removed.
 
     docs: doc_id, text and any more columns. Lines are cut at line feeds. Two lines are linked if their normalised forms
