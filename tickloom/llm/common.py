@@ -61,9 +61,8 @@ def rekeyed(key: str) -> Column:
 def skew_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join many rows a key with at most one row a key (long keys); hot keys are split by AQE. Keeps many's key columns."""
     marks = [f"_k{i}" for i in range(len(keys))]
-    left = many.withColumns({m: rekeyed(k) for m, k in zip(marks, keys, strict=True)})
-    right = few.withColumns({m: rekeyed(k) for m, k in zip(marks, keys, strict=True)}).drop(*keys)
-    return left.join(right, marks, how).drop(*marks)
+    side = lambda df: df.withColumns({m: rekeyed(k) for m, k in zip(marks, keys, strict=True)}).drop(*keys)
+    return side(many).join(side(few), marks, how).withColumnsRenamed(dict(zip(marks, keys, strict=True)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

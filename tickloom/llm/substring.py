@@ -85,7 +85,7 @@ def window_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 row = w.row[begin]
                 yield pa.RecordBatch.from_arrays([part.column(ROW).take(pa.array(row)), pa.array((begin - w.first[row]).astype(np.int32)), _signed(anchor), _signed(mixed(w.second.of(begin, begin + window)))], names=[ROW, "begin", "anchor", "whole"])
 
-    return docs.select("text", ROW, "open").mapInArrow(run, f"{ROW} long, begin int, anchor long, whole long")
+    return docs.mapInArrow(run, f"{ROW} long, begin int, anchor long, whole long")
 
 
 def cut_repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -145,7 +145,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 12) -> DataF
     counts = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("whole_match"))
     met = skew_join(seeds.select(ROW, "at", "anchor"), counts, ["anchor"])
     lists = met.groupBy(ROW).agg(F.collect_list(F.when(F.col("whole_match"), F.col("at"))).alias("full"), F.collect_list(F.when(~F.col("whole_match"), F.col("at"))).alias("open"))
-    seeded = marked.join(lists, ROW, "left")
+    seeded = marked.join(lists, ROW, "left")  # both uses below take all columns: else their exchanges of texts would differ
     windows = window_rows(seeded.filter(F.size("open") > 0), window, gram)
     repeated = windows.groupBy("anchor", "whole").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "whole")
     begins = skew_join(windows, repeated, ["anchor", "whole"]).groupBy(ROW).agg(F.collect_list("begin").alias("repeated"))
