@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import ROW, materialize, packed, skew_join, unpacked, with_row_id
 from tickloom.llm.components import connected_components
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 500_000  # rows of three numbers each
 
 
 def normalised(line: Column) -> Column:
@@ -54,38 +54,66 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return grouped_simhash(split.select(*keys, F.size("words").alias("n"), F.posexplode("words").alias("pos", "w")), keys)
 
 
-def block_pairs(lines: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """Pairs (a, b) of line ids whose fp differ in at most max_bits bits.
-
-    Of `blocks` blocks, at least blocks - max_bits agree: lines meet under each such choice of blocks, and a pair is
-    given at the first choice that it agrees on. Copies are one line here, so a frequent line is met once.
-    """
+def choices_of(max_bits: int, blocks: int) -> list[int]:
+    """Masks, as signed longs, of each choice of blocks - max_bits of the blocks that 64 bits are cut into: values at most
+    max_bits apart agree in all bits of at least one."""
     width = 64 // blocks
-    choices = list(combinations(range(blocks), blocks - max_bits))
-    masks = [sum(((1 << (width if b < blocks - 1 else 64 - width * b)) - 1) << (width * b) for b in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    key = lambda i: F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed[i]).cast("long")).alias("bits"))
-    keyed = lines.select("lid", "fp", F.explode(F.array(*[key(i) for i in range(len(choices))])).alias("k")).select("lid", "fp", "k.*")
-    left, right = keyed.select(F.col("lid").alias("a"), F.col("fp").alias("fa"), "choice", "bits"), keyed.select(F.col("lid").alias("b"), F.col("fp").alias("fb"), F.col("choice").alias("choice_b"), F.col("bits").alias("bits_b"))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
-    agreed = F.lit(len(choices))
-    for i in reversed(range(len(choices))):
-        agreed = F.when(differ.bitwiseAND(F.lit(signed[i]).cast("long")) == 0, F.lit(i)).otherwise(agreed)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (agreed == F.col("choice"))
-    return left.join(right, (F.col("choice") == F.col("choice_b")) & (F.col("bits") == F.col("bits_b")) & near).select("a", "b")
+    block = [((1 << (width if b < blocks - 1 else 64 - width * b)) - 1) << (width * b) for b in range(blocks)]
+    masks = [sum(block[b] for b in c) for c in combinations(range(blocks), blocks - max_bits)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def crowded(lines: DataFrame, masks: list[int]) -> DataFrame:
+    """(lid, fp, choice, bits, head, head_fp) for each line and choice of blocks that it shares with another line; head is the
+    smallest line there. Copies are one line here, so a frequent line is met once."""
+    keyed = lines.select("lid", "fp", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])))
+    heads = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.min(F.struct("lid", "fp")).alias("h")).filter("n > 1")
+    return skew_join(keyed, heads.select("choice", "bits", F.col("h.lid").alias("head"), F.col("h.fp").alias("head_fp")), ["choice", "bits"])
+
+
+def apart_pairs(met: DataFrame, groups: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """Pairs (a, b) of lines that share a choice of blocks, differ in at most max_bits bits, and are not in one group yet; each
+    pair is given at the first choice that it agrees on. Where all lines of a choice are in one group, none are met."""
+    known = skew_join(met.select("lid", "fp", "choice", "bits"), groups.withColumnRenamed("node", "lid"), ["lid"], "left").withColumn("g", F.coalesce("component", "lid"))
+    known = materialize(known.drop("component"))
+    split = known.groupBy("choice", "bits").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("choice", "bits")
+    open_ = materialize(skew_join(known, split, ["choice", "bits"]))
+    left, right = (open_.withColumnsRenamed({c: f"{c}_{p}" for c in open_.columns}) for p in "ab")
+    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    agreed = F.lit(len(masks))
+    for i in reversed(range(len(masks))):
+        agreed = F.when(differ.bitwiseAND(F.lit(masks[i]).cast("long")) == 0, F.lit(i)).otherwise(agreed)
+    near = (F.col("lid_a") < F.col("lid_b")) & (F.col("g_a") != F.col("g_b")) & (F.bit_count(differ) <= max_bits) & (agreed == F.col("choice_a"))
+    return left.join(right, (F.col("choice_a") == F.col("choice_b")) & (F.col("bits_a") == F.col("bits_b")) & near).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose normalised lines have edit similarity 1 - distance / longer length of at least `similarity`. Texts are
-    fetched for the lines in pairs only; those few are broadcast if counted as few, else joined by shuffle."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(lines.select("lid", ROW, "ln"), "lid"))
+    fetched for the lines in pairs only; their places are broadcast if counted as few, else joined by shuffle."""
+    wanted = materialize(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct().join(lines.select("lid", ROW, "ln"), "lid"))
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(ROW, "text").join(F.broadcast(wanted) if few else wanted, ROW).select("lid", normalised(F.split("text", "\n")[F.col("ln")]).alias("norm"))
     texts = materialize(texts)
     both = skew_join(skew_join(pairs.withColumn("lid", F.col("a")), texts.withColumnRenamed("norm", "na"), ["lid"]).withColumn("lid", F.col("b")), texts.withColumnRenamed("norm", "nb"), ["lid"])
     longest = F.greatest(F.length("na"), F.length("nb"))
-    allowed = F.floor((1 - F.lit(similarity)) * longest + 1e-9)
-    return both.filter(F.call_function("levenshtein", "na", "nb", allowed.cast("int")) >= 0).select("a", "b")
+    allowed = F.floor((1 - F.lit(similarity)) * longest + 1e-9).cast("int")
+    within = lambda most: F.call_function("levenshtein", F.col("na"), F.col("nb"), most) >= 0
+    return both.filter(within(F.least(allowed, F.lit(8))) | within(allowed)).select("a", "b")  # a narrow band tells most
+
+
+def linked_lines(lines: DataFrame, docs: DataFrame, max_bits: int, blocks: int, similarity: float) -> DataFrame:
+    """(node, component) of lines that are linked, directly or by others.
+
+    Each line is first verified against the smallest line it meets. That joins most families at one comparison a line;
+    the pairs that are then still in different groups are compared too, so that no link is lost.
+    """
+    masks = choices_of(max_bits, blocks)
+    met = materialize(crowded(lines, masks))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= max_bits
+    first = materialize(met.filter((F.col("lid") != F.col("head")) & close).groupBy("lid").agg(F.min("head").alias("a")).select("a", F.col("lid").alias("b")))
+    edges = materialize(verified(first, lines, docs, similarity))
+    rest = materialize(apart_pairs(met, connected_components(edges, "a", "b"), masks, max_bits))
+    return connected_components(edges.unionByName(verified(rest, lines, docs, similarity)), "a", "b")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, max_bits: int = 2, blocks: int = 4, similarity: float = 0.9) -> DataFrame:
@@ -102,8 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, max_bits: int = 2, blocks:
     rows = materialize(line_rows(marked, min_chars))
     first = F.min(F.struct("doc_id", ROW, "ln")).alias("first")
     lines = materialize(rows.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.max("fp").alias("fp")).select("h1", "h2", "n", "fp", "first.*", F.monotonically_increasing_id().alias("lid")))
-    pairs = materialize(block_pairs(lines, max_bits, blocks))
-    groups = connected_components(verified(pairs, lines, marked, similarity), "a", "b")
+    groups = linked_lines(lines, marked, max_bits, blocks, similarity)
     linked = lines.join(groups.withColumnRenamed("node", "lid"), "lid", "inner").select("h1", "h2", "component", F.struct("doc_id", ROW, "ln").alias("first"))
     linked = materialize(linked)
     heads = linked.groupBy("component").agg(F.min("first").alias("first"))
