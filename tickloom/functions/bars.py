@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 BPS = 10_000.0
 CLASSES = ["down", "neutral", "up"]
-O, H, L, C = (F.col(f"bid_{x}") for x in ("open", "high", "low", "close"))  # noqa: E741
+
+def price(name: str) -> Column:
+    return F.col(f"bid_{name}")
 
 
 def shapes() -> dict[str, Column]:
+    O, H, L, C = (price(x) for x in ("open", "high", "low", "close"))  # noqa: E741, N806
     return {
         "candle_body_bps": BPS * (C - O) / O,
         "candle_range_bps": BPS * (H - L) / O,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.bars import BPS, C, H, L, clock, sessions, shapes
+from tickloom.functions.bars import BPS, clock, price, sessions, shapes
 from tickloom.operators.segments import OPEN, with_segments, within_segment
 from tickloom.schema import SERIES, seconds
 
@@ -16,11 +16,11 @@ def full(value: Column, counted: Column, size: int) -> Column:
 
 
 def log_return(w) -> Column:
-    return BPS * (F.log(C) - F.log(F.lag(C).over(w)))
+    return BPS * (F.log(price("close")) - F.log(F.lag(price("close")).over(w)))
 
 
 def momentum(size: int, w) -> Column:
-    return BPS * (F.log(C) - F.log(F.lag(C, size).over(w)))
+    return BPS * (F.log(price("close")) - F.log(F.lag(price("close"), size).over(w)))
 
 
 def realized_vol(ret: str, size: int, w) -> Column:
@@ -36,19 +36,19 @@ def previous(size: int, w):
 
 def sma_distance(size: int, w) -> Column:
     f = previous(size, w)
-    return full(BPS * (F.log(C) - F.log(F.avg(C).over(f))), F.count(C).over(f), size)
+    return full(BPS * (F.log(price("close")) - F.log(F.avg(price("close")).over(f))), F.count(price("close")).over(f), size)
 
 
 def price_zscore(size: int, w) -> Column:
     f = previous(size, w)
-    spread = F.stddev_pop(C).over(f)
-    return full((C - F.avg(C).over(f)) / F.when(spread > 1e-9, spread), F.count(C).over(f), size)
+    spread = F.stddev_pop(price("close")).over(f)
+    return full((price("close") - F.avg(price("close")).over(f)) / F.when(spread > 1e-9, spread), F.count(price("close")).over(f), size)
 
 
 def breakout(size: int, w) -> Column:
     f = previous(size, w)
-    low, high = F.min(L).over(f), F.max(H).over(f)
-    return full((C - low) / F.when(high > low, high - low), F.count(C).over(f), size)
+    low, high = F.min(price("low")).over(f), F.max(price("high")).over(f)
+    return full((price("close") - low) / F.when(high > low, high - low), F.count(price("close")).over(f), size)
 
 
 def mvp_features(bars: DataFrame, timeframe: str = "3min", lags: tuple[int, ...] = (1, 2, 3), momenta: tuple[int, ...] = (5, 20), vol: int = 20, averages: tuple[int, ...] = (5, 20)) -> DataFrame:

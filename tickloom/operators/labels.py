@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.bars import BPS, O, class_id, return_class
+from tickloom.functions.bars import BPS, class_id, price, return_class
 from tickloom.operators.segments import with_segments, within_segment
 from tickloom.schema import SERIES, later
 
@@ -16,13 +16,13 @@ def paths(minutes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """For each minute bar as an entry: for each horizon the exit open and what lies between. A run has no gap, so `H` rows
     ahead in a run is `H` minutes ahead; frames that reach past the run's end count too few rows and give null."""
     w = within_segment()
-    base = with_segments(minutes, 60).withColumn("_r", BPS * (F.log(O) - F.log(F.lag(O).over(w))))
+    base = with_segments(minutes, 60).withColumn("_r", BPS * (F.log(price("open")) - F.log(F.lag(price("open")).over(w))))
     out = {}
     for h in horizons:
         ahead, after = w.rowsBetween(0, h - 1), w.rowsBetween(1, h)
-        out[f"p{h}"] = F.struct(F.lead(O, h).over(w).alias("exit_open"), F.max("bid_high").over(ahead).alias("high"), F.min("bid_low").over(ahead).alias("low"), F.sum(F.col("_r") * F.col("_r")).over(after).alias("variance"))
+        out[f"p{h}"] = F.struct(F.lead(price("open"), h).over(w).alias("exit_open"), F.max("bid_high").over(ahead).alias("high"), F.min("bid_low").over(ahead).alias("low"), F.sum(F.col("_r") * F.col("_r")).over(after).alias("variance"))
     wide = base.withColumns(out)
-    return wide.select(*SERIES, F.col("timestamp_open_utc").alias("entry_time_utc"), O.alias("entry_bid_open"), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_minutes"), f"p{h}.*") for h in horizons])).alias("p")).select("*", "p.*").drop("p").filter("exit_open IS NOT NULL")
+    return wide.select(*SERIES, F.col("timestamp_open_utc").alias("entry_time_utc"), price("open").alias("entry_bid_open"), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_minutes"), f"p{h}.*") for h in horizons])).alias("p")).select("*", "p.*").drop("p").filter("exit_open IS NOT NULL")
 
 
 def build_labels(minutes: DataFrame, candidates: DataFrame, horizons: tuple[int, ...] = (15,), latency_minutes: int = 1, threshold_bps: float = 6.0, guard: str = "2025-01-01") -> DataFrame:

@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 from tickloom.functions.bars import CLASSES, likeliest
 
 EPS = 2.220446049250313e-16
-PS = [F.col(f"p_{c}") for c in CLASSES]
+
+
+def stated() -> list[Column]:
+    return [F.col(f"p_{c}") for c in CLASSES]
 
 
 def predicted() -> Column:
-    return likeliest(*PS)
+    return likeliest(*stated())
 
 
 def confidence() -> Column:
-    return F.greatest(*PS)
+    return F.greatest(*stated())
 
 
 def bad_probabilities() -> Column:
     """Not finite, out of [0, 1], or a row that doesn't sum to 1 within 1e-9."""
-    bad = F.abs(PS[0] + PS[1] + PS[2] - 1) > 1e-9
-    for p in PS:
+    down, neutral, up = stated()
+    bad = F.abs(down + neutral + up - 1) > 1e-9
+    for p in (down, neutral, up):
         bad = bad | F.isnan(p) | (p < 0) | (p > 1)
     return F.coalesce(bad, F.lit(True))
 
@@ -40,8 +44,9 @@ def classification_metrics(rows: DataFrame, by: list[Column | str] = (), true: s
     """n, accuracy, balanced accuracy (over classes that are there), macro F1 (over all three, 0 where undefined), log loss
     (clipped at double precision) and Brier score (0 to 2), by group."""
     y, p = F.col("_y"), F.col("_p")
-    prob = F.when(y == "down", PS[0]).when(y == "neutral", PS[1]).otherwise(PS[2])
-    brier = sum([(q - (y == c).cast("double")) * (q - (y == c).cast("double")) for q, c in zip(PS, CLASSES, strict=True)], F.lit(0.0))
+    down, neutral, up = stated()
+    prob = F.when(y == "down", down).when(y == "neutral", neutral).otherwise(up)
+    brier = sum([(q - (y == c).cast("double")) * (q - (y == c).cast("double")) for q, c in zip(stated(), CLASSES, strict=True)], F.lit(0.0))
     marked = rows.withColumns({"_y": F.col(true), "_p": predicted()})
     sums = [F.count("*").alias("n"), F.avg((y == p).cast("double")).alias("accuracy"), F.avg(-F.log(F.least(F.greatest(prob, F.lit(EPS)), F.lit(1 - EPS)))).alias("log_loss"), F.avg(brier).alias("brier")]
     sums += [x for c in CLASSES for x in (F.count_if((y == c) & (p == c)).alias(f"_hit_{c}"), F.count_if(y == c).alias(f"_true_{c}"), F.count_if(p == c).alias(f"_said_{c}"))]

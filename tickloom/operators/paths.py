@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.bars import BPS, C, clipped, path_parts, rebuilt_bar, shapes
+from tickloom.functions.bars import BPS, clipped, path_parts, price, rebuilt_bar, shapes
 from tickloom.operators.segments import with_segments, within_segment
 from tickloom.schema import SERIES, later, seconds
 
@@ -18,7 +18,7 @@ def sequences(bars: DataFrame, timeframe: str, length: int) -> DataFrame:
     """For every bar the last `length` bars' return and five shapes as an array, with seq_ok: whether all are there, in one run,
     each with a return. A bar's array ends with itself."""
     w = within_segment()
-    base = with_segments(bars, seconds(timeframe)).withColumn("_r", BPS * (F.log(C) - F.log(F.lag(C).over(w))))
+    base = with_segments(bars, seconds(timeframe)).withColumn("_r", BPS * (F.log(price("close")) - F.log(F.lag(price("close")).over(w))))
     one = F.struct(F.col("_r").alias("log_return_bps"), *[v.alias(k) for k, v in shapes().items()])
     frame = w.rowsBetween(1 - length, 0)
     out = base.withColumn("_one", one).select(*SERIES, F.col("timestamp_close_utc").alias("available_at_utc"), F.collect_list("_one").over(frame).alias("sequence"), (F.count("_r").over(frame) == length).alias("seq_ok"))
@@ -41,12 +41,12 @@ def future_paths(bars: DataFrame, timeframe: str = "3min", steps: int = STEPS) -
         base = base.withColumn(f"_b{k}", F.lead(F.struct("bid_open", "bid_high", "bid_low", "bid_close"), k).over(w))
     ahead = base.filter(F.col(f"_b{steps}").isNotNull())
     at = lambda k: [F.col(f"_b{k}.bid_{x}") for x in ("open", "high", "low", "close")]
-    parts, previous = [], C
+    parts, previous = [], price("close")
     for k in range(1, steps + 1):
         parts += [v.alias(f"path_{k}_{p}") for p, v in zip(PARTS, path_parts(previous, *at(k)), strict=True)]
         previous = at(k)[3]
     whole = [at(1)[0].alias("agg_open"), F.greatest(*[at(k)[1] for k in range(1, steps + 1)]).alias("agg_high"), F.least(*[at(k)[2] for k in range(1, steps + 1)]).alias("agg_low"), at(steps)[3].alias("agg_close")]
-    return ahead.select(*SERIES, F.col("timestamp_close_utc").alias("prediction_time_utc"), later(F.col("timestamp_close_utc"), steps * seconds(timeframe) // 60).alias("path_end_utc"), C.alias("anchor_close"), *parts, *whole)
+    return ahead.select(*SERIES, F.col("timestamp_close_utc").alias("prediction_time_utc"), later(F.col("timestamp_close_utc"), steps * seconds(timeframe) // 60).alias("path_end_utc"), price("close").alias("anchor_close"), *parts, *whole)
 
 
 def rebuilt(paths: DataFrame, steps: int = STEPS, clip: float = 5000.0, prefix: str = "path") -> DataFrame:

@@ -20,13 +20,7 @@ CTES = {
     "feat": """SELECT instrument, pt, fw, r, r1, r2, r3, 1e4 * (c - o) / o AS body, 1e4 * (h - l) / o AS rng, 1e4 * (h - greatest(o, c)) / o AS upw, 1e4 * (least(o, c) - l) / o AS low,
         CASE WHEN h = l THEN 0.5 ELSE (c - l) / (h - l) END AS cp, m5, m20, rv20, sma5, sma20, 2 * pi() * (hour(pt) + minute(pt) / 60.0::DOUBLE) / 24 AS ha, 2 * pi() * (isodow(pt) - 1) / 7 AS wa
         FROM f3 WHERE fw IS NOT NULL AND r3 IS NOT NULL AND m20 IS NOT NULL AND rv20 IS NOT NULL AND sma20 IS NOT NULL""",
-    "p": """SELECT cand.instrument, cand.pt, e.t AS et, x.t AS le, e.o AS eo, x.o AS xo, e.pos, e.g, hz.H AS H FROM cand CROSS JOIN (SELECT unnest([3, 6, 9, 12, 15, 30, 60, 180]) AS H) hz
-        JOIN s1 e ON e.instrument = cand.instrument AND e.t = cand.pt + INTERVAL 1 MINUTE JOIN s1 x ON x.instrument = e.instrument AND x.g = e.g AND x.pos = e.pos + hz.H""",
     "q1": "SELECT *, 1e4 * (ln(o) - ln(lag(o) OVER (PARTITION BY instrument, g ORDER BY t))) AS r FROM s1",
-    "lab": """SELECT *, 1e4 * (ln(xo) - ln(eo)) AS fr, 1e4 * (xo / eo - 1) AS ar, 1e4 * (hi - lo) / eo AS frng, sqrt(v) AS fvol,
-        CASE WHEN 1e4 * (ln(xo) - ln(eo)) < -6 THEN 'down' WHEN 1e4 * (ln(xo) - ln(eo)) > 6 THEN 'up' ELSE 'neutral' END AS cls FROM
-        (SELECT p.instrument, p.pt, p.et, p.le, p.eo, p.xo, p.H, max(CASE WHEN q1.pos < p.pos + p.H THEN q1.h END) AS hi, min(CASE WHEN q1.pos < p.pos + p.H THEN q1.l END) AS lo, sum(CASE WHEN q1.pos > p.pos THEN q1.r * q1.r END) AS v
-         FROM p JOIN q1 ON q1.instrument = p.instrument AND q1.g = p.g AND q1.pos BETWEEN p.pos AND p.pos + p.H GROUP BY ALL)""",
     "l15": """SELECT *, 1e4 * (ln(xo) - ln(eo)) AS fr, 1e4 * (xo / eo - 1) AS ar, 1e4 * (hi - lo) / eo AS frng, sqrt(v) AS fvol,
         CASE WHEN 1e4 * (ln(xo) - ln(eo)) < -6 THEN 'down' WHEN 1e4 * (ln(xo) - ln(eo)) > 6 THEN 'up' ELSE 'neutral' END AS cls FROM
         (SELECT cand.instrument, cand.pt, e.t AS et, e.t + INTERVAL 15 MINUTE AS le, e.o AS eo, e.xo, e.hi, e.lo, e.v FROM cand JOIN
@@ -148,7 +142,11 @@ ORACLE_SQL["features_wide"] = sql(FEAT + " b5 sb5 x5 b15 sb15 x15 sf rg", f"""SE
 
 LAB = "a c1 s1 b3 cand q1 l15"
 ORACLE_SQL["label_h15"] = sql(LAB, f"SELECT instrument, pt AS prediction_time_utc, et AS entry_time_utc, le AS label_end_time_utc, CAST(15 AS INT) AS horizon_minutes, {r('eo', 'entry_bid_open')}, {r('xo', 'exit_bid_open')}, {r('fr', 'future_return_bps')}, {r('ar', 'arithmetic_return_bps')}, {r('frng', 'future_range_bps')}, {r('fvol', 'future_realized_vol_bps')}, cls AS target_class, CAST(CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS INT) AS target_class_id FROM l15")
-ORACLE_SQL["label_all_horizons"] = sql("a c1 s1 b3 cand p q1 lab", f"SELECT instrument, CAST(H AS INT) AS horizon_minutes, cls AS target_class, count(*) AS n, {r('sum(fr)', 'sum_return')}, {r('sum(frng)', 'sum_range')}, {r('sum(fvol)', 'sum_vol')} FROM lab GROUP BY ALL")
+FUTURE = {"lab": """SELECT *, 1e4 * (ln(xo) - ln(o)) AS fr, 1e4 * (hi - lo) / o AS frng, sqrt(v) AS fvol, CASE WHEN 1e4 * (ln(xo) - ln(o)) < -6 THEN 'down' WHEN 1e4 * (ln(xo) - ln(o)) > 6 THEN 'up' ELSE 'neutral' END AS cls FROM (""" + " UNION ALL ".join(
+    f"SELECT instrument, t, o, {n} AS H, lead(o, {n}) OVER w AS xo, max(h) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS hi, min(l) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS lo, sum(r * r) OVER (w ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS v FROM q1 WINDOW w AS (PARTITION BY instrument, g ORDER BY t)"
+    for n in (3, 6, 9, 12, 15, 30, 60, 180)
+) + ") e SEMI JOIN cand ON cand.instrument = e.instrument AND e.t = cand.pt + INTERVAL 1 MINUTE WHERE xo IS NOT NULL"}
+ORACLE_SQL["label_all_horizons"] = sql("a c1 s1 b3 cand q1 lab", f"SELECT instrument, CAST(H AS INT) AS horizon_minutes, cls AS target_class, count(*) AS n, {r('sum(fr)', 'sum_return')}, {r('sum(frng)', 'sum_range')}, {r('sum(fvol)', 'sum_vol')} FROM lab GROUP BY ALL", FUTURE)
 ORACLE_SQL["label_exact_join"] = sql(LAB, f"SELECT instrument, pt AS prediction_time_utc, et AS entry_time_utc, le AS label_end_time_utc, {r('eo', 'entry_bid_open')}, {r('xo', 'exit_bid_open')} FROM l15")
 SID = "instrument || '|clock|' || strftime(pt, '%Y%m%dT%H%M%S.%f') || 'Z'"
 ORACLE_SQL["sample_ids"] = sql(LAB, f"SELECT {SID} AS sample_id, sha256(instrument || '|clock|' || strftime(pt, '%Y-%m-%dT%H:%M:%S') || '+00:00|15') AS sample_hash, CAST(CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS INT) AS target_class_id FROM l15")
