@@ -264,10 +264,51 @@ def test_row_ids_tell_repeats_apart(spark, odd):
     assert with_row_id(odd).select("_row").distinct().count() == odd.count()
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
+def brute_quality(docs, labels):
+    """The quality stage the plain way: counts in dictionaries, all keys sorted."""
+    import pyarrow as pa
+    import xxhash
+
+    from tickloom.llm.importance import best_threshold, features
+
+    buckets, state = 16_384, dict(labels)
+    grams = {d: features(pa.RecordBatch.from_pydict({"text": [t]}), buckets)[1].tolist() for d, t in docs}
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for d, g in grams.items():
+        np.add.at(raw, g, 1)
+        if state.get(d) == (1, 0):
+            np.add.at(target, g, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = {d: ratio[g].sum() / max(len(g), 1) ** 0.5 for d, g in grams.items()}
+    known = [d for d in sorted(score) if d in state]
+    threshold = best_threshold(np.array([score[d] for d in known]), np.array([state[d] == (1, 0) for d in known]), np.array([state[d][0] == 0 for d in known]), 3.0)
+
+    def key(d):
+        h = xxhash.xxh64_intdigest(int(42).to_bytes(4, "little"), xxhash.xxh64_intdigest(int(d).to_bytes(8, "little"), 42))
+        return score[d] / 0.02 - np.log(-np.log(((h >> 11) + 0.5) / (1 << 53)))
+
+    k = sum(v >= threshold for v in score.values())
+    return set(sorted(score, key=lambda d: (-key(d), d))[:k])
+
+
+def test_pipeline_stages_match_brute_force(spark, sf_dir):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
 
-    packed = corpus_pipeline.run(spark, sf_dir)
-    rows = packed.collect()
-    check_sequences(rows, 1024)
-    assert 50 < len({r.doc_id for r in rows}) <= 200
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "mix", "pack"]
+    held = {"documents": docs}
+    for name, stage in P.STAGES:
+        docs = P.materialize(stage(spark, docs, sf_dir))
+        held[name] = docs
+    rows = {n: [tuple(r) for r in d.select("doc_id", "text").collect()] for n, d in held.items() if n != "pack"}
+    assert all(held[n].columns == P.COLUMNS for n in rows)
+    labels = [(r.doc_id, (r.quality, r.toxic)) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    assert {d for d, _ in rows["quality"]} == brute_quality(rows["documents"], labels)
+    assert set(rows["line_dedup"]) == brute.fuzzy_lines(rows["quality"])
+    assert {d for d, _ in rows["near_dedup"]} == {c for _, _, c in brute.simhash_components(rows["line_dedup"], 5, 3)}
+    assert set(rows["mix"]) <= set(rows["near_dedup"]) and len(rows["mix"]) > 0.5 * len(rows["near_dedup"])
+    packed = held["pack"].collect()
+    coder = Tokenizer.from_file(Q.tokenizer_files()[0])
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == brute.pieces(rows["mix"], lambda t: coder.encode(t, add_special_tokens=False).ids)
+    check_sequences(packed, 1024)
