@@ -204,10 +204,10 @@ def test_line_simhash(spark):
     lines = ["a b c", "one two three four five", " ".join(f"w{i % 7}" for i in range(63)), " ".join(f"w{i}" for i in range(64)), " ".join(f"w{i % 90}" for i in range(500))]
     frame = spark.createDataFrame([(x,) for x in lines], "t string")
     words = frame.select("t", F.split("t", " ").alias("words")).select("t", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
-    for size in (30_000, 50):
+    for size in (16_000, 50):
         linededup.LANE_WORDS = size
         assert {r.t: r.fp % (1 << 64) for r in grouped_simhash(words, ["t"]).collect()} == {x: brute.line_simhash(x) for x in lines}
-    linededup.LANE_WORDS = 30_000
+    linededup.LANE_WORDS = 16_000
 
 
 def test_fuzzy_lines(spark, odd):

@@ -19,29 +19,33 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
-LANES, LANE_WORDS = 16, 30_000
+LANES, LANE_WORDS = 16, 16_000
+EACH = 0x0001_0001_0001_0001
 
 
 def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys and fp, a 64-bit SimHash: a bit is 1 if over half of the words' XXH64 have it.
 
     words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so 16 sums
-    count all 64 bits, in generated code. They hold LANE_WORDS words; longer lines are summed in parts, and the parts'
-    counters, unpacked, once more.
+    count all 64 bits. With 2**14 less the majority added to each lane, bit 14 tells where a majority was reached; lanes
+    hold LANE_WORDS words for that. Longer lines are summed in parts, and the parts' counters, unpacked, once more.
     """
+    long_ = lambda x: F.lit(x).cast("long")
     hashed = words.select(*keys, "n", (F.col("pos") / LANE_WORDS).cast("int").alias("part"), F.xxhash64("w").alias("x"))
-    lane = lambda i: F.shiftrightunsigned("x", i).bitwiseAND(F.lit(0x0001_0001_0001_0001).cast("long"))
+    lane = lambda i: F.shiftrightunsigned("x", i).bitwiseAND(long_(EACH))
     sums = hashed.groupBy(*keys, "part").agg(F.max("n").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
-    counts = {i + LANES * j: F.shiftright(f"s{i}", LANES * j).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(LANES) for j in range(4)}
-
-    def over_half(count: dict[int, Column]) -> Column:
-        fp = F.lit(0).cast("long")
-        for at, c in count.items():
-            fp = fp.bitwiseOR(F.when(c * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
-        return fp.alias("fp")
-
+    bias = (long_(1 << 14) - (F.floor(F.col("n") / 2) + 1)) * long_(EACH)
+    fp = long_(0)
+    for i in range(LANES):
+        reached = F.shiftrightunsigned((F.col(f"s{i}") + F.col("bias")).bitwiseAND(long_(EACH << 14)), 14)
+        fp = fp.bitwiseOR(F.shiftleft(reached, i))
+    short = sums.filter(F.col("n") <= LANE_WORDS).withColumn("bias", bias).select(*keys, fp.alias("fp"))
+    counts = {i + LANES * j: F.shiftright(f"s{i}", LANES * j).bitwiseAND(long_(0xFFFF)) for i in range(LANES) for j in range(4)}
     long = sums.filter(F.col("n") > LANE_WORDS).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(c).alias(f"c{at}") for at, c in counts.items()])
-    return sums.filter(F.col("n") <= LANE_WORDS).select(*keys, over_half(counts)).unionByName(long.select(*keys, over_half({at: F.col(f"c{at}") for at in counts})))
+    whole = long_(0)
+    for at in counts:
+        whole = whole.bitwiseOR(F.when(F.col(f"c{at}") * 2 > F.col("n"), F.shiftleft(long_(1), at)).otherwise(long_(0)))
+    return short.unionByName(long.select(*keys, whole.alias("fp")))
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -67,8 +71,8 @@ def crowded(lines: DataFrame, masks: list[int]) -> DataFrame:
     """(lid, fp, choice, bits, head, head_fp) for each line and choice of blocks that it shares with another line; head is the
     smallest line there. Copies are one line here, so a frequent line is met once."""
     keyed = lines.select("lid", "fp", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])))
-    heads = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.min(F.struct("lid", "fp")).alias("h")).filter("n > 1")
-    return skew_join(keyed, heads.select("choice", "bits", F.col("h.lid").alias("head"), F.col("h.fp").alias("head_fp")), ["choice", "bits"])
+    heads = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.min("lid").alias("head"), F.min_by("fp", "lid").alias("head_fp")).filter("n > 1").drop("n")
+    return skew_join(keyed, heads.hint("shuffle_hash"), ["choice", "bits"])
 
 
 def apart_pairs(met: DataFrame, groups: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
