@@ -445,12 +445,15 @@ def max_drawdown(spark, d):
 
 @query
 def policy_select(spark, d):
-    rows = predictions(spark, d)
-    parts = []
-    for i, p in enumerate((backtest.Policy(0.4, -9.0), backtest.Policy(0.5, -3.0), backtest.Policy(0.6, -3.0))):
-        done = backtest.run_backtest(rows, backtest.Costs(0.0, 0.0), p).filter("decision_status = 'executed'")
-        parts.append(done.groupBy(F.lit(i).alias("policy"), F.to_date("prediction_time_utc").alias("fold")).agg(F.count("*").alias("n_trades"), F.sum("net_return_bps").alias("net_bps")))
-    return backtest.select_policy(parts[0].unionByName(parts[1]).unionByName(parts[2]), 3)
+    rows, costs = predictions(spark, d), backtest.Costs(0.0, 0.0)
+    policies = (backtest.Policy(0.4, -9.0), backtest.Policy(0.5, -3.0), backtest.Policy(0.6, -3.0))
+    for i, p in enumerate(policies):
+        rows = backtest.with_decisions(rows, costs, p).withColumnRenamed("decision_status", f"_s{i}")
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("policy"), F.col(f"_s{i}").alias("decision_status")) for i in range(len(policies))]))
+    long = rows.select("*", each).withColumn("instrument", F.concat_ws("#", "instrument", "policy"))  # one run of trades a policy
+    done = backtest.with_pnl(backtest.without_overlap(long), costs).filter("decision_status = 'executed'")
+    results = done.groupBy("policy", F.to_date("prediction_time_utc").alias("fold")).agg(F.count("*").alias("n_trades"), F.sum("net_return_bps").alias("net_bps"))
+    return backtest.select_policy(results, 3)
 
 
 WEEK = [(wd, 0, 1320) for wd in range(5)]
@@ -584,3 +587,32 @@ def session_windows(spark, d):
     return bars.groupBy("instrument", F.session_window("timestamp_open_utc", "60 seconds")).agg(F.count("*").alias("n")).select("instrument", F.col("session_window.start").alias("start_utc"), F.col("session_window.end").alias("end_utc"), "n")
 
 
+
+
+def _model_sides(spark, d):
+    """Rows before and from the middle of the series, with features scaled by the first alone."""
+    from tickloom.operators import models
+
+    rows = predictions(spark, d).drop("p_down", "p_neutral", "p_up", "expected_return_bps")
+    middle = rows.agg(F.percentile(F.unix_seconds("prediction_time_utc"), 0.5)).first()[0]
+    early = F.unix_seconds("prediction_time_utc") < int(middle)
+    train = rows.filter(early & (F.unix_seconds("label_end_time_utc") < int(middle)))
+    return models.prepare(train, train, features.FEATURES), models.prepare(train, rows.filter(~early), features.FEATURES)
+
+
+@query
+def model_logistic(spark, d):
+    """A fitted model's metrics on later rows; no twin in SQL."""
+    from tickloom.operators import models
+
+    train, test = _model_sides(spark, d)
+    return metrics.classification_metrics(models.score_classes(models.fit_logistic(train, features.FEATURES), test), ["instrument"])
+
+
+@query
+def model_ridge(spark, d):
+    from tickloom.operators import models
+
+    train, test = _model_sides(spark, d)
+    model, sigma = models.fit_ridge(train, features.FEATURES)
+    return metrics.classification_metrics(models.score_ridge(model, sigma, test), ["instrument"])

@@ -245,3 +245,19 @@ ORACLE_SQL["ids_symmetric_difference"] = sql(PRED, "SELECT 'b' AS only_in, count
 ORACLE_SQL["ordered_digest"] = sql(PRED, f"SELECT instrument, CAST(pt AS DATE) AS day, count(*) AS n, sha256(string_agg({SID}, chr(10) ORDER BY pt) || chr(10)) AS digest FROM pred GROUP BY ALL")
 ORACLE_SQL["topk_latest_row"] = sql(PRED, f"SELECT instrument, pt AS prediction_time_utc, {r('m5', 'momentum_5_bps')}, cls AS target_class FROM pred ORDER BY pt DESC, instrument LIMIT 3")
 ORACLE_SQL["candidate_ranking"] = sql(PRED, f"SELECT instrument, day, CAST(place AS INT) AS place, {r('f', 'macro_f1')} FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY round(f, 6) DESC, round(ll, 6), day) AS place FROM (SELECT instrument, CAST(pt AS DATE) AS day, {F1} AS f, {LL} AS ll FROM pred GROUP BY ALL)) WHERE place <= 2")
+
+
+def numbered(i: int, confidence: float, edge: float) -> dict[str, str]:
+    """Trades without costs of one policy, under names of their own."""
+    s = signals(0.0, confidence, edge)
+    return {f"sig{i}": s["sig"], f"nxt{i}": s["nxt"].replace("sig", f"sig{i}"), f"chain{i}": s["chain"].replace("nxt", f"nxt{i}").replace("FROM chain", f"FROM chain{i}")}
+
+
+POLICIES = [numbered(i, c, e) for i, (c, e) in enumerate(((0.4, -9.0), (0.5, -3.0), (0.6, -3.0)))]
+ORACLE_SQL["policy_select"] = sql(
+    f"{PRED} dec " + " ".join(f"sig{i} nxt{i} chain{i}" for i in range(3)),
+    "SELECT CAST(policy AS INT) AS policy, least_trades, round(m, 4) + 0.0 AS mean_net_bps FROM (SELECT policy, min(n) AS least_trades, avg(net) AS m FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS policy, CAST(pt AS DATE) AS fold, count(*) AS n, sum(sgn * (xo - eo) / eo * 10000) AS net FROM dec JOIN chain{i} USING (instrument, pt) GROUP BY fold" for i in range(3))
+    + ") GROUP BY policy) WHERE least_trades >= 3 AND m > 0 ORDER BY m DESC, policy LIMIT 1",
+    {k: v for p in POLICIES for k, v in p.items()},
+).replace("WITH ", "WITH RECURSIVE ", 1)
