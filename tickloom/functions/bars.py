@@ -38,13 +38,14 @@ def clock(ts: Column) -> dict[str, Column]:
 def sessions(ts: Column) -> dict[str, Column]:
     """Month and minute as angles, and flags of overlapping trading sessions by UTC hour."""
     hour = F.hour(ts)
+    # fixed values: UTC hours of the sessions
     spans = {"asia": (0, 8), "europe": (7, 16), "us": (13, 22), "overlap": (13, 16)}
     flags = {f"session_{k}": ((hour >= a) & (hour < b)).cast("double") for k, (a, b) in spans.items()}
     return cyclic("month", (F.month(ts) - 1).cast("double"), 12) | cyclic("minute", F.minute(ts).cast("double"), 60) | flags
 
 
 def session_bucket(ts: Column) -> Column:
-    """Disjoint buckets by UTC hour, for trades."""
+    """Disjoint buckets by UTC hour, for trades; their bounds and names are fixed values."""
     hour = F.hour(ts)
     return F.when(hour < 7, "00-07_UTC").when(hour < 13, "07-13_UTC").when(hour < 21, "13-21_UTC").otherwise("21-24_UTC")
 
@@ -64,6 +65,7 @@ def likeliest(down: Column, neutral: Column, up: Column) -> Column:
 
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function from elementary functions, to about 1.5e-7."""
+    # fixed values: the coefficients of the rational approximation of the error function
     t = 1 / (1 + 0.3275911 * F.abs(x) / math.sqrt(2))
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     half = 0.5 * poly * F.exp(-x * x / 2)

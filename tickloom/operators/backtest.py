@@ -36,7 +36,7 @@ def with_decisions(rows: DataFrame, costs: Costs, policy: Policy) -> DataFrame:
     """predicted_class, side_sign, confidence, expected edge, and the first reason not to trade, else signal."""
     out = rows.withColumn("predicted_class", predicted()).withColumns({"side_sign": direction(), "confidence": confidence()})
     edge = F.col("side_sign") * F.col("expected_return_bps")
-    reason = (
+    reason = (  # fixed values: the names of the reasons
         F.when(F.col("predicted_class") == "neutral", "no_signal_neutral")
         .when(F.col("confidence") < policy.min_confidence, "no_signal_low_confidence")
         .when(edge <= 0, "no_signal_incompatible_expected_return")
