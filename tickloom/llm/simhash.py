@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import chunks, materialize, skew_join, with_row_id
+from tickloom.llm.common import ROW, chunks, materialize, skew_join, with_row_id
 from tickloom.llm.components import connected_components
 
 SEED = 42
@@ -137,16 +137,17 @@ def _positions(depth: int, budget: int) -> list[tuple[int, ...]]:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """doc_id, row id, fingerprint fp and component_id, the smallest doc_id that links at `budget` bits or fewer reach.
+    """doc_id, row id, fingerprint fp, component_id, the smallest doc_id that links at `budget` bits or fewer reach, and keeper,
+    the row id of the one document of the group that a deduplication keeps: that doc_id's, the first scanned if repeated.
 
     docs: doc_id, text; others aren't used. Every row gets a result. Equal fingerprints are one point, so a group of
     copies of any size is one point too; only (row, doc_id, fp) is shuffled. Texts without words have fingerprint 0
     and link to one another. Null doc_ids count as larger than any; an empty table gives no rows.
     """
     marked = materialize(fingerprints(with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), words))
-    points = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")))
     joined = connected_components(trie_links(points.select("fp"), budget), "a", "b")
     classes = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = skew_join(classes.select("fp", "component"), smallest, ["component"]).select("fp", "component_id")
+    smallest = classes.groupBy("component").agg(F.min("least").alias("least"))
+    named = skew_join(classes.select("fp", "component"), smallest, ["component"]).select("fp", F.col("least.doc_id").alias("component_id"), F.col(f"least.{ROW}").alias("keeper"))
     return skew_join(marked, materialize(named), ["fp"], "left")
