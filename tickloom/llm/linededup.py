@@ -105,18 +105,30 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     return both.filter(within(F.least(allowed, F.lit(8))) | within(allowed)).select("a", "b")  # a narrow band tells most
 
 
-def linked_lines(lines: DataFrame, docs: DataFrame, max_bits: int, blocks: int, similarity: float) -> DataFrame:
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of each line the one with the smallest other line: a pair a line at most."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    least = ends.groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("y"))
+    return least.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked_lines(lines: DataFrame, docs: DataFrame, max_bits: int, blocks: int, similarity: float, rounds: int = 1) -> DataFrame:
     """(node, component) of lines that are linked, directly or by others.
 
-    Each line is first verified against the smallest line it meets. That joins most families at one comparison a line;
-    the pairs that are then still in different groups are compared too, so that no link is lost.
+    Each line is first verified against the smallest line it meets. That joins most families at one comparison a line.
+    In the rounds after it, each line is verified against one line of another group that it is close to, so groups grow
+    together at a comparison a line. The pairs that are still in different groups are compared all, so no link is lost.
     """
     masks = choices_of(max_bits, blocks)
     met = materialize(crowded(lines, masks))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= max_bits
     first = materialize(met.filter((F.col("lid") != F.col("head")) & close).groupBy("lid").agg(F.min("head").alias("a")).select("a", F.col("lid").alias("b")))
     edges = materialize(verified(first, lines, docs, similarity))
-    rest = materialize(apart_pairs(met, connected_components(edges, "a", "b"), masks, max_bits))
+    for _ in range(rounds):
+        some = materialize(closest(apart_pairs(met, connected_components(edges, "a", "b"), masks, max_bits)))
+        edges = materialize(edges.unionByName(verified(some, lines, docs, similarity)))
+    groups = connected_components(edges, "a", "b")
+    rest = materialize(apart_pairs(met, groups, masks, max_bits))
     return connected_components(edges.unionByName(verified(rest, lines, docs, similarity)), "a", "b")
 
 
