@@ -88,6 +88,8 @@ def test_simhash_matches_brute_force(spark, sf_dir):
 def test_simhash_dense_and_edges(spark, odd):
     rows = [(i, " ".join(f"w{j}" if j != i % 50 else "changed" for j in range(300))) for i in range(120)]
     assert {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), budget=3).collect()} == {(d, c) for d, _, c in brute.simhash_components(rows, budget=3)}
+    for budget, turns in ((7, 4), (5, 3), (2, 2)):
+        assert {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), budget=budget, turns=turns).collect()} == {(d, c) for d, _, c in brute.simhash_components(rows, budget=budget)}
     got = near_duplicates(odd).select("doc_id", "component_id").collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in got if r.doc_id in (5, 7)} == {5}
     assert not near_duplicates(odd.limit(0)).count()
@@ -310,7 +312,7 @@ def test_pipeline_stages_match_brute_force(spark, sf_dir):
     labels = [(r.doc_id, (r.quality, r.toxic)) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
     assert {d for d, _ in rows["quality"]} == brute_quality(rows["documents"], labels)
     assert set(rows["line_dedup"]) == brute.fuzzy_lines(rows["quality"])
-    assert {d for d, _ in rows["near_dedup"]} == {c for _, _, c in brute.simhash_components(rows["line_dedup"], 5, 3)}
+    assert {d for d, _ in rows["near_dedup"]} == {c for _, _, c in brute.simhash_components(rows["line_dedup"], 5, 7)}
     assert set(rows["mix"]) <= set(rows["near_dedup"]) and len(rows["mix"]) > 0.5 * len(rows["near_dedup"])
     packed = held["pack"].collect()
     coder = Tokenizer.from_file(Q.tokenizer_files()[0])

@@ -15,6 +15,7 @@ from tickloom.llm.common import ROW, chunks, materialize, skew_join, with_row_id
 from tickloom.llm.components import connected_components
 
 SEED = 42
+LEAF_PAIRS = 4_000_000  # that a task compares at once, at most
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -82,14 +83,21 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, small: int = 64) -> It
             return
 
 
+def turned(fp: np.ndarray, bits: int) -> np.ndarray:
+    """uint64 values turned left by so many bits."""
+    return fp << np.uint64(bits) | fp >> np.uint64(64 - bits) if bits else fp
+
+
 def _links(table: pa.Table, budget: int) -> pa.Table:
     """Within a subtrie and its neighbours: for each linked fingerprint the smallest index it is connected with here."""
     fp, own = table.column("fp").to_numpy().view(np.uint64), table.column("own").to_numpy(zero_copy_only=False)
+    turn = table.column("turn")[0].as_py()
     a, b = np.unique(fp[own]), np.unique(fp)
     parent = np.arange(len(b))
     place = np.searchsorted(b, a)
-    for at in range(0, len(a), 2048):
-        for i, j in trie_pairs(a[at : at + 2048], b, budget):
+    step = max(1, min(2048, LEAF_PAIRS // len(b)))
+    for at in range(0, len(a), step):
+        for i, j in trie_pairs(a[at : at + step], b, budget):
             i = place[at + i]
             i, j = i[i != j], j[i != j]
             while len(i):
@@ -100,34 +108,41 @@ def _links(table: pa.Table, budget: int) -> pa.Table:
                 while (parent[parent] != parent).any():
                     parent = parent[parent]
     moved = np.flatnonzero(parent != np.arange(len(b)))
-    return pa.table({"a": b[moved].view(np.int64), "b": b[parent[moved]].view(np.int64)})
+    back = turned(b, (64 - turn) % 64)
+    return pa.table({"a": back[moved].view(np.int64), "b": back[parent[moved]].view(np.int64)})
 
 
-def trie_links(points: DataFrame, budget: int = 2, subtrie: int = 128) -> DataFrame:
+def trie_links(points: DataFrame, budget: int = 2, subtrie: int = 128, turns: int = 1) -> DataFrame:
     """Links (a, b) between distinct fingerprints (points: one long column fp, no repeats) that connect exactly those
     which a chain of pairs within `budget` bits connects; a link's ends may be a chain apart.
 
     The top levels of the trie, so many that a subtrie holds `subtrie` fingerprints on average, are walked in Spark: a
     pair of nodes within the budget meets at one of the two, chosen by a hash. A subtrie of more fingerprints is dealt
     out in parts of about 16 times `subtrie`. Below, each task walks node pairs down to the leaves.
+
+    turns: so many tries, each over the fingerprints turned to begin with another of that many equal blocks. Of a pair
+    within the budget one block differs in at most budget // turns bits, so the top levels, which end with the block,
+    need no larger budget than that: many turns make a large budget cheap.
     """
-    n = points.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / subtrie))))
+    n, width = points.count(), 64 // turns
+    depth = min(max(0, math.ceil(math.log2(max(1, n / subtrie)))), width if turns > 1 else 64)
     top = (lambda c: F.shiftrightunsigned(c, 64 - depth)) if depth else (lambda c: F.lit(0).cast("long"))
-    flips = [sum(1 << p for p in ps) for ps in _positions(depth, budget)]
-    tops = points.select("fp", top("fp").alias("u"))
-    parts = tops.groupBy("u").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (16 * subtrie))).cast("int").alias("parts"))
-    own = tops.select("fp", F.col("u").alias("node"), F.lit(True).alias("own"))
+    flips = [sum(1 << p for p in ps) for ps in _positions(depth, budget // turns)]
+    begins = [width * t for t in range(turns)]
+    views = [F.struct(F.lit(s).alias("turn"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("fp")) for s in begins]
+    tops = points.select(F.inline(F.array(*views))).select("turn", "fp", top("fp").alias("u"))
+    parts = tops.groupBy("turn", "u").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (16 * subtrie))).cast("int").alias("parts"))
+    own = tops.select("turn", "fp", F.col("u").alias("node"), F.lit(True).alias("own"))
     pairs = tops.withColumn("v", F.explode(F.array(*[F.col("u").bitwiseXOR(F.lit(x).cast("long")) for x in flips]))) if flips else None
     low, high = F.least("u", "v"), F.greatest("u", "v")
     here = F.when(F.xxhash64(low, high) % 2 == 0, low).otherwise(high)
-    sent = tops.select("fp", F.col("u").alias("node"), F.lit(False).alias("own"))
+    sent = tops.select("turn", "fp", F.col("u").alias("node"), F.lit(False).alias("own"))
     if pairs is not None:
-        sent = sent.unionByName(pairs.filter(here == F.col("v")).select("fp", F.col("v").alias("node"), F.lit(False).alias("own")))
-    seen = own.unionByName(sent).join(parts.withColumnRenamed("u", "node"), "node")
+        sent = sent.unionByName(pairs.filter(here == F.col("v")).select("turn", "fp", F.col("v").alias("node"), F.lit(False).alias("own")))
+    seen = own.unionByName(sent).join(parts.withColumnRenamed("u", "node"), ["turn", "node"])
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = seen.withColumn("part", F.explode(F.when(F.col("own"), F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    return dealt.select("node", "part", "fp", "own").groupBy("node", "part").applyInArrow(lambda t: _links(t, budget), "a long, b long")
+    return dealt.select("turn", "node", "part", "fp", "own").groupBy("turn", "node", "part").applyInArrow(lambda t: _links(t, budget), "a long, b long")
 
 
 def _positions(depth: int, budget: int) -> list[tuple[int, ...]]:
@@ -136,7 +151,7 @@ def _positions(depth: int, budget: int) -> list[tuple[int, ...]]:
     return [c for k in range(1, budget + 1) for c in combinations(range(depth), k)]
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, turns: int = 1) -> DataFrame:
     """doc_id, row id, fingerprint fp, component_id, the smallest doc_id that links at `budget` bits or fewer reach, and keeper,
     the row id of the one document of the group that a deduplication keeps: that doc_id's, the first scanned if repeated.
 
@@ -146,7 +161,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     """
     marked = materialize(fingerprints(with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), words))
     points = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")))
-    joined = connected_components(trie_links(points.select("fp"), budget), "a", "b")
+    joined = connected_components(trie_links(points.select("fp"), budget, turns=turns), "a", "b")
     classes = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("least"))
     named = skew_join(classes.select("fp", "component"), smallest, ["component"]).select("fp", F.col("least.doc_id").alias("component_id"), F.col(f"least.{ROW}").alias("keeper"))
