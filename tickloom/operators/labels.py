@@ -25,17 +25,19 @@ def paths(minutes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return wide.select(*SERIES, F.col("timestamp_open_utc").alias("entry_time_utc"), price("open").alias("entry_bid_open"), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_minutes"), f"p{h}.*") for h in horizons])).alias("p")).select("*", "p.*").drop("p").filter("exit_open IS NOT NULL")
 
 
-def build_labels(minutes: DataFrame, candidates: DataFrame, horizons: tuple[int, ...] = (15,), latency_minutes: int = 1, threshold_bps: float = 6.0, guard: str = "2025-01-01") -> DataFrame:
+def build_labels(minutes: DataFrame, candidates: DataFrame, horizons: tuple[int, ...] = (15,), latency_minutes: int = 1, threshold_bps: float = 6.0, guard: str | None = None) -> DataFrame:
     """candidates (instrument, source, prediction_time_utc) with entry one latency later and exit one horizon after that.
 
-    Entry and exit must be bars of one run, H bars apart; a path that would end at or after the guard is dropped. Returns,
-    range and realized volatility are in bps; the class is neutral within the threshold, bounds included.
+    Entry and exit must be bars of one run, H bars apart; a path that ends at or after a guard is dropped, but
+    only where a caller asks for one (splits.require_before raises instead). Returns, range and realized volatility are in bps; the class is neutral within the threshold, bounds included.
     """
     entries = candidates.select(*SERIES, "prediction_time_utc").withColumn("entry_time_utc", later(F.col("prediction_time_utc"), latency_minutes))
     found = entries.join(paths(minutes, horizons), [*SERIES, "entry_time_utc"]).withColumn("label_end_time_utc", later(F.col("entry_time_utc"), F.col("horizon_minutes")))
     ratio = F.col("exit_open") / F.col("entry_bid_open")
     future = BPS * (F.log("exit_open") - F.log("entry_bid_open"))
-    return found.filter(F.col("label_end_time_utc") < F.lit(guard).cast("timestamp")).select(
+    if guard is not None:
+        found = found.filter(F.col("label_end_time_utc") < F.lit(guard).cast("timestamp"))
+    return found.select(
         *SERIES, "prediction_time_utc", "entry_time_utc", "label_end_time_utc", "horizon_minutes", "entry_bid_open", F.col("exit_open").alias("exit_bid_open"),
         future.alias("future_return_bps"), (BPS * (ratio - 1)).alias("arithmetic_return_bps"), (BPS * (F.col("high") - F.col("low")) / F.col("entry_bid_open")).alias("future_range_bps"),
         F.sqrt(F.greatest("variance", F.lit(0.0))).alias("future_realized_vol_bps"), return_class(future, threshold_bps).alias("target_class"), class_id(return_class(future, threshold_bps)).alias("target_class_id"),

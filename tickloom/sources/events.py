@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.schema import REQUIRED, floor_to, later, window_end
@@ -14,6 +14,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def ingested(close: Column) -> Column:
+    """When a bar was ingested: a fixed time, but never before the bar's close."""
+    return F.greatest(F.lit("2026-01-01").cast("timestamp"), close)
+
+
 def minute_clock(raw: DataFrame, value: str = "value", instrument: str = "CLOCK_A") -> DataFrame:
     """One bar a minute from event_id and a value: it opens on an event's value and closes on the next one's.
 
@@ -31,7 +36,7 @@ def minute_clock(raw: DataFrame, value: str = "value", instrument: str = "CLOCK_
         opened.alias("bid_open"), (F.greatest(opened, closed) + 0.01 * (i % 7)).alias("bid_high"),
         (F.least(opened, closed) - 0.01 * (i % 5)).alias("bid_low"), closed.alias("bid_close"),
         F.lit(True).alias("is_complete"), F.concat(F.lit("file"), (F.floor(i / 1000)).cast("string")).alias("raw_file_hash"),
-        F.lit("2026-01-01").cast("timestamp").alias("ingested_at_utc"), F.lit("v1").alias("dataset_version"),
+        ingested(later(opens, 1)).alias("ingested_at_utc"), F.lit("v1").alias("dataset_version"),
     ).select(*REQUIRED)
 
 
@@ -45,5 +50,5 @@ def tick_bars(raw: DataFrame, timeframe: str = "1h") -> DataFrame:
     ticks = raw.select(F.col("event_type").alias("instrument"), floor_to(F.col("ts").cast("timestamp"), timeframe).alias("timestamp_open_utc"), F.struct("ts", "event_id").alias("at"), (2000 + 0.05 * F.col("value")).alias("p"))
     bars = ticks.groupBy("instrument", "timestamp_open_utc").agg(F.min_by("p", "at").alias("bid_open"), F.max("p").alias("bid_high"), F.min("p").alias("bid_low"), F.max_by("p", "at").alias("bid_close"))
     return bars.withColumns(
-        {"source": F.lit("ticks"), "timeframe": F.lit(timeframe), "timestamp_close_utc": window_end(F.col("timestamp_open_utc"), timeframe), "is_complete": F.lit(True), "raw_file_hash": F.lit("ticks"), "ingested_at_utc": F.lit("2026-01-01").cast("timestamp"), "dataset_version": F.lit("v1")}
+        {"source": F.lit("ticks"), "timeframe": F.lit(timeframe), "timestamp_close_utc": window_end(F.col("timestamp_open_utc"), timeframe), "is_complete": F.lit(True), "raw_file_hash": F.lit("ticks"), "ingested_at_utc": ingested(window_end(F.col("timestamp_open_utc"), timeframe)), "dataset_version": F.lit("v1")}
     ).select(*REQUIRED)
