@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tickloom.llm.importance import without_toxic
 from tickloom.llm.shingles import similar_documents
 
 
@@ -48,3 +49,15 @@ def test_near_dedup_on_tables(spark, sf_dir):
     got = similar_documents(docs).collect()
     assert len(got) == docs.count() and {r.doc_id for r in got if r._row == r.keeper} == want
     assert not similar_documents(docs.limit(0)).count()
+
+
+def test_quality_rejects_toxic_documents(spark, sf_dir):
+    path = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).join(docs.select("doc_id").distinct(), "doc_id")
+    fit, held = (labels.filter(F.xxhash64("doc_id") % 2 == 0), known.filter(F.xxhash64("doc_id") % 2 != 0).filter("quality = 1"))
+    kept = held.join(without_toxic(docs, fit), "doc_id", "left_semi")
+    share = lambda t: kept.filter(f"toxic = {t}").count() / held.filter(f"toxic = {t}").count()
+    assert share(1) <= 0.2 and share(0) >= 0.98  # on labels that the fit has not seen
+    assert without_toxic(docs, labels.filter("toxic = 0")).count() == docs.count() == without_toxic(docs, labels.drop("toxic")).count()
+    assert not without_toxic(docs.limit(0), labels).count()

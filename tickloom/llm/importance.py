@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import ROW, WORD_ODD, bytes_and_offsets, chunks, global_order, materialize, mixed, packed, unpacked, with_row_id, word_hashes, word_spans
@@ -88,6 +88,49 @@ def best_threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, keep_w
     return float((s[at] + s[at - 1]) / 2) if at else -np.inf
 
 
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased runs of letters."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, bound: int = 20_000, keep_weight: float = 3.0) -> list[str]:
+    """Words that give a document away as toxic, from at most `bound` labelled documents (labels: doc_id, toxic).
+
+    A word counts if it is more frequent among toxic documents than chance would make any of the words seen, by the
+    Chernoff bound at 0.05. Its score is the log ratio of its shares of toxic and clean documents; words are given from
+    the score on that turns most toxic documents away, less keep_weight times the share of clean ones that go too. Without labels of both kinds there are none.
+    """
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select(F.monotonically_increasing_id().alias(ROW), (F.col("toxic") == 1).alias("bad"), words_of(F.col("text")).alias("words")))
+    bad, clean = rows.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
+    if not bad or not clean:
+        return []
+    seen = materialize(rows.select("bad", F.explode("words").alias("w")).filter("w <> ''").groupBy("w").agg(F.count_if("bad").alias("t"), F.count("*").alias("n")))
+    at, chance = F.col("t") / F.col("n"), F.lit(bad / (bad + clean))
+    distance = at * F.log(at / chance) + F.when(at < 1, (1 - at) * F.log((1 - at) / (1 - chance))).otherwise(0.0)
+    sure = F.col("n") * distance >= F.lit(float(np.log(max(seen.count(), 1) / 0.05)))
+    score = F.log(F.col("t") / F.lit(float(bad))) - F.log((F.col("n") - F.col("t") + 1) / F.lit(float(clean)))
+    scores = {r.w: r.s for r in seen.filter((F.col("t") > 0) & (at > chance) & sure).select("w", score.alias("s")).collect()}  # few: bounded by the sample
+    if not scores:
+        return []
+    found = rows.select("bad", F.array_intersect("words", F.array(*map(F.lit, scores))).alias("hits")).collect()
+    highest = np.array([max((scores[w] for w in r.hits), default=-100.0) for r in found])
+    toxic = np.array([r.bad for r in found])
+    order = np.sort(np.unique(highest[toxic]))
+    gain = [(highest[toxic] >= x).mean() - keep_weight * (highest[~toxic] >= x).mean() for x in order]
+    least = order[int(np.argmax(gain))]
+    return sorted(w for w, x in scores.items() if x >= least)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any more columns) less those with a toxic word, however long they are."""
+    if "toxic" not in labels.columns:
+        return docs
+    words = toxic_words(docs, labels)
+    return docs.filter(~F.arrays_overlap(words_of(F.col("text").cast("string")), F.array(*map(F.lit, words)))) if words else docs
+
+
 def importance_resample(
     docs: DataFrame, labels: DataFrame, buckets: int = 16_384, temperature: float = 0.02, k: int | None = None,
     keep_weight: float = 3.0, sample_bound: int = 20_000, seed: int = 42,

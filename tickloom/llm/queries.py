@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import scratch_root
-from tickloom.llm.importance import importance_resample
+from tickloom.llm.importance import importance_resample, without_toxic
 from tickloom.llm.linededup import dedup_lines
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.packing import pack_documents
@@ -42,7 +42,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return without_toxic(importance_resample(docs, labels), labels).select("doc_id", "score")
 
 
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
