@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -109,13 +110,21 @@ def normalised(line):
     return regex.sub(r"[^\p{L}]+", " ", line.lower()).strip(" ")
 
 
-def line_simhash(norm):
+def line_blocks(norm):
+    """The four blocks of a line's SimHash: of each quarter of its words (of its letters, if it has under four words) the bits
+    that over half have, of the bits i and 16, 32, 48 more, i in 4b to 4b + 3."""
     words = norm.split(" ")
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    words = words if len(words) >= 4 else list(norm)
+    out = []
+    for b in range(4):
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for i, w in enumerate(words) if i * 4 // len(words) == b]
+        out.append(tuple(2 * sum(h >> (i + 16 * j) & 1 for h in hashes) > len(hashes) for i in range(4 * b, 4 * b + 4) for j in range(4)))
+    return out
 
 
 def edit_distance(a, b):
+    if abs(len(a) - len(b)) > 0.5 * max(len(a), len(b)):
+        return max(len(a), len(b))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
@@ -124,19 +133,18 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def fuzzy_lines(docs, min_chars=20, max_bits=2, similarity=0.9):
+def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8):
     places = defaultdict(list)
     for d, t in sorted(docs, key=lambda x: x[0]):
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
             if len(n := normalised(line)) >= min_chars:
                 places[n].append((d, i))
-    fp = {n: line_simhash(n) for n in places}
-    names = sorted(places)
-    linked = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            if (fp[a] ^ fp[b]).bit_count() <= max_bits and edit_distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
-                linked.append((a, b))
+    names, met = sorted(places), defaultdict(list)
+    for n in names:
+        for choice in combinations(enumerate(line_blocks(n)), 4 - changed):
+            met[choice].append(n)
+    pairs = {p for group in met.values() for p in combinations(group, 2)}
+    linked = [(a, b) for a, b in pairs if edit_distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)]
     group, keep = components(names, linked), {}
     for n in names:
         keep[group[n]] = min(keep.get(group[n], (1 << 62, 0)), places[n][0])

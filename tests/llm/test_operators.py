@@ -207,18 +207,37 @@ def test_best_two_fit_replaces_the_smallest():
 
 
 def test_line_simhash(spark):
-    lines = ["a b c", "one two three four five", " ".join(f"w{i % 7}" for i in range(63)), " ".join(f"w{i}" for i in range(64)), " ".join(f"w{i % 90}" for i in range(500))]
+    lines = ["a b c d", "one two three four five", " ".join(f"w{i % 7}" for i in range(63)), " ".join(f"w{i}" for i in range(64)), " ".join(f"w{i % 90}" for i in range(500))]
     frame = spark.createDataFrame([(x,) for x in lines], "t string")
     words = frame.select("t", F.split("t", " ").alias("words")).select("t", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
+    want = {x: sum(1 << (i + 16 * j) for b, block in enumerate(brute.line_blocks(x)) for (i, j), bit in zip(((i, j) for i in range(4 * b, 4 * b + 4) for j in range(4)), block, strict=True) if bit) for x in lines}
     for size in (16_000, 50):
         linededup.LANE_WORDS = size
-        assert {r.t: r.fp % (1 << 64) for r in grouped_simhash(words, ["t"]).collect()} == {x: brute.line_simhash(x) for x in lines}
+        assert {r.t: r.fp % (1 << 64) for r in grouped_simhash(words, ["t"]).collect()} == want
     linededup.LANE_WORDS = 16_000
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_fuzzy_lines_finds_changed_letters(spark, sf_dir, edits):
+    """Real lines with one or two letters changed, put in or left out: told by edit similarity alone, none is missed."""
+    rng = np.random.default_rng(edits)
+    lines = sorted({n for _, t in texts(spark, sf_dir) for x in (t or "").split("\n") if 40 <= len(n := brute.normalised(x)) < 400 and n.count(" ") > 5})
+    lines = [lines[i] for i in rng.choice(len(lines), 150, replace=False)]
+    rows = []
+    for i, line in enumerate(lines):
+        changed = line
+        for _ in range(edits):
+            at = int(rng.choice([j for j, c in enumerate(changed) if c != " " and j and changed[j - 1] != " "]))
+            changed = changed[:at] + ("", "q", "q" + changed[at])[rng.integers(3)] + changed[at + 1 :]
+        rows += [(2 * i, line), (2 * i + 1, changed)]
+    left = {r.doc_id for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text <> ''").collect()}
+    assert not {d for d in left if d % 2}
+
+
 def test_fuzzy_lines(spark, odd):
     long = [f"term{i}" for i in range(120)]
     vary = lambda i: " ".join(w if j != i else "other" for j, w in enumerate(long))
+    assert brute.edit_distance("kitten", "sitting") == 3
     rows = [(i, "\n".join([f"Page {i} of the very long report number {i * 7}", vary(i), "short", f"unique line {'abc' * i} with letters {'xyz' * i}"])) for i in range(30)] + [(99, None), (100, ""), (101, "page 3 of the VERY long report, number 12!\nshort")]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert plain(got.select("doc_id", "text")) == brute.fuzzy_lines(rows)

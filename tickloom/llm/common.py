@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +17,83 @@ ROW = "_row"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a test folder where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine stands in on a
+    local master only; on a cluster that is an error, for executors would not see one another's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/checkpoints/tickloom"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses none of it.
+    The shuffle files of the job that wrote it go at once."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """A long id per row, the same whenever the same files are scanned, so repeated rows and null ids stay apart."""
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators of this application left in the shared folder; results not yet written are lost."""
+    remove(spark, scratch_root(spark))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """A long id per row, good for one use of the frame: repeated rows and null ids stay apart."""
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df is columns and filters of one table of files, so that each evaluation meets the same rows in one order."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """A long id per row, the same however often the frame is evaluated. Scans of files are numbered as they are split, and
+    the split is held fixed should executors come or go; any other frame is written once, with its ids."""
+    spark = df.sparkSession
+    if not plain_scan(df):
+        return materialize(numbered(df))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return numbered(df)
+
+
 REST = "_rest"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, skew_join
+from tickloom.llm.common import discard, materialize, skew_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, before = seen, now
         now = materialize(_small_star(_large_star(now).distinct()).distinct())
+        discard(before)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

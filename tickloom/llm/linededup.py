@@ -1,5 +1,10 @@
 """Fuzzy line dedup: SimHash of normalised lines, joined on pigeonhole blocks, verified by edit similarity; one occurrence
-of each connected group of lines is kept. DataFrame functions only."""
+of each connected group of lines is kept. DataFrame functions only.
+
+A line's SimHash is taken a part of the line at a time: its words are cut into four runs, and each run gives one block of 16
+bits. A changed word alters one block only, so lines with changes in at most two of the four runs agree in at least two
+blocks, the pigeonhole's, whatever bits of the others differ.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +13,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ROW, materialize, packed, skew_join, unpacked, with_row_id
+from tickloom.llm.common import ROW, discard, materialize, packed, skew_join, unpacked, with_row_id
 from tickloom.llm.components import connected_components
 
-BROADCAST_ROWS = 500_000  # rows of three numbers each
+LANES, LANE_WORDS = 16, 16_000
+EACH = 0x0001_0001_0001_0001
+BLOCKS = 4
+CLOSE_BANDS = (8, 64)
 
 
 def normalised(line: Column) -> Column:
@@ -19,143 +27,178 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
-LANES, LANE_WORDS = 16, 16_000
-EACH = 0x0001_0001_0001_0001
+def long_(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def block_mask(block: int) -> int:
+    """The 16 bits of a block: four neighbouring lanes."""
+    return sum(EACH << i for i in range(4 * block, 4 * block + 4))
 
 
 def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and fp, a 64-bit SimHash: a bit is 1 if over half of the words' XXH64 have it.
+    """keys and fp, a 64-bit SimHash of four blocks: a bit of block b is 1 if over half of the words of the b-th quarter of the
+    line have it in their XXH64.
 
     words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so 16 sums
     count all 64 bits. With 2**14 less the majority added to each lane, bit 14 tells where a majority was reached; lanes
     hold LANE_WORDS words for that. Longer lines are summed in parts, and the parts' counters, unpacked, once more.
     """
-    long_ = lambda x: F.lit(x).cast("long")
-    hashed = words.select(*keys, "n", (F.col("pos") / LANE_WORDS).cast("int").alias("part"), F.xxhash64("w").alias("x"))
-    lane = lambda i: F.shiftrightunsigned("x", i).bitwiseAND(long_(EACH))
+    quarter = F.floor(F.col("pos") * BLOCKS / F.col("n")).cast("int")
+    hashed = words.select(*keys, "n", (F.col("pos") / LANE_WORDS).cast("int").alias("part"), quarter.alias("q"), F.xxhash64("w").alias("x"))
+    lane = lambda i: F.when(F.col("q") == i // 4, F.shiftrightunsigned("x", i).bitwiseAND(long_(EACH))).otherwise(long_(0))
     sums = hashed.groupBy(*keys, "part").agg(F.max("n").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
-    bias = (long_(1 << 14) - (F.floor(F.col("n") / 2) + 1)) * long_(EACH)
+    begins = lambda b: F.floor((F.col("n") * b + BLOCKS - 1) / BLOCKS)
+    half = lambda b: F.floor((begins(b + 1) - begins(b)) / 2)
     fp = long_(0)
     for i in range(LANES):
-        reached = F.shiftrightunsigned((F.col(f"s{i}") + F.col("bias")).bitwiseAND(long_(EACH << 14)), 14)
+        bias = (long_(1 << 14) - (half(i // 4) + 1)) * long_(EACH)
+        reached = F.shiftrightunsigned((F.col(f"s{i}") + bias).bitwiseAND(long_(EACH << 14)), 14)
         fp = fp.bitwiseOR(F.shiftleft(reached, i))
-    short = sums.filter(F.col("n") <= LANE_WORDS).withColumn("bias", bias).select(*keys, fp.alias("fp"))
+    short = sums.filter(F.col("n") <= LANE_WORDS).select(*keys, fp.alias("fp"))
     counts = {i + LANES * j: F.shiftright(f"s{i}", LANES * j).bitwiseAND(long_(0xFFFF)) for i in range(LANES) for j in range(4)}
     long = sums.filter(F.col("n") > LANE_WORDS).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(c).alias(f"c{at}") for at, c in counts.items()])
     whole = long_(0)
     for at in counts:
-        whole = whole.bitwiseOR(F.when(F.col(f"c{at}") * 2 > F.col("n"), F.shiftleft(long_(1), at)).otherwise(long_(0)))
+        whole = whole.bitwiseOR(F.when(F.col(f"c{at}") > half(at % LANES // 4), F.shiftleft(long_(1), at)).otherwise(long_(0)))
     return short.unionByName(long.select(*keys, whole.alias("fp")))
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line of at least min_chars normalised characters: where it stands, two hashes, SimHash. The one-element
-    explodes hold a line's form and words, which else would be computed anew wherever they are named."""
-    keys = ["doc_id", ROW, "ln", "h1", "h2"]
+    """A row for each line of at least min_chars normalised characters: where it stands, two hashes and its normalised form.
+    The one-element explode holds the form, which else would be computed anew wherever it is named."""
     lines = docs.select("doc_id", ROW, F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     once = lines.select("doc_id", ROW, "ln", F.explode(F.array(normalised(F.col("line")))).alias("norm")).filter(F.length("norm") >= min_chars)
-    split = once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.explode(F.array(F.split("norm", " "))).alias("words"))
-    return grouped_simhash(split.select(*keys, F.size("words").alias("n"), F.posexplode("words").alias("pos", "w")), keys)
+    return once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
+
 
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """lid, h1, h2, n, fp, doc_id, row and ln of the first occurrence, for each distinct line. Lines meet once, with their texts;
+    fingerprints are then summed where the lines are. Lines of fewer than BLOCKS words are taken letter by letter."""
+    order = F.struct("doc_id", ROW, "ln")
+    lines = rows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("many"), F.min("norm").alias("norm"))
+    words = F.split("norm", " ")
+    keys = ["h1", "h2", "many", "doc_id", ROW, "ln"]
+    split = lines.select("h1", "h2", "many", "first.*", F.explode(F.array(F.when(F.size(words) >= BLOCKS, words).otherwise(F.split("norm", "")))).alias("words"))
+    prints = grouped_simhash(split.select(*keys, F.size("words").alias("n"), F.posexplode("words").alias("pos", "w")), keys)
+    return prints.withColumn("lid", F.monotonically_increasing_id())
 
-def choices_of(max_bits: int, blocks: int) -> list[int]:
-    """Masks, as signed longs, of each choice of blocks - max_bits of the blocks that 64 bits are cut into: values at most
-    max_bits apart agree in all bits of at least one."""
-    width = 64 // blocks
-    block = [((1 << (width if b < blocks - 1 else 64 - width * b)) - 1) << (width * b) for b in range(blocks)]
-    masks = [sum(block[b] for b in c) for c in combinations(range(blocks), blocks - max_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+def choices_of(changed: int) -> list[int]:
+    """Masks, as signed longs, of each choice of BLOCKS - changed blocks: values that differ in at most `changed` blocks agree in
+    all bits of at least one choice."""
+    return [signed(sum(block_mask(b) for b in c)) for c in combinations(range(BLOCKS), BLOCKS - changed)]
 
 
 def crowded(lines: DataFrame, masks: list[int]) -> DataFrame:
-    """(lid, fp, choice, bits, head, head_fp) for each line and choice of blocks that it shares with another line; head is the
-    smallest line there. Copies are one line here, so a frequent line is met once."""
-    keyed = lines.select("lid", "fp", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])))
-    heads = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.min("lid").alias("head"), F.min_by("fp", "lid").alias("head_fp")).filter("n > 1").drop("n")
-    return skew_join(keyed, heads.hint("shuffle_hash"), ["choice", "bits"])
-
-
-def apart_pairs(met: DataFrame, groups: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
-    """Pairs (a, b) of lines that share a choice of blocks, differ in at most max_bits bits, and are not in one group yet; each
-    pair is given at the first choice that it agrees on. Where all lines of a choice are in one group, none are met."""
-    known = skew_join(met.select("lid", "fp", "choice", "bits"), groups.withColumnRenamed("node", "lid"), ["lid"], "left").withColumn("g", F.coalesce("component", "lid"))
-    known = materialize(known.drop("component"))
-    split = known.groupBy("choice", "bits").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("choice", "bits")
-    open_ = materialize(skew_join(known, split, ["choice", "bits"]))
-    left, right = (open_.withColumnsRenamed({c: f"{c}_{p}" for c in open_.columns}) for p in "ab")
-    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    agreed = F.lit(len(masks))
-    for i in reversed(range(len(masks))):
-        agreed = F.when(differ.bitwiseAND(F.lit(masks[i]).cast("long")) == 0, F.lit(i)).otherwise(agreed)
-    near = (F.col("lid_a") < F.col("lid_b")) & (F.col("g_a") != F.col("g_b")) & (F.bit_count(differ) <= max_bits) & (agreed == F.col("choice_a"))
-    return left.join(right, (F.col("choice_a") == F.col("choice_b")) & (F.col("bits_a") == F.col("bits_b")) & near).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b"))
-
-
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose normalised lines have edit similarity 1 - distance / longer length of at least `similarity`. Texts are
-    fetched for the lines in pairs only; their places are broadcast if counted as few, else joined by shuffle."""
-    wanted = materialize(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct().join(lines.select("lid", ROW, "ln"), "lid"))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(ROW, "text").join(F.broadcast(wanted) if few else wanted, ROW).select("lid", normalised(F.split("text", "\n")[F.col("ln")]).alias("norm"))
-    texts = materialize(texts)
-    both = skew_join(skew_join(pairs.withColumn("lid", F.col("a")), texts.withColumnRenamed("norm", "na"), ["lid"]).withColumn("lid", F.col("b")), texts.withColumnRenamed("norm", "nb"), ["lid"])
-    longest = F.greatest(F.length("na"), F.length("nb"))
-    allowed = F.floor((1 - F.lit(similarity)) * longest + 1e-9).cast("int")
+    """(lid, key, head) for each line and choice of blocks that it shares with another line; key stands for the choice and its
+    bits, head is the smallest line there. Copies are one line here, so a frequent line is met once."""
+    keyed = lines.select("lid", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(long_(m))) for i, m in enumerate(masks)])).alias("key"))
+    heads = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("head")).filter("n > 1").drop("n"))
+    return skew_join(keyed, heads.hint("shuffle_hash"), ["key"])
+
+
+def texts_of(met: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(lid, norm) of the lines that meet any other: their documents are read once more, each cut into its lines once."""
+    wanted = met.select("lid").distinct().join(lines.select("lid", ROW, "ln"), "lid")
+    places = wanted.groupBy(ROW).agg(F.collect_list(F.struct("ln", "lid")).alias("places"))
+    cut = docs.select(ROW, "text").join(places, ROW).select("places", F.explode(F.array(F.split("text", "\n"))).alias("all"))
+    return cut.select("all", F.inline("places")).select("lid", normalised(F.col("all")[F.col("ln")]).alias("norm"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose normalised lines have edit similarity 1 - distance / longer length of at least `similarity`."""
+    side = lambda name: texts.withColumnRenamed("norm", name)
+    both = skew_join(skew_join(pairs.withColumn("lid", F.col("b")), side("nb"), ["lid"]).withColumn("lid", F.col("a")), side("na"), ["lid"])
+    la, lb = F.length("na"), F.length("nb")
+    allowed = F.floor((1 - F.lit(similarity)) * F.greatest(la, lb) + 1e-9).cast("int")
     within = lambda most: F.call_function("levenshtein", F.col("na"), F.col("nb"), most) >= 0
-    return both.filter(within(F.least(allowed, F.lit(8))) | within(allowed)).select("a", "b")  # a narrow band tells most
+    close = within(allowed)
+    for band in reversed(CLOSE_BANDS):  # narrow bands tell most pairs, at less work
+        close = within(F.least(allowed, F.lit(band))) | close
+    return both.filter((F.abs(la - lb) <= allowed) & close).select("a", "b")
+
+
+def grouped(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the keys whose lines are in more than one group: (key, lid, g), and (key, main, lead, many): the key's largest group, its
+    smallest line, and the number of pairs of lines to compare there."""
+    known = materialize(skew_join(met.select("lid", "key"), groups.withColumnRenamed("node", "lid"), ["lid"], "left").select("key", "lid", F.coalesce("component", "lid").alias("g")))
+    per = known.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("lid").alias("lead"))
+    total = per.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", -F.col("g"), "lead")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    mains = materialize(total.select("key", (-F.col("top.col2")).alias("main"), F.col("top.lead").alias("lead"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("many")))
+    return known, mains
+
+
+def leads(known: DataFrame, mains: DataFrame) -> DataFrame:
+    """Pairs (a, b): of each key and group but the key's largest, the smallest line with the smallest of the largest."""
+    open_ = skew_join(known, mains, ["key"]).filter("g <> main").groupBy("key", "g", "lead").agg(F.min("lid").alias("lid"))
+    return open_.select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")).distinct()
 
 
-def closest(pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of each line the one with the smallest other line: a pair a line at most."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
-    least = ends.groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("y"))
-    return least.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def apart(known: DataFrame, mains: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines that share a key and are in different groups. One of each pair is outside the key's largest
+    group, so only those lines are joined with all of the key's."""
+    all_ = skew_join(known, mains.select("key", "main"), ["key"])
+    few = all_.filter("g <> main").select(F.col("key").alias("k"), F.col("lid").alias("l"), F.col("g").alias("lg"))
+    met = all_.join(few, (F.col("key") == F.col("k")) & (F.col("g") != F.col("lg")) & ((F.col("g") == F.col("main")) | (F.col("lid") < F.col("l"))))
+    return met.select(F.least("lid", "l").alias("a"), F.greatest("lid", "l").alias("b")).distinct()
 
 
-def linked_lines(lines: DataFrame, docs: DataFrame, max_bits: int, blocks: int, similarity: float, rounds: int = 1) -> DataFrame:
+def linked_lines(lines: DataFrame, docs: DataFrame, changed: int, similarity: float, rounds: int = 4) -> DataFrame:
     """(node, component) of lines that are linked, directly or by others.
 
-    Each line is first verified against the smallest line it meets. That joins most families at one comparison a line.
-    In the rounds after it, each line is verified against one line of another group that it is close to, so groups grow
-    together at a comparison a line. The pairs that are still in different groups are compared all, so no link is lost.
+    Each line is first verified against the smallest line of each key, which joins most families at some comparisons a
+    line. While far more pairs than lines are left in different groups, each key's groups are compared by one line
+    each, `rounds` times at most. Then the pairs still in different groups are compared, all of them, so no link is lost.
     """
-    masks = choices_of(max_bits, blocks)
-    met = materialize(crowded(lines, masks))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= max_bits
-    first = materialize(met.filter((F.col("lid") != F.col("head")) & close).groupBy("lid").agg(F.min("head").alias("a")).select("a", F.col("lid").alias("b")))
-    edges = materialize(verified(first, lines, docs, similarity))
-    for _ in range(rounds):
-        some = materialize(closest(apart_pairs(met, connected_components(edges, "a", "b"), masks, max_bits)))
-        edges = materialize(edges.unionByName(verified(some, lines, docs, similarity)))
-    groups = connected_components(edges, "a", "b")
-    rest = materialize(apart_pairs(met, groups, masks, max_bits))
-    return connected_components(edges.unionByName(verified(rest, lines, docs, similarity)), "a", "b")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 20, max_bits: int = 2, blocks: int = 4, similarity: float = 0.9) -> DataFrame:
+    met = materialize(crowded(lines, choices_of(changed)))
+    texts = materialize(texts_of(met, lines, docs))
+    first = materialize(met.filter("lid <> head").select(F.col("head").alias("a"), F.col("lid").alias("b")).distinct())
+    edges = materialize(verified(first, texts, similarity))
+    lone, groups = met.count(), connected_components(edges, "a", "b")
+    for at in range(rounds + 1):
+        known, mains = grouped(met, groups)
+        many = mains.agg(F.sum("many")).first()[0] or 0
+        if not many:
+            return groups
+        last = at == rounds or many <= 16 * lone
+        asked = apart(known, mains) if last else leads(known, mains)
+        found = materialize(verified(asked.join(first, ["a", "b"], "left_anti"), texts, similarity))
+        discard(known, mains)
+        none = found.isEmpty()
+        if not none:
+            edges = materialize(edges.unionByName(found))
+            groups = connected_components(edges, "a", "b")
+        if last:
+            return groups
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similarity: float = 0.8) -> DataFrame:
     """docs with text less every line that an earlier one stands for, and n_lines_removed.
 
     docs: doc_id, text and any more columns. Lines are cut at line feeds. Two lines are linked if their normalised forms
-    are equal, or their SimHashes differ in at most max_bits of 64 bits and their edit similarity is `similarity` or
-    more; of each connected group the occurrence first in (doc_id, scan order, line) stays, null doc_ids first. Lines of
-    fewer than min_chars normalised characters always stay. Every document stays, if with empty text; null text stays
+    are equal, or their SimHashes agree in all but `changed` of the four blocks and their edit similarity is `similarity`
+    or more; of each connected group the occurrence first in (doc_id, scan order, line) stays, null doc_ids first. Lines
+    of fewer than min_chars normalised characters always stay. Every document stays, if with empty text; null text stays
     null; an empty table gives no rows. Equal lines are grouped by partial sums and found again by a join whose hot keys
     AQE can split, so a line may stand in any share of the documents.
     """
     marked = with_row_id(packed(docs, ["doc_id", "text"]))
-    rows = materialize(line_rows(marked, min_chars))
-    first = F.min(F.struct("doc_id", ROW, "ln")).alias("first")
-    lines = materialize(rows.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.max("fp").alias("fp")).select("h1", "h2", "n", "fp", "first.*", F.monotonically_increasing_id().alias("lid")))
-    groups = linked_lines(lines, marked, max_bits, blocks, similarity)
-    linked = lines.join(groups.withColumnRenamed("node", "lid"), "lid", "inner").select("h1", "h2", "component", F.struct("doc_id", ROW, "ln").alias("first"))
-    linked = materialize(linked)
+    rows = line_rows(marked, min_chars)
+    lines = materialize(distinct_lines(rows))
+    groups = linked_lines(lines, marked, changed, similarity)
+    linked = materialize(lines.join(groups.withColumnRenamed("node", "lid"), "lid").select("h1", "h2", "component", F.struct("doc_id", ROW, "ln").alias("first")))
     heads = linked.groupBy("component").agg(F.min("first").alias("first"))
     fuzzy = skew_join(linked.drop("first"), heads, ["component"]).select("h1", "h2", "first")
-    exact = lines.filter("n > 1").join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.struct("doc_id", ROW, "ln").alias("first"))
-    keep = exact.unionByName(fuzzy).select("h1", "h2", F.col(f"first.{ROW}").alias("keep_row"), F.col("first.ln").alias("keep_ln"))
-    dropped = skew_join(rows.select("h1", "h2", ROW, "ln"), keep, ["h1", "h2"]).filter((F.col(ROW) != F.col("keep_row")) | (F.col("ln") != F.col("keep_ln")))
+    exact = lines.filter("many > 1").join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.struct("doc_id", ROW, "ln").alias("first"))
+    keep = materialize(exact.unionByName(fuzzy).select("h1", "h2", F.col(f"first.{ROW}").alias("keep_row"), F.col("first.ln").alias("keep_ln")))
+    dropped = skew_join(rows.select("h1", "h2", ROW, "ln"), keep.hint("shuffle_hash"), ["h1", "h2"]).filter((F.col(ROW) != F.col("keep_row")) | (F.col("ln") != F.col("keep_ln")))
     cut = dropped.groupBy(ROW).agg(F.collect_set("ln").alias("_cut"))
-    lines_now = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines_now, lambda line, i: ~F.array_contains("_cut", i)), "\n")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).when(F.size("_cut") == F.size(lines_now), "").otherwise(kept)
-    return unpacked(marked.join(cut, ROW, "left"), docs.columns, {"n_lines_removed": F.coalesce(F.size("_cut"), F.lit(0))}, {"text": text})
+    found = marked.join(cut, ROW, "left").withColumn("_lines", F.explode(F.array(F.when(F.col("_cut").isNotNull(), F.split("text", "\n")))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
+    return unpacked(found, docs.columns, {"n_lines_removed": F.coalesce(F.size("_cut"), F.lit(0))}, {"text": text})
