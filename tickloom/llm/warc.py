@@ -27,9 +27,9 @@ class Archive(NamedTuple):
         return f"WARC/1.1{EOL}WARC-Warcinfo-ID: <urn:uuid:{self.warcinfo}>{EOL}"
 
 
-def sha1_base32(text: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a text's UTF-8 bytes: 20 bits, so four digits, at a time."""
-    digits = [F.lpad(F.conv(F.substring(F.sha1(text), 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
+def base32(sha1: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 given in hex: 40 bits, so eight digits, at a time."""
+    digits = [F.lpad(F.conv(F.substring(sha1, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -48,22 +48,25 @@ def capture_rows(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Pages with payload, payload_digest, and the key of the page each one repeats (null: it is a response).
 
     Of pages with equal payloads of at least min_revisit_bytes bytes, that with the smallest page_id (null comes last,
-    then scan order) is the response. Payload digests are grouped with partial sums and joined back with splittable keys:
-    a payload on a third of all pages does no harm.
+    then scan order) is the response. Payload digests are grouped with partial sums, and only those that repeat are joined
+    back, with splittable keys: a payload on a third of all pages does no harm, and payloads are not sorted.
     """
-    full = with_row_id(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")))
-    full = full.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("h", F.xxhash64("digest")).withColumn("key", F.concat_ws(":", F.col("page_id"), F.col(ROW)))
-    first = full.groupBy("h", "digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", ROW, "key")).alias("first"))
-    joined = skew_join(full, first.select("h", F.col("digest").alias("d"), F.col("first.key").alias("first")), ["h"], "left").filter("digest = d")
-    repeats = (F.octet_length("payload") >= min_revisit_bytes) & (F.col("first") != F.col("key"))
-    return joined.select("key", "page_id", "url", "payload", "digest", F.when(repeats, F.col("first")).alias("refers"))
-
-
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> Archive:
+    full = with_row_id(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))).withColumn("sha1", F.sha1("payload"))
+    key = F.concat_ws(":", F.col("page_id"), F.col(ROW))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", ROW)
+    large = full.filter(F.octet_length("payload") >= min_revisit_bytes).select("sha1", order.alias("at"))
+    first = large.groupBy("sha1").agg(F.min("at").alias("at"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select(F.xxhash64("sha1").alias("h"), F.col("sha1").alias("same"), F.concat_ws(":", F.col("at.page_id"), F.col(f"at.{ROW}")).alias("first"))
+    joined = skew_join(full.withColumn("h", F.xxhash64("sha1")), first.hint("shuffle_hash"), ["h"], "left")
+    repeats = (F.col("same") == F.col("sha1")) & (F.octet_length("payload") >= min_revisit_bytes) & (F.col("first") != key)
+    return joined.select(key.alias("key"), "page_id", "url", "payload", base32(F.col("sha1")).alias("digest"), F.when(repeats, F.col("first")).alias("refers"))
+
+
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: str = "BEST_SPEED") -> Archive:
     """Write page_id, url, html as gzipped WARC files under path: three records a page, concurrent to one another.
 
     Null html is an empty payload, a null url an empty one; spaces and control characters in a url become %20. Other
-    columns are not used. An empty table gives an archive of one warcinfo record.
+    columns are not used. An empty table gives an archive of one warcinfo record. level: of gzip.
     """
     archive = Archive(path, str(uuid.uuid4()))
     rows = capture_rows(pages, min_revisit_bytes)
@@ -79,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: st
         _record(archive, [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", metadata), ("WARC-Concurrent-To", response), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL))),
     )
     info = pages.sparkSession.range(1).select(_record(archive, [("WARC-Type", F.lit("warcinfo")), ("WARC-Record-ID", F.lit(f"<urn:uuid:{archive.warcinfo}>")), ("WARC-Date", F.lit(date)), ("Content-Type", F.lit("application/warc-fields"))], F.lit(f"format: WARC File Format 1.1{EOL}")).alias("value"))
-    rows.select(F.explode(records).alias("value")).unionByName(info).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select(F.explode(records).alias("value")).unionByName(info).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", level).text(path)
     return archive
 
 
@@ -102,10 +105,15 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: its response or revisit with the request and the metadata concurrent to it.
 
     Captures without a request or metadata record keep null there. page_id comes from the metadata record's fields, and
-    refers_to_page from the capture that a revisit refers to.
+    refers_to_page from the capture that a revisit refers to. Digest and length of each response's payload are taken anew from
+    what was read, and headers that state others fail the job; a revisit, which has no payload, keeps what its headers state.
     """
     http_head = F.substring_index("block", EOL * 2, 1)
-    responses = records.filter("type IN ('response', 'revisit')").select("record_id", "type", "refers_to", "target_uri", "payload_digest", F.regexp_extract(http_head, r"(?m)^Content-Length: (\d+)", 1).cast("long").alias("payload_bytes"), F.expr("substring(block, length(substring_index(block, '\\r\\n\\r\\n', 1)) + 5)").alias("payload"))
+    states = F.regexp_extract(http_head, r"(?m)^Content-Length: (\d+)", 1).cast("long")
+    heads = records.filter("type IN ('response', 'revisit')").select("record_id", "type", "refers_to", "target_uri", F.col("payload_digest").alias("stated"), states.alias("stated_bytes"), F.expr("substring(block, length(substring_index(block, '\\r\\n\\r\\n', 1)) + 5)").alias("payload"))
+    read, size = base32(F.sha1("payload")), F.octet_length("payload").cast("long")
+    whole = (F.col("type") == "revisit") | ((F.col("stated") == read) & (F.col("stated_bytes") == size))
+    responses = heads.select("record_id", "type", "refers_to", "target_uri", "payload", F.col("stated_bytes").alias("payload_bytes"), F.when(whole, F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("digest differs in "), F.col("record_id")))).alias("payload_digest"))
     asked = records.filter("type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.col("record_id").alias("request_id"), F.regexp_extract("block", r"^(\S+) ", 1).alias("method"))
     noted = records.filter("type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.col("record_id").alias("metadata_id"), F.regexp_extract("block", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"))
     flat = responses.join(noted, "record_id", "left").join(asked, "record_id", "left")
