@@ -1,15 +1,20 @@
-"""Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated Poisson sampling."""
+"""Mixing sources to target weights: iterative proportional fitting of token weights under the bound that no document is taken
+more than once, then calibrated Poisson sampling. DataFrame functions only."""
 
 from __future__ import annotations
 
-import json
+import logging
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, packed, unpacked
+from tickloom.llm.common import discard, materialize, packed, skew_join, unpacked
 
 DIMENSIONS = ("source", "lang", "topic")
+ONE_TASK_CELLS = 200_000  # so many cells, of some numbers each, are swept in one task; more stay spread out
+SWEEPS = 6  # that a job makes
+log = logging.getLogger(__name__)
 
 
 def topic_of(text: Column) -> Column:
@@ -24,74 +29,95 @@ def level(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
 
 
-def levels_frame(spark, name: str, factors: dict[str, float]) -> DataFrame:
-    rows = json.dumps([{"level": k, "factor": repr(v)} for k, v in factors.items()])
-    kind = "array<struct<level:string,factor:string>>"
-    frame = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
-    return frame.select(F.col("level").alias(f"_l_{name}"), F.col("factor").cast("double").alias(f"_f_{name}"))
-
-
-def with_factors(df: DataFrame, factors: dict[str, dict[str, float]]) -> DataFrame:
-    """df with _f, the product of its levels' factors. Factor tables have at most max_levels rows and are broadcast."""
-    out = df
-    for name, own in factors.items():
-        out = out.join(F.broadcast(levels_frame(df.sparkSession, name, own)), F.col(name) == F.col(f"_l_{name}"))
-    product = F.lit(1.0)
-    for name in factors:
-        product = product * F.col(f"_f_{name}")
-    return out.withColumn("_f", product).drop(*[c for n in factors for c in (f"_l_{n}", f"_f_{n}")])
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = 20, tolerance: float = 1e-6) -> dict[str, dict[str, float]]:
-    """Factors per dimension and level such that the cells' tokens times their factors have the target shares in every
-    dimension. A step is one grouped sum over the cells; the driver holds a number a level."""
-    factors = {d: dict.fromkeys(t, 1.0) for d, t in targets.items()}
-    for _ in range(sweeps):
-        worst = 0.0
-        for d, wanted in targets.items():
-            sums = dict(with_factors(cells, factors).groupBy(d).agg(F.sum(F.col("tokens") * F.col("_f")).alias("s")).collect())
-            whole = sum(wanted[k] for k in sums)
-            total = sum(sums.values())
-            for k, s in sums.items():
-                ratio = (wanted[k] / whole) / (s / total) if s else 1.0
-                worst = max(worst, abs(ratio - 1))
-                factors[d][k] *= ratio
-            mean = sum(sums.values()) / total
-            factors[d] = {k: v * mean for k, v in factors[d].items()}
-        if worst < tolerance:
-            break
-    return factors
-
-
-def scale_for(cells: DataFrame, factors: dict[str, dict[str, float]], budget: float) -> float:
-    """c such that the expected tokens, the sum of tokens * min(1, c * factor), are the budget (all if it is larger)."""
-    known = materialize(with_factors(cells, factors))
-    c = None
-    for _ in range(50):
-        full = F.col("_f") * F.lit(c) >= 1 if c is not None else F.lit(False)
-        fixed, rest = known.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("_f")))).first()
-        if not rest or fixed >= budget:
-            return c if c is not None else 0.0
-        new = (budget - fixed) / rest
-        if c is not None and abs(new - c) <= 1e-12 * c:
+def shared_out(df: DataFrame, by: list[str], size: str, weight: Column, budget: Column, name: str) -> DataFrame:
+    """df with name, the factor m by which all rows of a group must be multiplied so that min(size, m * weight) sums to the
+    group's budget; where all of the group is less than the budget, every row is at its size.
+
+    The sum is a concave function of m, the least of the lines with the k rows of largest weight / size at their sizes and
+    the others at m * weight; so m is the largest of (budget - the k sizes) / the other weights.
+    """
+    order = Window.partitionBy(*by).orderBy((F.col("_w") / F.col(size)).desc(), *[c for c in df.columns if c not in (size,)])
+    after, before = order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    line = (budget - F.coalesce(F.sum(size).over(before), F.lit(0.0))) / F.sum("_w").over(after)
+    lined = df.withColumn("_w", weight).withColumn("_line", F.when(F.col("_w") > 0, line))
+    return lined.withColumn(name, F.coalesce(F.max("_line").over(Window.partitionBy(*by)), F.lit(0.0))).drop("_w", "_line")
+
+
+def level_targets(cells: DataFrame, dimension: str, shares: dict[str, float] | None, temper: float, fraction: float) -> DataFrame:
+    """dimension and t_dimension, the tokens to take of each level: `fraction` of all tokens by the given shares, or by observed
+    shares to the power `temper`. A level gives no more than it has; what is asked beyond goes to the others by their shares."""
+    sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
+    if shares is None:
+        share = F.pow(F.col("tokens"), F.lit(temper))
+    else:
+        given = [F.when(F.col(dimension) == ("null" if k is None else f"={k}"), F.lit(float(v))) for k, v in shares.items()]
+        share = F.coalesce(*given, F.lit(0.0)) if given else F.lit(0.0)
+    whole = Window.partitionBy("_all")
+    asked = sums.withColumn("_all", F.lit(1)).withColumn("_share", F.when(F.col("tokens") > 0, share).otherwise(0.0)).withColumn("_budget", F.lit(fraction) * F.sum("tokens").over(whole))
+    met = shared_out(asked, ["_all"], "tokens", F.col("_share"), F.col("_budget"), "_m")
+    return met.select(dimension, F.least(F.col("tokens"), F.col("_m") * F.col("_share")).alias(f"t{dimension}"))
+
+
+def sweep(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One round of proportional fitting: per dimension all weights of a level are multiplied so that its tokens meet its target."""
+    for key in keys:
+        cells = shared_out(cells, [key], "tokens", F.col("tokens") * F.col("w"), F.col(f"t{key}"), "_m").withColumn("w", F.col("w") * F.col("_m")).drop("_m")
+    return cells
+
+
+def rake(cells: DataFrame, keys: list[str], tolerance: float = 1e-4, jobs: int = 20) -> tuple[DataFrame, float]:
+    """(cells with w, the largest miss): min(1, w) is each cell's inclusion probability.
+
+    cells: keys, tokens and a target a key. Cells with a level of no target are out from the start. A job makes SWEEPS
+    sweeps; it ends once no level of any dimension is off by more than `tolerance` of all tokens to take. Targets that
+    contradict one another, or levels that share no cell, leave a miss: the caller is told how large.
+    """
+    some = reduce(lambda a, b: a & b, [F.col(f"t{k}") > 0 for k in keys]) & (F.col("tokens") > 0)
+    now = cells.withColumn("w", F.when(some, 1.0).otherwise(0.0))
+    together = cells.count() <= ONE_TASK_CELLS
+    now = materialize(now)
+    before = None
+    for _ in range(jobs):
+        fitted = now.coalesce(1) if together else now
+        for _ in range(SWEEPS):
+            fitted = sweep(fitted, keys)
+        fitted, old = materialize(fitted), now
+        discard(old)
+        now, taken = fitted, F.col("tokens") * F.least(F.col("w"), F.lit(1.0))
+        miss = 0.0
+        for k in keys:
+            off = fitted.groupBy(k).agg(F.sum(taken).alias("s"), F.max(f"t{k}").alias("t"))
+            worst, total = off.agg(F.max(F.abs(F.col("s") - F.col("t"))), F.sum("t")).first()
+            miss = max(miss, worst / total) if total else miss
+        if miss <= tolerance or (before is not None and abs(before - miss) <= tolerance / 100):
             break
-        c = new
-    return c
+        before = miss
+    return now, miss
+
+
+def fitted_cells(docs: DataFrame, keys: list[str], targets: dict[str, dict[str | None, float]], temper: float, fraction: float, tolerance: float = 1e-4) -> tuple[DataFrame, float]:
+    cells = materialize(docs.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("tokens")))
+    aimed = cells
+    for key, d in zip(keys, DIMENSIONS, strict=True):
+        aimed = aimed.join(level_targets(cells, key, targets.get(d), temper, fraction), key)
+    return rake(materialize(aimed), keys, tolerance)
 
 
 def mix_sources(
     docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, fraction: float = 0.5, temper: float = 0.5,
-    topic: Column | None = None, max_levels: int = 10_000, seed: int = 42,
+    topic: Column | None = None, seed: int = 42, strict: bool = False,
 ) -> DataFrame:
     """A sample of docs whose expected tokens have the target shares by source, lang and topic at once; a Poisson sample,
     each document taken with its own probability p, a hash of doc_id and seed deciding.
 
     docs: doc_id, text, source, lang and any more. topic: an expression where the table has no such column. targets: shares
     by dimension and level (null allowed); by default each level's observed token share to the power `temper`, which lifts
-    small levels. Levels without a target get none. fraction: expected part of all tokens (white-space words) that is
-    taken. More than max_levels levels in a dimension are an error, for targets are given level by level. Adds topic,
-    tokens and p. Null levels are a level; empty and null texts have 0 tokens and their cell's p; repeated rows share
-    their fate; an empty table gives no rows.
+    small levels. Levels without a target get none; targets of levels that are not there are shared out among the others,
+    and if no level with a target is there, no document is taken. fraction: expected part of all tokens (white-space
+    words) that is taken. A level can't give more tokens than it has: what its target asks beyond goes to the other levels
+    by their shares. Where the targets of the dimensions still contradict one another, the sample is as near as fitting
+    came, which is logged, or an error if `strict`. Adds topic, tokens and p. Null levels are a level; documents without
+    tokens have their cell's p, 1 where the whole cell has none; repeated rows share their fate; an empty table gives no rows.
     """
     own = ["doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else [])]
     if topic is None:
@@ -100,19 +126,14 @@ def mix_sources(
     marked = docs.withColumn("_topic", topic).transform(lambda d: packed(d, [*own, "_topic"])).withColumn("topic", F.col("_topic")).withColumn("tokens", words)
     keys = [f"_{d}" for d in DIMENSIONS]
     levelled = marked.withColumns({k: level(d) for k, d in zip(keys, DIMENSIONS, strict=True)})
-    cells = materialize(levelled.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("tokens")))
-    wanted: dict[str, dict[str, float]] = {}
-    for key, d in zip(keys, DIMENSIONS, strict=True):
-        sums = dict(cells.groupBy(key).agg(F.sum("tokens")).limit(max_levels + 1).collect())
-        if len(sums) > max_levels:
-            raise ValueError(f"{d} has over {max_levels} levels; give a coarser column")
-        given = {("null" if k is None else f"={k}"): v for k, v in (targets or {}).get(d, {}).items()}
-        wanted[key] = {k: given.get(k, 0.0) if given else s**temper for k, s in sums.items()}
-        whole = sum(wanted[key].values())
-        wanted[key] = {k: v / whole if whole else 1.0 for k, v in wanted[key].items()}
-    total = cells.agg(F.sum("tokens")).first()[0]
-    factors = rake(cells, wanted) if total else {k: dict.fromkeys(v, 1.0) for k, v in wanted.items()}
-    c = scale_for(cells, factors, fraction * total) if total else 1.0
+    cells, miss = fitted_cells(levelled, keys, targets or {}, temper, fraction)
+    if miss > 1e-3:
+        if strict:
+            raise ValueError(f"targets cannot be met together: a level is off by {miss:.2%} of the tokens to take")
+        log.warning("targets cannot be met together: a level is off by %.2f %% of the tokens to take", 100 * miss)
+    bare = (F.col("tokens") == 0) & reduce(lambda a, b: a & b, [F.lit((targets or {}).get(d) is None) for d in DIMENSIONS])
+    odds = cells.select(F.xxhash64(*keys).alias("_cell"), *[F.col(k).alias(f"_c{k}") for k in keys], F.when(bare, 1.0).otherwise(F.least(F.lit(1.0), F.col("w"))).alias("p"))
     unit = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    taken = with_factors(levelled, factors).withColumn("p", F.least(F.lit(1.0), F.col("_f") * F.lit(c))).filter(unit < F.col("p"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_c{k}") for k in keys])
+    taken = skew_join(levelled.withColumn("_cell", F.xxhash64(*keys)), odds, ["_cell"]).filter(same & (unit < F.col("p")))
     return unpacked(taken, docs.columns, {n: F.col(n) for n in ("topic", "tokens", "p")})
