@@ -11,20 +11,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import with_row_id
-from tickloom.llm.vectors import Best, finite, search
+from tickloom.llm.common import materialize, numbered
+from tickloom.llm.vectors import Best, finite, power_above, search
 
 SLACK = 1e-9
+PLAIN = 500  # products of two numbers below 2**500 in size neither overflow nor vanish
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows of x with q, summed from the first component to the last, so equal vectors score alike wherever
+    they stand. Very large or small vectors are scaled by powers of two first: only a true overflow gives infinity."""
+    px, pq = power_above(x), power_above(q)
+    px, pq = (0 if abs(p) < PLAIN else p for p in (px, pq))
+    x, q = np.ldexp(x, -px) if px else x, np.ldexp(q, -pq) if pq else q
+    total = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        total += x[:, i] * q[i]
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.ldexp(total, px), pq) if px or pq else total
 
 
 class Tree:
-    """Nodes over a permutation of the shard's rows: (first, last, vantage, radii of the inner half, of the outer half, halves)."""
+    """Nodes over a permutation of the shard's rows: (vantage, radii of the inner half, of the outer half, halves), leaves (rows,).
+    Distances are between rows divided by a power of two above all their components, so none overflows."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, leaf: int):
         self.ids, self.rows, self.x = ids, rows, matrix
-        square = np.einsum("ij,ij->i", matrix, matrix)
+        self.power = power_above(matrix)
+        self.unit = np.ldexp(matrix, -self.power)
+        square = np.einsum("ij,ij->i", self.unit, self.unit)
         self.top = float(square.max(initial=0.0))
-        self.lifted = np.column_stack([matrix, np.sqrt(np.maximum(0.0, self.top - square))])
+        self.lifted = np.column_stack([self.unit, np.sqrt(np.maximum(0.0, self.top - square))])
         self.leaf, self.rng = leaf, np.random.default_rng(len(ids))
         self.root = self._grow(np.arange(len(ids)))
 
@@ -40,21 +57,28 @@ class Tree:
 
     def find(self, own: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, ...]:
         best = Best(len(q), k, np.float64)
-        norm = np.einsum("ij,ij->i", q, q)
-        lifted = np.column_stack([q, np.zeros(len(q))])
+        power = np.array([power_above(v) for v in q], dtype=np.int64)  # each query by its own size: it changes no order
+        unit = np.ldexp(q, -power[:, None].astype(np.int32))
+        norm = np.einsum("ij,ij->i", unit, unit)
+        lifted = np.column_stack([unit, np.zeros(len(q))])
+        near = np.full(len(q), -np.inf)  # the k-th best score in these units
+        error = 1e-12 * np.sqrt(norm * self.top) * max(1, q.shape[1]) + 1e-300
 
         def walk(node: tuple, active: np.ndarray, bound: np.ndarray) -> None:
-            reach = np.sqrt(np.maximum(0.0, norm[active] + self.top - 2 * best.least[active]))  # inf while fewer than k are known
+            reach = np.sqrt(np.maximum(0.0, norm[active] + self.top - 2 * near[active]))  # inf while fewer than k are known
             live = bound * factor <= reach * (1 + SLACK) + SLACK
             active, bound = active[live], bound[live]
             if not len(active):
                 return
             if len(node) == 1:
                 members = node[0]
-                scores = q[active] @ self.x[members].T
-                hit = (scores >= best.least[active][:, None]).any(axis=1)
-                for i in np.flatnonzero(hit):
-                    best.add(active[i], scores[i], self.ids[members], self.rows[members], own[active[i]])
+                rough = unit[active] @ self.unit[members].T
+                hit = rough >= (near - error)[active][:, None]
+                for i in np.flatnonzero(hit.any(axis=1)):
+                    chosen, a = members[hit[i]], active[i]
+                    best.add(a, products(self.x[chosen], q[a]), self.ids[chosen], self.rows[chosen], own[a])
+                    if best.least[a] is not None:
+                        near[a] = np.ldexp(np.ldexp(best.least[a], -self.power), -int(power[a]))
                 return
             vantage, inner, outer, first, second = node
             d = np.linalg.norm(lifted[active] - vantage, axis=1)
@@ -74,11 +98,12 @@ def nearest_vectors(rows: DataFrame, query_where: str = "vec_id % 20 = 0", k: in
     """(query_id, rank, vec_id, score): for each row that query_where picks the k other rows of largest inner product found.
 
     rows: vec_id, embedding; other columns aren't used. Every row is indexed, in the tree of one shard. Scores are inner
-    products of the original vectors in double precision; ties go to the smaller vec_id, null ids first. Vectors that are
-    null, zero or hold null or non-finite components take no part; vectors of another length than the query's are no
+    products of the original vectors in double precision, summed in order of the components; ties go to the smaller
+    vec_id, null ids first. Vectors of any finite size take part; a product beyond the doubles is infinite. Vectors that
+    are null, zero or hold null or non-finite components take no part; vectors of another length than the query's are no
     candidates; fewer than k candidates are all returned. Repeated rows are candidates of one another. An empty table
     gives no rows.
     """
-    plain = with_row_id(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")))
-    usable = plain.filter(finite("vec") & F.exists("vec", lambda x: x != 0))
+    plain = numbered(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")))
+    usable = materialize(plain.filter(finite("vec") & F.exists("vec", lambda x: x != 0)))
     return search(usable, usable.filter(query_where), k, shard_rows, lambda i, r, m: Tree(i, r, m, leaf), lambda t, own, q, n: t.find(own, q, n, factor), "double")
