@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -73,12 +74,19 @@ def nearest(rows, every, k, integer=False):
     def use(v):
         return v is not None and all(x is not None and np.isfinite(x) for x in v) and (integer or any(v))
 
-    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows if use(v)}
+    vectors = {i: [float(x) for x in v] for i, v in rows if use(v)}
     if integer:
-        vectors = {i: np.floor(256 * v).astype(np.int64) for i, v in vectors.items()}
+        vectors = {i: [int(Fraction(x) * 256 // 1) for x in v] for i, v in vectors.items()}
+
+    def product(a, b):
+        total = 0 if integer else 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
     out = {}
     for q in sorted(i for i in vectors if i % every == 0):
-        scores = sorted((-(vectors[q] @ v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:k]
+        scores = sorted((-product(vectors[q], v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:k]
         for rank, (s, i) in enumerate(scores, 1):
             out[q, rank] = (i, -s)
     return out
@@ -95,6 +103,38 @@ def pieces(docs, encode, capacity=1024, end=2):
     return out
 
 
+def mixing(tokens, shares, fraction):
+    """Inclusion probability of each cell. tokens: by (level, ...) cell; shares: by dimension and level. Targets are capped by
+    what a level has, factors found by bisection, one dimension after the other until nothing moves."""
+
+    def least_factor(sizes, weights, budget):
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            got = sum(min(s, mid * w) for s, w in zip(sizes, weights, strict=True))
+            low, high = (mid, high) if got < budget else (low, mid)
+        return high
+
+    total, dims, aims = sum(tokens.values()), range(len(next(iter(tokens)))), []
+    for d in dims:
+        levels = {}
+        for cell, t in tokens.items():
+            levels[cell[d]] = levels.get(cell[d], 0) + t
+        share = {x: shares[d].get(x, 0.0) for x in levels}
+        m = least_factor(list(levels.values()), [share[x] for x in levels], fraction * total)
+        aims.append({x: min(levels[x], m * share[x]) for x in levels})
+    w = {c: float(all(aims[d][c[d]] > 0 for d in dims)) for c in tokens}
+    for _ in range(400):
+        for d in dims:
+            for x, aim in aims[d].items():
+                cells = [c for c in tokens if c[d] == x and w[c] > 0]
+                if cells:
+                    m = least_factor([tokens[c] for c in cells], [tokens[c] * w[c] for c in cells], aim)
+                    for c in cells:
+                        w[c] *= m
+    return {c: min(1.0, x) for c, x in w.items()}, aims
+
+
 def minimax(sizes, shards):
     """Smallest largest run over all contiguous partitions, by dynamic programming."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -133,7 +173,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8):
+def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8, long_words=40):
     places = defaultdict(list)
     for d, t in sorted(docs, key=lambda x: x[0]):
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
@@ -144,7 +184,14 @@ def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8):
         for choice in combinations(enumerate(line_blocks(n)), 4 - changed):
             met[choice].append(n)
     pairs = {p for group in met.values() for p in combinations(group, 2)}
-    linked = [(a, b) for a, b in pairs if edit_distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)]
+    linked = []
+    for a, b in pairs:
+        if max(a.count(" "), b.count(" ")) + 1 >= long_words:
+            x, y = a.split(" "), b.split(" ")
+        else:
+            x, y = a, b
+        if edit_distance(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9):
+            linked.append((a, b))
     group, keep = components(names, linked), {}
     for n in names:
         keep[group[n]] = min(keep.get(group[n], (1 << 62, 0)), places[n][0])

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,8 +218,42 @@ class Runs:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-BYTE_ODD, WORD_ODD, SECOND_ODD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mixed(Runs(data + np.uint16(1), BYTE_ODD).of(starts, ends) + (ends - starts).astype(np.uint64))
+WORD_ODD, SECOND_ODD = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+# The five primes of XXH64.
+PRIMES = tuple(map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)))
+
+
+def rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each word: those under 32 bytes all together, lane by lane, longer ones each by the library."""
+    p1, p2, p3, p4, p5 = PRIMES
+    left, at = ends - starts, starts.astype(np.int64)
+    out = np.uint64(seed) + p5 + left.astype(np.uint64)
+    long = np.flatnonzero(left >= 32)
+    left = np.where(left < 32, left, 0)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    for width, rounds in ((8, 3), (4, 1), (1, 3)):
+        for _ in range(rounds):
+            these = np.flatnonzero(left >= width)
+            if not len(these):
+                break
+            where, h = at[these], out[these]
+            if width == 8:
+                lane = rotated(lanes[where].view("<u8")[:, 0] * p2, 31) * p1
+                out[these] = rotated(h ^ lane, 27) * p1 + p4
+            elif width == 4:
+                out[these] = rotated(h ^ lanes[where, :4].view("<u4")[:, 0].astype(np.uint64) * p1, 23) * p2 + p3
+            else:
+                out[these] = rotated(h ^ padded[where].astype(np.uint64) * p5, 11) * p1
+            at[these] += width
+            left[these] -= width
+    out = (out ^ (out >> np.uint64(33))) * p2
+    out = (out ^ (out >> np.uint64(29))) * p3
+    out ^= out >> np.uint64(32)
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out

@@ -28,8 +28,8 @@ class Winnowed:
         self.data, offsets = bytes_and_offsets(column)
         self.starts, self.ends, self.first = word_spans(self.data, offsets)
         self.window, self.gram, n = window, gram, len(self.starts)
-        h = word_hashes(self.data, self.starts, self.ends)
-        self.runs, self.second = Runs(h, WORD_ODD), Runs(mixed(h + np.uint64(1)), SECOND_ODD)
+        self.runs = Runs(word_hashes(self.data, self.starts, self.ends), WORD_ODD)
+        self.second = Runs(word_hashes(self.data, self.starts, self.ends, seed=1), SECOND_ODD)
         self.row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         self.begin = np.arange(max(0, n - window + 1))
         inside = self.row[self.begin] == self.row[self.begin + window - 1] if len(self.begin) else np.zeros(0, dtype=bool)
@@ -135,7 +135,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 12) -> DataF
 
     docs: text and any more columns. Words are [^\\x20\\x09-\\x0D]+, unchanged, over whole texts. All copies of a passage are
     removed, judged on the input. Null and empty texts have no words and an empty kept_text; repeated rows are copies of
-    one another; an empty table gives no rows. A window counts as equal to another if two 64-bit hashes of its words are.
+    one another; an empty table gives no rows. Two windows count as equal if hashes
+    of their anchors and of all their words are, made of XXH64 of the words under two seeds.
 
     Anchors and windows are counted by partial sums and found again by joins whose hot keys AQE can split, so a passage
     in thousands of texts costs what its occurrences cost. Texts are shuffled once, by row, and that exchange is reused.
