@@ -276,10 +276,10 @@ def test_line_simhash(spark):
     frame = spark.createDataFrame([(x,) for x in lines], "t string")
     words = frame.select("t", F.split("t", " ").alias("words")).select("t", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
     want = {x: sum(1 << (i + 16 * j) for b, block in enumerate(brute.line_blocks(x)) for (i, j), bit in zip(((i, j) for i in range(4 * b, 4 * b + 4) for j in range(4)), block, strict=True) if bit) for x in lines}
-    for size in (16_000, 50):
+    for size in (60_000, 50):
         linededup.LANE_WORDS = size
         assert {r.t: r.fp % (1 << 64) for r in grouped_simhash(words, ["t"]).collect()} == want
-    linededup.LANE_WORDS = 16_000
+    linededup.LANE_WORDS = 60_000
 
 
 @pytest.mark.parametrize("edits", [1, 2])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import ROW, discard, materialize, packed, skew_join, unpacked, with_row_id
 from tickloom.llm.components import connected_components
 
-LANES, LANE_WORDS = 16, 16_000
+LANES, LANE_WORDS = 16, 60_000
 EACH = 0x0001_0001_0001_0001
 BLOCKS = 4
 CLOSE_BANDS = (8, 32, 128, 512, 2048, 8192)
@@ -46,28 +46,23 @@ def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys and fp, a 64-bit SimHash of four blocks: a bit of block b is 1 if over half of the words of the b-th quarter of the
     line have it in their XXH64.
 
-    words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so 16 sums
-    count all 64 bits. With 2**14 less the majority added to each lane, bit 14 tells where a majority was reached; lanes
-    hold LANE_WORDS words for that. Longer lines are summed in parts, and the parts' counters, unpacked, once more.
+    words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so four sums
+    count the 16 bits of a quarter's block over LANE_WORDS words; a line's quarters and such parts come together in lanes of 32 bits. With 2**30
+    less the majority added to each of these, bit 30 tells where a majority was reached.
     """
-    quarter = F.floor(F.col("pos") * BLOCKS / F.col("n")).cast("int")
-    hashed = words.select(*keys, "n", (F.col("pos") / LANE_WORDS).cast("int").alias("part"), quarter.alias("q"), F.xxhash64("w").alias("x"))
-    lane = lambda i: F.when(F.col("q") == i // 4, F.shiftrightunsigned("x", i).bitwiseAND(long_(EACH))).otherwise(long_(0))
-    sums = hashed.groupBy(*keys, "part").agg(F.max("n").alias("n"), *[F.sum(lane(i)).alias(f"s{i}") for i in range(LANES)])
-    begins = lambda b: F.floor((F.col("n") * b + BLOCKS - 1) / BLOCKS)
-    half = lambda b: F.floor((begins(b + 1) - begins(b)) / 2)
-    fp = long_(0)
-    for i in range(LANES):
-        bias = (long_(1 << 14) - (half(i // 4) + 1)) * long_(EACH)
-        reached = F.shiftrightunsigned((F.col(f"s{i}") + bias).bitwiseAND(long_(EACH << 14)), 14)
-        fp = fp.bitwiseOR(F.shiftleft(reached, i))
-    short = sums.filter(F.col("n") <= LANE_WORDS).select(*keys, fp.alias("fp"))
-    counts = {i + LANES * j: F.shiftright(f"s{i}", LANES * j).bitwiseAND(long_(0xFFFF)) for i in range(LANES) for j in range(4)}
-    long = sums.filter(F.col("n") > LANE_WORDS).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(c).alias(f"c{at}") for at, c in counts.items()])
-    whole = long_(0)
-    for at in counts:
-        whole = whole.bitwiseOR(F.when(F.col(f"c{at}") > half(at % LANES // 4), F.shiftleft(long_(1), at)).otherwise(long_(0)))
-    return short.unionByName(long.select(*keys, whole.alias("fp")))
+    quarter = F.expr(f"CAST(pos * {BLOCKS} div n AS INT)")
+    hashed = words.select(*keys, "n", F.expr(f"CAST(pos div {LANE_WORDS} AS INT)").alias("part"), quarter.alias("q"), F.xxhash64("w").alias("x"))
+    lane = lambda j: F.expr(f"shiftrightunsigned(x, 4 * q + {j})").bitwiseAND(long_(EACH))
+    parts = hashed.groupBy(*keys, "n", "q", "part").agg(*[F.sum(lane(j)).alias(f"s{j}") for j in range(4)])
+    wide = {(j, h): F.shiftrightunsigned(f"s{j}", 16 * h).bitwiseAND(long_(0x0000_FFFF_0000_FFFF)) for j in range(4) for h in (0, 1)}
+    sums = parts.groupBy(*keys, "n", "q").agg(*[F.sum(c).alias(f"w{j}_{h}") for (j, h), c in wide.items()])
+    begins = lambda b: F.expr(f"(n * ({b}) + {BLOCKS - 1}) div {BLOCKS}")
+    bias = (long_(1 << 30) - (F.floor((begins("q + 1") - begins("q")) / 2) + 1)) * long_(0x0000_0001_0000_0001)
+    block = long_(0)
+    for j, h in wide:
+        reached = F.shiftrightunsigned((F.col(f"w{j}_{h}") + bias).bitwiseAND(long_(0x4000_0000_4000_0000)), 30)
+        block = block.bitwiseOR(F.shiftleft(reached, j + 16 * h))
+    return sums.select(*keys, "q", block.alias("block")).groupBy(*keys).agg(F.bit_or(F.expr("shiftleft(block, 4 * q)")).alias("fp"))
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -202,7 +197,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similari
     AQE can split, so a line may stand in any share of the documents.
     """
     marked = with_row_id(packed(docs, ["doc_id", "text"]))
-    rows = line_rows(marked, min_chars)
+    rows = materialize(line_rows(marked, min_chars))
     lines = materialize(distinct_lines(rows))
     groups = linked_lines(lines, marked, changed, similarity)
     linked = materialize(lines.join(groups.withColumnRenamed("node", "lid"), "lid").select("h1", "h2", "component", F.struct("doc_id", ROW, "ln").alias("first")))
@@ -212,7 +207,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similari
     keep = materialize(exact.unionByName(fuzzy).select("h1", "h2", F.col(f"first.{ROW}").alias("keep_row"), F.col("first.ln").alias("keep_ln")))
     dropped = skew_join(rows.select("h1", "h2", ROW, "ln"), keep.hint("shuffle_hash"), ["h1", "h2"]).filter((F.col(ROW) != F.col("keep_row")) | (F.col("ln") != F.col("keep_ln")))
     cut = dropped.groupBy(ROW).agg(F.collect_set("ln").alias("_cut"))
-    found = marked.join(cut, ROW, "left").withColumn("_lines", F.explode(F.array(F.when(F.col("_cut").isNotNull(), F.split("text", "\n")))))
+    found = marked.join(cut.hint("shuffle_hash"), ROW, "left").withColumn("_lines", F.explode(F.array(F.when(F.col("_cut").isNotNull(), F.split("text", "\n")))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
     return unpacked(found, docs.columns, {"n_lines_removed": F.coalesce(F.size("_cut"), F.lit(0))}, {"text": text})
