@@ -108,8 +108,8 @@ def mixing(tokens, shares, fraction):
     what a level has, factors found by bisection, one dimension after the other until nothing moves."""
 
     def least_factor(sizes, weights, budget):
-        low, high = 0.0, 1e12
-        for _ in range(200):
+        low, high = 0.0, 1e6
+        for _ in range(70):
             mid = (low + high) / 2
             got = sum(min(s, mid * w) for s, w in zip(sizes, weights, strict=True))
             low, high = (mid, high) if got < budget else (low, mid)
@@ -124,7 +124,7 @@ def mixing(tokens, shares, fraction):
         m = least_factor(list(levels.values()), [share[x] for x in levels], fraction * total)
         aims.append({x: min(levels[x], m * share[x]) for x in levels})
     w = {c: float(all(aims[d][c[d]] > 0 for d in dims)) for c in tokens}
-    for _ in range(400):
+    for _ in range(80):
         for d in dims:
             for x, aim in aims[d].items():
                 cells = [c for c in tokens if c[d] == x and w[c] > 0]

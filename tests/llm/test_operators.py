@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_advice_r01 import similar_keepers
 from tickloom.llm import linededup
 from tickloom.llm import queries as Q
 from tickloom.llm.common import with_row_id
@@ -382,6 +383,36 @@ def test_importance_keeps_clean_documents(spark, sf_dir, odd):
     assert importance_resample(odd, marks, k=3).count() == 3 and importance_resample(odd, marks, k=99).count() == odd.count() and not importance_resample(odd.limit(0), marks).count()
 
 
+def test_gumbel_keys_follow_the_weights(spark):
+    """Over many seeds, each document is first as often as its weight says, and the first two follow the weights without it."""
+    from tickloom.llm.importance import gumbel_key
+
+    scores, n = {1: 0.0, 2: 1.0, 3: 2.0, 4: 2.5, 5: -1.0}, 6000
+    docs = spark.createDataFrame(list(scores.items()), "doc_id long, score double")
+    keyed = docs.crossJoin(spark.range(n).withColumnRenamed("id", "seed")).withColumn("key", gumbel_key(F.col("score"), 0.8, F.col("seed")))
+    top = keyed.groupBy("seed").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("key", "doc_id")))), 1, 2).alias("t"))
+    pairs = [tuple(x.doc_id for x in r.t) for r in top.collect()]
+    w = {d: np.exp(x / 0.8) for d, x in scores.items()}
+    whole = sum(w.values())
+    for d in scores:
+        share = sum(p[0] == d for p in pairs) / n
+        assert abs(share - w[d] / whole) < 4 * (w[d] / whole / n) ** 0.5 + 1e-3
+        for e in scores:
+            if e != d:
+                chance = w[d] / whole * w[e] / (whole - w[d])
+                assert abs(sum(p == (d, e) for p in pairs) / n - chance) < 4 * (chance / n) ** 0.5 + 1e-3
+
+
+def test_row_ids_hold_on_shuffled_input(spark, odd, sf_dir):
+    """Frames that are no plain scan are written once: rows keep their ids, and results those of the table."""
+    once = with_row_id(odd.repartition(5))
+    assert {(r._row, r.text) for r in once.collect()} == {(r._row, r.text) for r in once.repartition(2).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    shuffled = docs.repartition(4, F.rand(3))
+    for f in (lambda d: dedup_substrings(d).select("doc_id", "kept_text"), lambda d: dedup_lines(d).select("doc_id", "text")):
+        assert plain(f(docs)) == plain(f(shuffled))
+
+
 def test_row_ids_tell_repeats_apart(spark, odd):
     assert with_row_id(odd).select("_row").distinct().count() == odd.count()
 
@@ -413,6 +444,42 @@ def brute_quality(docs, labels):
     return set(sorted(score, key=lambda d: (-key(d), d))[:k])
 
 
+def brute_mix(docs, taken):
+    """The ids that the mix stage takes by brute force; those within 0.02 of their probability, where fitting ends early, as they were taken."""
+    import xxhash
+    from tickloom.llm.mixing import topic_of
+
+    rows = docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), "text").collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.source, r.lang, r.topic] = tokens.get((r.source, r.lang, r.topic), 0) + len((r.text or "").split())
+    shares = [{} for _ in range(3)]
+    for c, t in tokens.items():
+        for d in range(3):
+            shares[d][c[d]] = shares[d].get(c[d], 0) + t
+    p, _ = brute.mixing(tokens, [{x: t**0.5 for x, t in s.items()} for s in shares], 0.8)
+    out = set()
+    for r in rows:
+        h = xxhash.xxh64_intdigest(int(42).to_bytes(4, "little"), xxhash.xxh64_intdigest(int(r.doc_id).to_bytes(8, "little"), 42))
+        odds = p[r.source, r.lang, r.topic] if (r.text or "").split() or tokens[r.source, r.lang, r.topic] else 1.0
+        unit = (h >> 11) / (1 << 53)
+        if unit < odds - 0.02 or (unit < odds + 0.02 and r.doc_id in taken):
+            out.add(r.doc_id)
+    return out
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf_dir, odd):
+    import corpus_pipeline as P
+
+    whole = odd.unionByName(odd.limit(1).withColumn("source", F.lit(None).cast("string")))
+    for docs in (whole, whole.limit(0), whole.filter("doc_id = 4")):
+        for name, stage in P.STAGES:
+            n = docs.count()
+            docs = P.materialize(stage(spark, docs, sf_dir))
+            assert name == "pack" or (docs.columns == P.COLUMNS and docs.count() <= n)
+        assert docs.filter("offset < 0 OR length < 1").isEmpty()
+
+
 def test_pipeline_stages_match_brute_force(spark, sf_dir):
     import corpus_pipeline as P
     from tokenizers import Tokenizer
@@ -426,10 +493,14 @@ def test_pipeline_stages_match_brute_force(spark, sf_dir):
     rows = {n: [tuple(r) for r in d.select("doc_id", "text").collect()] for n, d in held.items() if n != "pack"}
     assert all(held[n].columns == P.COLUMNS for n in rows)
     labels = [(r.doc_id, (r.quality, r.toxic)) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
-    assert {d for d, _ in rows["quality"]} == brute_quality(rows["documents"], labels)
+    from tickloom.llm.importance import toxic_words
+
+    words = set(toxic_words(held["documents"], spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    clean = {d for d, t in rows["documents"] if not words & set(brute.normalised(t or "").split(" "))}
+    assert {d for d, _ in rows["quality"]} == brute_quality(rows["documents"], labels) & clean
     assert set(rows["line_dedup"]) == brute.fuzzy_lines(rows["quality"])
-    assert {d for d, _ in rows["near_dedup"]} == {c for _, _, c in brute.simhash_components(rows["line_dedup"], 5, 7)}
-    assert set(rows["mix"]) <= set(rows["near_dedup"]) and len(rows["mix"]) > 0.5 * len(rows["near_dedup"])
+    assert {d for d, _ in rows["near_dedup"]} == similar_keepers(rows["line_dedup"])
+    assert set(rows["mix"]) == {x for x in rows["near_dedup"] if x[0] in brute_mix(held["near_dedup"], {d for d, _ in rows["mix"]})}
     packed = held["pack"].collect()
     coder = Tokenizer.from_file(Q.tokenizer_files()[0])
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == brute.pieces(rows["mix"], lambda t: coder.encode(t, add_special_tokens=False).ids)

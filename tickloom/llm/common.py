@@ -84,6 +84,11 @@ def plain_scan(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, written once unless it is a plain scan: what is numbered again is then numbered alike."""
+    return df if plain_scan(df) else materialize(df)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """A long id per row, the same however often the frame is evaluated. Scans of files are numbered as they are split, and
     the split is held fixed should executors come or go; any other frame is written once, with its ids."""

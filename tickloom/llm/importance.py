@@ -131,6 +131,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.filter(~F.arrays_overlap(words_of(F.col("text").cast("string")), F.array(*map(F.lit, words)))) if words else docs
 
 
+def gumbel_key(score: Column, temperature: float, seed: Column | int) -> Column:
+    """Rows of the largest keys are a sample without replacement by weights exp(score / temperature); the noise hangs on doc_id
+    and seed alone."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), seed), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return score / F.lit(temperature) - F.log(-F.log(unit))
+
+
 def importance_resample(
     docs: DataFrame, labels: DataFrame, buckets: int = 16_384, temperature: float = 0.02, k: int | None = None,
     keep_weight: float = 3.0, sample_bound: int = 20_000, seed: int = 42,
@@ -150,13 +158,13 @@ def importance_resample(
         log_raw[bucket] += raw
         log_target[bucket] += target
     log_ratio = np.log(log_target / log_target.sum()) - np.log(log_raw / log_raw.sum())
-    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    key = F.col("score") / F.lit(temperature) - F.log(-F.log(unit))
+    key = gumbel_key(F.col("score"), temperature, seed)
     marked = scored(with_row_id(packed(docs, ["doc_id", "text"]).withColumn("text", F.col("text").cast("string"))), log_ratio).withColumn("_key", key)
     chosen = lambda which: unpacked(marked.filter(which), docs.columns, {"score": F.col("score")})
     keys = materialize(marked.select("doc_id", ROW, "score", "_key"))
     if k is None:
-        known = np.array(keys.join(F.broadcast(sample), "doc_id").select("score", "good", "bad").limit(4 * sample_bound).collect(), dtype=float).reshape(-1, 3)
+        labelled = keys.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("score").alias("score"), F.first("good").alias("good"), F.first("bad").alias("bad"))
+        known = np.array(labelled.select("score", "good", "bad").collect(), dtype=float).reshape(-1, 3)  # a row a labelled document: sample_bound at most
         threshold = best_threshold(known[:, 0], known[:, 1] > 0, known[:, 2] > 0, keep_weight)
         k = keys.filter(F.col("score") >= F.lit(threshold)).count()
     ranked = global_order(keys, [F.col("_key").desc(), F.col("doc_id").asc(), F.col(ROW).asc()])

@@ -36,9 +36,9 @@ def shared_out(df: DataFrame, by: list[str], size: str, weight: Column, budget:
     The sum is a concave function of m, the least of the lines with the k rows of largest weight / size at their sizes and
     the others at m * weight; so m is the largest of (budget - the k sizes) / the other weights.
     """
-    order = Window.partitionBy(*by).orderBy((F.col("_w") / F.col(size)).desc(), *[c for c in df.columns if c not in (size,)])
+    order = Window.partitionBy(*by).orderBy(F.try_divide("_w", size).desc(), *[c for c in df.columns if c not in (size,)])
     after, before = order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    line = (budget - F.coalesce(F.sum(size).over(before), F.lit(0.0))) / F.sum("_w").over(after)
+    line = F.try_divide(budget - F.coalesce(F.sum(size).over(before), F.lit(0.0)), F.sum("_w").over(after))
     lined = df.withColumn("_w", weight).withColumn("_line", F.when(F.col("_w") > 0, line))
     return lined.withColumn(name, F.coalesce(F.max("_line").over(Window.partitionBy(*by)), F.lit(0.0))).drop("_w", "_line")
 
