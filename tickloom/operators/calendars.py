@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tickloom.operators.validate import incomplete, invalid_ohlc
 from tickloom.schema import SERIES, later, seconds
 
-PRIORITY = {"open": 0, "holiday": 1, "maintenance": 2, "weekend": 3, "unknown": 4}
-
-
 def weekly_windows(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
     """(weekday from Monday, first minute, end minute) of the open hours of a week: at most some dozens of rows."""
     return spark.createDataFrame(rows, "weekday int, start_minute int, end_minute int")
@@ -21,8 +18,9 @@ def exceptions(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFra
     return spark.createDataFrame(rows, "kind string, start string, end string").selectExpr("kind", "CAST(start AS TIMESTAMP) AS start_utc", "CAST(end AS TIMESTAMP) AS end_utc")
 
 
-def states(slots: DataFrame, weekly: DataFrame, special: DataFrame, time: str = "timestamp_open_utc") -> DataFrame:
-    """slots with market_status: maintenance, then holiday, then weekend, then the week's open hours, else closed.
+def states(slots: DataFrame, weekly: DataFrame, special: DataFrame, time: str = "timestamp_open_utc", weekend: tuple[int, ...] = (5, 6)) -> DataFrame:
+    """slots with market_status: maintenance, then holiday, then weekend (weekdays from Monday 0; open hours on them don't
+    count), then the week's open hours, else unknown.
 
     Calendars are a fixed number of rows, given by hand, so they are broadcast; a slot meets few of them.
     """
@@ -34,16 +32,18 @@ def states(slots: DataFrame, weekly: DataFrame, special: DataFrame, time: str =
     out = out.withColumn("_date", F.to_date(t)).join(days, F.col("_date") == F.col("_d"), "left")
     inside = lambda kind: F.coalesce(F.exists("_special", lambda x: (x["kind"] == kind) & (t >= x["start_utc"]) & (t < x["end_utc"])), F.lit(False))
     is_open = F.coalesce(F.exists("_hours", lambda x: (minute >= x["start_minute"]) & (minute < x["end_minute"])), F.lit(False))
-    status = F.when(inside("maintenance"), "maintenance").when(inside("holiday"), "holiday").when(is_open, "open").when(F.col("_wd") >= 5, "weekend").otherwise("closed")
+    status = F.when(inside("maintenance"), "maintenance").when(inside("holiday"), "holiday").when(F.col("_wd").isin(*weekend), "weekend").when(is_open, "open").otherwise("unknown")
     return out.withColumn("market_status", status).drop("_wd", "_hours", "_date", "_d", "_special")
 
 
 def interval_expected(slots: DataFrame, weekly: DataFrame, special: DataFrame, timeframe: str) -> DataFrame:
-    """Whether a bar of the timeframe is expected: intraday bars if all their minutes are open, days if any is."""
+    """Whether a bar of the timeframe is expected: intraday bars if all their minutes are open, days and months if any is. Bars
+    not expected have the status that all their minutes share, else unknown."""
     minutes = slots.withColumn("_m", F.explode(F.sequence("timestamp_open_utc", later(F.col("timestamp_open_utc"), seconds(timeframe) // 60 - 1), F.expr("INTERVAL 1 MINUTE"))))
-    known = states(minutes, weekly, special, "_m")
     is_open = F.col("market_status") == "open"
-    return known.groupBy(*SERIES, "timestamp_open_utc").agg((F.bool_or(is_open) if timeframe in ("1d", "1mo") else F.bool_and(is_open)).alias("expected"), F.min_by("market_status", F.element_at(F.create_map(*[F.lit(x) for kv in {**PRIORITY, "closed": 5}.items() for x in kv]), F.col("market_status"))).alias("market_status"))
+    grouped = states(minutes, weekly, special, "_m").groupBy(*SERIES, "timestamp_open_utc").agg((F.bool_or(is_open) if timeframe in ("1d", "1mo") else F.bool_and(is_open)).alias("expected"), F.min("market_status").alias("_low"), F.max("market_status").alias("_high"))
+    status = F.when(F.col("expected"), "open").when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("unknown")
+    return grouped.select(*SERIES, "timestamp_open_utc", "expected", status.alias("market_status"))
 
 
 def expected_grid(bars: DataFrame, timeframe: str) -> DataFrame:
@@ -58,16 +58,18 @@ def missing_slots(bars: DataFrame, timeframe: str) -> DataFrame:
 
 def classify_gaps(slots: DataFrame, known: DataFrame, weekly: DataFrame | None = None, special: DataFrame | None = None) -> DataFrame:
     """slots with classification: the first known gap that holds it (its reason), else scheduled_closure where the calendar is
-    closed, else missing_data where it is open, else unknown.
+    not open, else missing_data; without a calendar, unknown_market_status.
 
     known: place, start_utc, end_utc, reason, and instrument and source, where null stands for any; a list kept by hand.
     """
-    k = F.broadcast(known.select("place", "start_utc", "end_utc", "reason", F.col("instrument").alias("k_instrument"), F.col("source").alias("k_source")))
-    t = F.col("timestamp_open_utc")
-    holds = (t >= F.col("start_utc")) & (t < F.col("end_utc")) & (F.col("k_instrument").isNull() | (F.col("k_instrument") == F.col("instrument"))) & (F.col("k_source").isNull() | (F.col("k_source") == F.col("source")))
-    first = slots.join(k, holds, "left").groupBy(*slots.columns).agg(F.min_by("reason", "place").alias("known_reason"))
+    entry = F.struct("place", "reason", "start_utc", "end_utc", "instrument", "source")
+    days = known.select(entry.alias("_gap"), F.explode(F.sequence(F.to_date("start_utc"), F.to_date("end_utc"))).alias("_d"))
+    t, fits = F.col("timestamp_open_utc"), lambda own, asked: asked.isNull() | (asked == F.col(own))
+    holds = lambda g: (t >= g["start_utc"]) & (t < g["end_utc"]) & fits("instrument", g["instrument"]) & fits("source", g["source"])
+    listed = days.groupBy("_d").agg(F.collect_list("_gap").alias("_gaps"))
+    first = slots.withColumn("_date", F.to_date(t)).join(listed, F.col("_date") == F.col("_d"), "left").withColumn("known_reason", F.array_min(F.filter("_gaps", holds))["reason"]).drop("_date", "_d", "_gaps")
     if weekly is None:
-        return first.withColumn("classification", F.when(F.col("known_reason").isNotNull(), "known_gap").otherwise("unknown"))
+        return first.withColumn("classification", F.when(F.col("known_reason").isNotNull(), "known_gap").otherwise("unknown_market_status"))
     status = states(first, weekly, special)
     return status.withColumn("classification", F.when(F.col("known_reason").isNotNull(), "known_gap").when(F.col("market_status") != "open", "scheduled_closure").otherwise("missing_data"))
 
@@ -81,18 +83,29 @@ def gap_islands(slots: DataFrame, timeframe: str) -> DataFrame:
     return marked.groupBy(*SERIES, "day", "_id", "classification").agg(F.min("timestamp_open_utc").alias("gap_start_utc"), later(F.max("timestamp_open_utc"), seconds(timeframe) // 60).alias("gap_end_utc"), F.count("*").alias("n_slots")).drop("_id")
 
 
-def daily_quality(bars: DataFrame, timeframe: str, as_of: Column, stale_after_minutes: int = 5) -> DataFrame:
+GAP_CLASSES = ("known_gap", "scheduled_closure", "missing_data", "unknown_market_status")  # fixed values: names of classes
+
+
+def daily_quality(bars: DataFrame, timeframe: str, as_of: Column, stale_after_minutes: int = 5, classified: DataFrame | None = None) -> DataFrame:
     """One row a series and UTC day: rows, distinct bars, expected, missing and stale slots, incomplete, duplicate and invalid
-    bars, and a status: fail for invalid or duplicate bars, marked for missing or incomplete ones, else pass."""
+    bars, gaps (runs of slots) by class, and a status: fail for invalid, duplicate or incomplete bars and for gaps that
+    nothing explains (missing_data), marked for all other gaps, else pass.
+
+    classified: the missing slots from classify_gaps; without it, all of them are gaps of unknown market status.
+    """
     day = F.to_date("timestamp_open_utc").alias("day")
     found = bars.groupBy(*SERIES, day).agg(F.count("*").alias("n_rows"), F.countDistinct("timestamp_open_utc").alias("n_distinct"), F.count_if(incomplete(as_of)).alias("n_incomplete"), F.count_if(invalid_ohlc()).alias("n_invalid"), F.min("timestamp_open_utc").alias("a"), F.max("timestamp_open_utc").alias("b"))
     step = seconds(timeframe)
     late = missing_slots(bars, timeframe).withColumn("_stale", later(F.col("timestamp_open_utc"), step // 60 + stale_after_minutes) <= as_of)
     missing = late.groupBy(*SERIES, "day").agg(F.count("*").alias("n_missing"), F.count_if("_stale").alias("n_stale"))
-    out = found.join(missing, [*SERIES, "day"], "left").withColumns({
+    slots = missing_slots(bars, timeframe).withColumn("classification", F.lit("unknown_market_status")) if classified is None else classified
+    gaps = gap_islands(slots, timeframe).groupBy(*SERIES, "day").agg(*[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in GAP_CLASSES])
+    none = {f"n_{c}": F.coalesce(f"n_{c}", F.lit(0)) for c in GAP_CLASSES}
+    out = found.join(missing, [*SERIES, "day"], "left").join(gaps, [*SERIES, "day"], "left").withColumns(none).withColumns({
         "n_expected": ((F.unix_seconds("b") - F.unix_seconds("a")) / step + 1).cast("long"), "n_missing": F.coalesce("n_missing", F.lit(0)), "n_stale": F.coalesce("n_stale", F.lit(0)), "n_duplicate": F.col("n_rows") - F.col("n_distinct"),
     })
-    status = F.when((F.col("n_invalid") > 0) | (F.col("n_duplicate") > 0), "fail").when((F.col("n_missing") > 0) | (F.col("n_incomplete") > 0), "marked").otherwise("pass")
+    any_of = lambda *names: F.greatest(*[F.col(n) for n in names]) > 0
+    status = F.when(any_of("n_invalid", "n_duplicate", "n_incomplete", "n_missing_data"), "fail").when(any_of("n_known_gap", "n_scheduled_closure", "n_unknown_market_status"), "marked").otherwise("pass")
     return out.withColumn("quality_status", status).drop("a", "b")
 
 

@@ -57,5 +57,6 @@ def with_sample_ids(rows: DataFrame) -> DataFrame:
     """sample_id for people, and sample_hash over the series, the ISO time and the horizon."""
     t = F.col("prediction_time_utc")
     plain = F.concat_ws("|", "instrument", "source", F.date_format(t, "yyyyMMdd'T'HHmmss.SSSSSS'Z'"))
-    iso = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    parts = F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise("")
+    iso = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), parts, F.lit("+00:00"))
     return rows.withColumn("sample_id", plain).withColumn("sample_hash", F.sha2(F.concat_ws("|", "instrument", "source", iso, F.col("horizon_minutes").cast("string")), 256))

@@ -456,7 +456,7 @@ def policy_select(spark, d):
     return backtest.select_policy(results, 3)
 
 
-WEEK = [(wd, 0, 1320) for wd in range(5)]
+WEEK = [*[(wd, 0, 1320) for wd in range(5)], (6, 1320, 1440)]
 SPECIAL = [("holiday", "2024-01-01 06:00:00", "2024-01-01 09:00:00"), ("maintenance", "2024-01-01 08:00:00", "2024-01-01 10:00:00"), ("holiday", "2024-01-03 23:00:00", "2024-01-04 02:00:00")]
 
 
@@ -503,6 +503,13 @@ def daily_quality(spark, d):
     return calendars.daily_quality(_repeated(spark, d), "1min", F.lit("2024-01-05").cast("timestamp")).select("instrument", "day", "n_rows", "n_distinct", "n_expected", "n_missing", "n_stale", "n_incomplete", "n_duplicate", "n_invalid", "quality_status")
 
 
+@query
+def daily_quality_classes(spark, d):
+    bars = clocks(spark, d)
+    found = calendars.daily_quality(bars, "1min", F.lit("2024-01-05").cast("timestamp"), classified=_classified(spark, d))
+    return found.select("instrument", "day", "n_rows", *[f"n_{c}" for c in calendars.GAP_CLASSES], "n_incomplete", "n_invalid", "quality_status")
+
+
 @query
 def sequence_last20(spark, d):
     s = F.col("sequence")

@@ -206,13 +206,13 @@ ORACLE_SQL["trade_summary_stress"] = sql(TRADES + " tp", f"SELECT {SUMMARY} FROM
 ORACLE_SQL["trade_log_pnl"] = sql(TRADES, "SELECT count(*) AS n, round(sum(sgn * fr - 4), 4) + 0.0 AS net_log_bps FROM tr", BASE)
 GROUPED = f"count(*) AS n_trades, {r('sum(gross)', 'gross_bps')}, {r('sum(net)', 'net_bps')}, {r('avg((net > 0)::INT)', 'hit_rate')} FROM tp"
 ORACLE_SQL["trade_grouped"] = sql(TRADES + " tp", " UNION ALL ".join(f"SELECT '{n}' AS dimension, CAST({c} AS VARCHAR) AS level, {GROUPED} GROUP BY {c}" for n, c in (("utc_session", "ses"), ("utc_hour", "hour(et)"), ("instrument", "instrument"))) + f" UNION ALL SELECT 'horizon_minutes', '15', {GROUPED} HAVING count(*) > 0 UNION ALL SELECT 'all', 'all', {GROUPED}", BASE | pnl(3.0))
-ORACLE_SQL["exposure"] = sql(TRADES, "SELECT round(sum(m), 4) + 0.0 AS observation_minutes, round(sum(hm), 4) + 0.0 AS held_minutes, round(sum(hm) / sum(m), 4) + 0.0 AS exposure FROM (SELECT instrument, epoch(max(le) - min(pt)) / 60.0::DOUBLE AS m FROM dec GROUP BY instrument) JOIN (SELECT instrument, count(*) * 15.0::DOUBLE AS hm FROM tr GROUP BY instrument) USING (instrument)", BASE)
+ORACLE_SQL["exposure"] = sql(TRADES, "SELECT round(sum(m), 4) + 0.0 AS observation_minutes, round(sum(coalesce(hm, 0)), 4) + 0.0 AS held_minutes, round(sum(coalesce(hm, 0)) / sum(m), 4) + 0.0 AS exposure FROM (SELECT instrument, epoch(max(le) - min(pt)) / 60.0::DOUBLE AS m FROM dec GROUP BY instrument) LEFT JOIN (SELECT instrument, count(*) * 15.0::DOUBLE AS hm FROM tr GROUP BY instrument) USING (instrument)", BASE)
 ORACLE_SQL["max_drawdown"] = sql(TRADES + " tp", "SELECT round(coalesce(max(greatest(0, pk) - cum), 0), 4) + 0.0 AS max_drawdown_bps FROM (SELECT *, max(cum) OVER (ORDER BY le) AS pk FROM (SELECT le, sum(n) OVER (ORDER BY le) AS cum FROM (SELECT le, sum(net) AS n FROM tp GROUP BY le)))", BASE | pnl(3.0))
 
 CAL = """CASE WHEN t >= TIMESTAMP '2024-01-01 08:00:00' AND t < TIMESTAMP '2024-01-01 10:00:00' THEN 'maintenance' WHEN t >= TIMESTAMP '2024-01-01 06:00:00' AND t < TIMESTAMP '2024-01-01 09:00:00' THEN 'holiday'
-    WHEN t >= TIMESTAMP '2024-01-03 23:00:00' AND t < TIMESTAMP '2024-01-04 02:00:00' THEN 'holiday' WHEN isodow(t) <= 5 AND hour(t) * 60 + minute(t) < 1320 THEN 'open' WHEN isodow(t) >= 6 THEN 'weekend' ELSE 'closed' END"""
+    WHEN t >= TIMESTAMP '2024-01-03 23:00:00' AND t < TIMESTAMP '2024-01-04 02:00:00' THEN 'holiday' WHEN isodow(t) >= 6 THEN 'weekend' WHEN hour(t) * 60 + minute(t) < 1320 THEN 'open' ELSE 'unknown' END"""
 ORACLE_SQL["calendar_states"] = sql("a c1", f"SELECT instrument, CAST(t AS DATE) AS day, {CAL} AS market_status, count(*) AS n FROM c1 GROUP BY ALL")
-ORACLE_SQL["calendar_expected"] = sql("tk", f"""SELECT instrument, market_status, count(*) AS n, count(*) FILTER (expected) AS n_expected FROM (SELECT instrument, t0, bool_and(s = 'open') AS expected, arg_min(s, CASE s WHEN 'open' THEN 0 WHEN 'holiday' THEN 1 WHEN 'maintenance' THEN 2 WHEN 'weekend' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END) AS market_status FROM
+ORACLE_SQL["calendar_expected"] = sql("tk", f"""SELECT instrument, market_status, count(*) AS n, count(*) FILTER (expected) AS n_expected FROM (SELECT instrument, t0, bool_and(s = 'open') AS expected, CASE WHEN count(DISTINCT s) = 1 THEN min(s) ELSE 'unknown' END AS market_status FROM
     (SELECT instrument, t0, {CAL} AS s FROM (SELECT instrument, t AS t0, t + to_minutes(unnest(range(60))) AS t FROM tk)) GROUP BY ALL) GROUP BY ALL""", TICKS)
 MISSING = {"ms": "SELECT g.instrument, g.t FROM (SELECT instrument, unnest(generate_series(min(t), max(t), INTERVAL 1 MINUTE)) AS t FROM c1 GROUP BY instrument, CAST(t AS DATE)) g ANTI JOIN c1 ON c1.instrument = g.instrument AND c1.t = g.t"}
 ORACLE_SQL["expected_grid_anti"] = sql("a c1 ms", "SELECT instrument, t AS timestamp_open_utc FROM ms", MISSING)
@@ -221,11 +221,16 @@ CLASSED = MISSING | {"gc": f"SELECT instrument, t, {KNOWN} AS known_reason, CASE
 ORACLE_SQL["known_gap_range_join"] = sql("a c1 ms gc", "SELECT instrument, classification, known_reason, count(*) AS n FROM gc GROUP BY ALL", CLASSED)
 ORACLE_SQL["gap_islands"] = sql("a c1 ms gc", """SELECT instrument, classification, min(t) AS gap_start_utc, max(t) + INTERVAL 1 MINUTE AS gap_end_utc, count(*) AS n_slots FROM (SELECT *, sum(k) OVER (PARTITION BY instrument ORDER BY t) AS g FROM
     (SELECT *, CASE WHEN t - lag(t) OVER w = INTERVAL 1 MINUTE AND classification = lag(classification) OVER w AND CAST(t AS DATE) = CAST(lag(t) OVER w AS DATE) THEN 0 ELSE 1 END AS k FROM gc WINDOW w AS (PARTITION BY instrument ORDER BY t))) GROUP BY instrument, classification, g""", CLASSED)
-ORACLE_SQL["daily_quality"] = sql("a c1 rp ms", """SELECT *, n_rows - n_distinct AS n_duplicate, n_invalid, CASE WHEN n_rows > n_distinct OR n_invalid > 0 THEN 'fail' WHEN n_missing > 0 OR n_incomplete > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
+ORACLE_SQL["daily_quality"] = sql("a c1 rp ms", """SELECT *, n_rows - n_distinct AS n_duplicate, n_invalid, CASE WHEN n_rows > n_distinct OR n_invalid > 0 OR n_incomplete > 0 THEN 'fail' WHEN n_missing > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
     (SELECT f.instrument, f.day, n_rows, n_distinct, n_expected, coalesce(n_missing, 0) AS n_missing, coalesce(n_stale, 0) AS n_stale, n_incomplete, n_invalid FROM
      (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_rows, count(DISTINCT t) AS n_distinct, CAST(epoch(max(t) - min(t)) / 60 + 1 AS BIGINT) AS n_expected, count(*) FILTER (t + INTERVAL 1 MINUTE > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid FROM rp GROUP BY ALL) f
      LEFT JOIN (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_missing, count(*) FILTER (t + INTERVAL 6 MINUTE <= TIMESTAMP '2024-01-05') AS n_stale FROM ms GROUP BY ALL) m ON f.instrument = m.instrument AND f.day = m.day)""", REPEATED | MISSING)
 ORACLE_SQL["daily_quality"] = ORACLE_SQL["daily_quality"].replace("SELECT *, n_rows - n_distinct", "SELECT instrument, day, n_rows, n_distinct, n_expected, n_missing, n_stale, n_incomplete, n_rows - n_distinct")
+ORACLE_SQL["daily_quality_classes"] = sql("a c1 ms gc", """SELECT instrument, day, n_rows, coalesce(n_known_gap, 0) AS n_known_gap, coalesce(n_scheduled_closure, 0) AS n_scheduled_closure, coalesce(n_missing_data, 0) AS n_missing_data, 0::BIGINT AS n_unknown_market_status, n_incomplete, n_invalid,
+    CASE WHEN n_invalid > 0 OR n_incomplete > 0 OR n_missing_data > 0 THEN 'fail' WHEN n_known_gap > 0 OR n_scheduled_closure > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
+    (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_rows, count(*) FILTER (t + INTERVAL 1 MINUTE > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid FROM c1 GROUP BY ALL) LEFT JOIN
+    (SELECT instrument, day, count(*) FILTER (k AND classification = 'known_gap') AS n_known_gap, count(*) FILTER (k AND classification = 'scheduled_closure') AS n_scheduled_closure, count(*) FILTER (k AND classification = 'missing_data') AS n_missing_data FROM
+     (SELECT *, CAST(t AS DATE) AS day, lag(t) OVER w IS NULL OR t - lag(t) OVER w <> INTERVAL 1 MINUTE OR classification <> lag(classification) OVER w AS k FROM gc WINDOW w AS (PARTITION BY instrument, CAST(t AS DATE) ORDER BY t)) GROUP BY ALL) USING (instrument, day)""", CLASSED)
 RET = {"rb": "SELECT *, 1e4 * (ln(c) - ln(lag(c) OVER (PARTITION BY instrument, g ORDER BY t))) AS r FROM sb3"}
 ORACLE_SQL["sequence_last20"] = sql("a c1 b3 sb3 rb", """SELECT instrument, t + INTERVAL 3 MINUTE AS available_at_utc, round(lag(r, 19) OVER w, 4) + 0.0 AS oldest_return, round(r, 4) + 0.0 AS newest_return, round(sum(1e4 * (h - l) / o) OVER v, 4) + 0.0 AS sum_range FROM rb
     WINDOW w AS (PARTITION BY instrument, g ORDER BY t), v AS (PARTITION BY instrument, g ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) QUALIFY count(r) OVER v = 20""", RET)

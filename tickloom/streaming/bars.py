@@ -46,11 +46,11 @@ def sessions(bars: DataFrame, cadence: str = "60 seconds", late: str | None = "1
 
 
 def asof_stream(left: DataFrame, right: DataFrame, tolerance_minutes: int, names: list[str], late: str = "10 minutes") -> DataFrame:
-    """Left rows with every right row at most tolerance old: an interval join with bounded state. The latest one is chosen by
+    """Left rows with every right row at most tolerance old, as the batch join has it: an interval join with bounded state. The latest one is chosen by
     a window in foreachBatch, or by taking right bars that stand on the grid, of which only one can match."""
     a = left.withWatermark("prediction_time_utc", late)
     b = right.withWatermark("available_at_utc", late).select(*[F.col(c).alias(f"r_{c}") for c in SERIES], "available_at_utc", *names)
-    fresh = (F.col("available_at_utc") <= F.col("prediction_time_utc")) & (F.col("available_at_utc") > F.col("prediction_time_utc") - F.expr(f"INTERVAL {tolerance_minutes} MINUTES"))
+    fresh = (F.col("available_at_utc") <= F.col("prediction_time_utc")) & (F.col("available_at_utc") >= F.col("prediction_time_utc") - F.expr(f"INTERVAL {tolerance_minutes} MINUTES"))
     same = (F.col("instrument") == F.col("r_instrument")) & (F.col("source") == F.col("r_source"))
     return a.join(b, same & fresh, "leftOuter").drop("r_instrument", "r_source")
 
