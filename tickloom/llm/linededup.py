@@ -169,11 +169,13 @@ def linked_lines(lines: DataFrame, docs: DataFrame, changed: int, similarity: fl
     first = materialize(met.filter("lid <> head").select(F.col("head").alias("a"), F.col("lid").alias("b")).distinct())
     edges = materialize(verified(first, texts, similarity))
     lone, groups = met.count(), connected_components(edges, "a", "b")
+    scratch = [met, texts, first, edges]
     for at in range(rounds + 1):
         known, mains = grouped(met, groups)
         many = mains.agg(F.sum("many")).first()[0] or 0
         if not many:
-            return groups
+            discard(known, mains)
+            break
         last = at == rounds or many <= 4 * lone
         asked = apart(known, mains) if last else leads(known, mains)
         found = materialize(verified(asked.join(first, ["a", "b"], "left_anti"), texts, similarity))
@@ -181,9 +183,13 @@ def linked_lines(lines: DataFrame, docs: DataFrame, changed: int, similarity: fl
         none = found.isEmpty()
         if not none:
             edges = materialize(edges.unionByName(found))
+            scratch.append(edges)
             groups = connected_components(edges, "a", "b")
+        discard(found)
         if last:
-            return groups
+            break
+    discard(*scratch)
+    return groups
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similarity: float = 0.8) -> DataFrame:
@@ -206,7 +212,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similari
     exact = lines.filter("many > 1").join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.struct("doc_id", ROW, "ln").alias("first"))
     keep = materialize(exact.unionByName(fuzzy).select("h1", "h2", F.col(f"first.{ROW}").alias("keep_row"), F.col("first.ln").alias("keep_ln")))
     dropped = skew_join(rows.select("h1", "h2", ROW, "ln"), keep.hint("shuffle_hash"), ["h1", "h2"]).filter((F.col(ROW) != F.col("keep_row")) | (F.col("ln") != F.col("keep_ln")))
-    cut = dropped.groupBy(ROW).agg(F.collect_set("ln").alias("_cut"))
+    cut = materialize(dropped.groupBy(ROW).agg(F.collect_set("ln").alias("_cut")))
+    discard(rows, lines, linked, keep)
     found = marked.join(cut.hint("shuffle_hash"), ROW, "left").withColumn("_lines", F.explode(F.array(F.when(F.col("_cut").isNotNull(), F.split("text", "\n")))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
