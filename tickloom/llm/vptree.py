@@ -24,9 +24,7 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     px, pq = power_above(x), power_above(q)
     px, pq = (0 if abs(p) < PLAIN else p for p in (px, pq))
     x, q = np.ldexp(x, -px) if px else x, np.ldexp(q, -pq) if pq else q
-    total = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        total += x[:, i] * q[i]
+    total = np.add.accumulate(x * q, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
     with np.errstate(over="ignore"):
         return np.ldexp(np.ldexp(total, px), pq) if px or pq else total
 
