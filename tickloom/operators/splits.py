@@ -12,19 +12,20 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Block:
-    """Predictions in [start, end) less the gap before the end, with labels that mature before the end."""
+    """Predictions in [start, end) less the gap before the end, with labels that mature before the end. Bounds are times, or
+    columns of the rows where they follow from the data."""
 
     name: str
-    start: datetime
-    end: datetime
+    start: datetime | Column
+    end: datetime | Column
 
     def __post_init__(self):
-        if self.start >= self.end:
+        if isinstance(self.start, datetime) and isinstance(self.end, datetime) and self.start >= self.end:
             raise ValueError(f"{self.name}: empty block")
 
     def predicate(self, gap_minutes: int, purge: bool = True) -> Column:
-        end = self.end - timedelta(minutes=gap_minutes) if purge else self.end
-        inside = (F.col("prediction_time_utc") >= utc(self.start)) & (F.col("prediction_time_utc") < utc(end))
+        end = before(self.end, gap_minutes) if purge else utc(self.end)
+        inside = (F.col("prediction_time_utc") >= utc(self.start)) & (F.col("prediction_time_utc") < end)
         return inside & (F.col("label_end_time_utc") < utc(self.end)) if purge else inside
 
 
@@ -37,8 +38,12 @@ class Fold:
     inner: tuple[tuple[Block, Block], ...] = ()
 
 
-def utc(t: datetime) -> Column:
-    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+def utc(t: datetime | Column) -> Column:
+    return t if isinstance(t, Column) else F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+
+
+def before(t: datetime | Column, minutes: int) -> Column:
+    return utc(t) - F.make_dt_interval(mins=F.lit(minutes))
 
 
 def calendar_folds(test_years: tuple[int, ...] = (2022, 2023, 2024), start_year: int = 2020) -> list[Fold]:
@@ -76,10 +81,10 @@ def assign_blocks(rows: DataFrame, blocks: list[Block], gap_minutes: int) -> Dat
     return rows.withColumn("block", F.explode(names))
 
 
-def assign_split(rows: DataFrame, train_end: datetime, validation_end: datetime, test_end: datetime, gap_minutes: int) -> DataFrame:
+def assign_split(rows: DataFrame, train_end: datetime | Column, validation_end: datetime | Column, test_end: datetime | Column, gap_minutes: int) -> DataFrame:
     """split: train, validation or test; the gap before each boundary belongs to none, and rows of none are left out."""
-    t, gap = F.col("prediction_time_utc"), timedelta(minutes=gap_minutes)
-    split = F.when(t < utc(train_end - gap), "train").when((t >= utc(train_end)) & (t < utc(validation_end - gap)), "validation").when((t >= utc(validation_end)) & (t < utc(test_end - gap)), "test")
+    t, last = F.col("prediction_time_utc"), lambda end: before(end, gap_minutes)
+    split = F.when(t < last(train_end), "train").when((t >= utc(train_end)) & (t < last(validation_end)), "validation").when((t >= utc(validation_end)) & (t < last(test_end)), "test")
     return rows.withColumn("split", split).filter("split IS NOT NULL")
 
 

@@ -255,22 +255,40 @@ def sample_ids(spark, d):
     return labels.with_sample_ids(labels.build_labels(bars, _candidates(bars))).select("sample_id", "sample_hash", "target_class_id")
 
 
-DAY0 = datetime(2024, 1, 1)
+def _spanned(rows, spark, d):
+    """rows with the clock's first minute and number of minutes, one row of the whole events table."""
+    i = F.col("event_id")
+    span = events(spark, d).agg(F.timestamp_seconds(F.lit(1_704_067_200) + F.min(i) * 60).alias("_first"), (F.max(i) - F.min(i) + 1).alias("_minutes"))
+    return rows.join(F.broadcast(span))
+
+
+def _at(k: int, n: int):
+    """The time at k n-ths of the whole series."""
+    return F.timestamp_seconds(F.unix_seconds("_first") + F.expr(f"_minutes * {k} div {n}") * 60)
+
+
+def _split(spark, d):
+    """Three fifths to train on, a fifth each to validate and to test."""
+    return splits.assign_split(_spanned(predictions(spark, d), spark, d), _at(3, 5), _at(4, 5), _at(5, 5), 16)
 
 
 @query
 def split_assign(spark, d):
-    return splits.assign_split(predictions(spark, d), datetime(2024, 1, 4), datetime(2024, 1, 5), datetime(2024, 1, 8), 16).groupBy("instrument", "split").agg(F.count("*").alias("n"), F.min("prediction_time_utc").alias("first_time"), F.max("label_end_time_utc").alias("last_end"))
+    return _split(spark, d).groupBy("instrument", "split").agg(F.count("*").alias("n"), F.min("prediction_time_utc").alias("first_time"), F.max("label_end_time_utc").alias("last_end"))
+
+
+FOLDS = 3
 
 
-def _folds():
-    return splits.day_folds(DAY0, 2, 1, 1, 3)
+def _blocks():
+    """Sixths of the series: each fold trains on all before its calibration, and tests on the sixth after that."""
+    parts = [(f"f{i}-{name}", a, b) for i in range(FOLDS) for name, a, b in (("train", 0, 2 + i), ("calibration", 2 + i, 3 + i), ("test", 3 + i, 4 + i))]
+    return [splits.Block(name, _at(a, 2 * FOLDS), _at(b, 2 * FOLDS)) for name, a, b in parts]
 
 
 @query
 def walk_forward_blocks(spark, d):
-    blocks = [b for f in _folds() for b in (splits.Block(f"{f.name}-train", DAY0, f.train.end), f.calibration, f.test)]
-    return splits.assign_blocks(predictions(spark, d), blocks, 181).groupBy("block").agg(F.count("*").alias("n"), F.max("label_end_time_utc").alias("last_end"))
+    return splits.assign_blocks(_spanned(predictions(spark, d), spark, d), _blocks(), 181).groupBy("block").agg(F.count("*").alias("n"), F.max("label_end_time_utc").alias("last_end"))
 
 
 @query
@@ -282,7 +300,8 @@ STATS = ["momentum_5_bps", "realized_volatility_20_bps", "candle_body_bps"]
 
 
 def _train(spark, d):
-    return predictions(spark, d).filter("prediction_time_utc < TIMESTAMP '2024-01-04'").withColumn("momentum_5_bps", F.when(F.col("momentum_5_bps") > 30, None).otherwise(F.col("momentum_5_bps")))
+    """The training part, with some values taken out."""
+    return _split(spark, d).filter("split = 'train'").withColumn("momentum_5_bps", F.when(F.col("momentum_5_bps") > 30, None).otherwise(F.col("momentum_5_bps")))
 
 
 @query
@@ -292,14 +311,12 @@ def impute_scale_stats(spark, d):
 
 @query
 def feature_distribution(spark, d):
-    rows = splits.assign_split(predictions(spark, d), datetime(2024, 1, 3), datetime(2024, 1, 4), datetime(2024, 1, 8), 16)
-    return splits.distribution(rows, STATS)
+    return splits.distribution(_split(spark, d), STATS)
 
 
 @query
 def mean_shift(spark, d):
-    rows = splits.assign_split(predictions(spark, d), datetime(2024, 1, 3), datetime(2024, 1, 4), datetime(2024, 1, 8), 16)
-    return splits.mean_shift(splits.distribution(rows, STATS))
+    return splits.mean_shift(splits.distribution(_split(spark, d), STATS))
 
 
 @query

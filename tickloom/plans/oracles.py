@@ -150,17 +150,25 @@ ORACLE_SQL["label_all_horizons"] = sql("a c1 s1 b3 cand q1 lab", f"SELECT instru
 ORACLE_SQL["label_exact_join"] = sql(LAB, f"SELECT instrument, pt AS prediction_time_utc, et AS entry_time_utc, le AS label_end_time_utc, {r('eo', 'entry_bid_open')}, {r('xo', 'exit_bid_open')} FROM l15")
 SID = "instrument || '|clock|' || strftime(pt, '%Y%m%dT%H%M%S.%f') || 'Z'"
 ORACLE_SQL["sample_ids"] = sql(LAB, f"SELECT {SID} AS sample_id, sha256(instrument || '|clock|' || strftime(pt, '%Y-%m-%dT%H:%M:%S') || '+00:00|15') AS sample_hash, CAST(CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS INT) AS target_class_id FROM l15")
-SPLIT = "CASE WHEN pt < TIMESTAMP '{0}' - INTERVAL 16 MINUTE THEN 'train' WHEN pt >= TIMESTAMP '{0}' AND pt < TIMESTAMP '{1}' - INTERVAL 16 MINUTE THEN 'validation' WHEN pt >= TIMESTAMP '{1}' AND pt < TIMESTAMP '2024-01-08' - INTERVAL 16 MINUTE THEN 'test' END"
-ORACLE_SQL["split_assign"] = sql(PRED, f"SELECT instrument, split, count(*) AS n, min(pt) AS first_time, max(le) AS last_end FROM (SELECT *, {SPLIT.format('2024-01-04', '2024-01-05')} AS split FROM pred) WHERE split IS NOT NULL GROUP BY ALL")
-BLOCKS = [(f"f{i}-{n}", a, b) for i in range(3) for n, a, b in (("train", 1, 3 + i), ("calibration", 3 + i, 4 + i), ("test", 4 + i, 5 + i))]
-ORACLE_SQL["walk_forward_blocks"] = sql(PRED, " UNION ALL ".join(f"SELECT '{n}' AS block, count(*) AS n, max(le) AS last_end FROM pred WHERE pt >= TIMESTAMP '2024-01-0{a}' AND pt < TIMESTAMP '2024-01-0{b}' - INTERVAL 181 MINUTE AND le < TIMESTAMP '2024-01-0{b}' HAVING count(*) > 0" for n, a, b in BLOCKS))
+SPAN = {"sp": "SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(min(event_id) AS BIGINT)) AS f, CAST(max(event_id) - min(event_id) + 1 AS BIGINT) AS m FROM events"}
+
+
+def at(k: int, n: int) -> str:
+    """The time at k n-ths of the whole series."""
+    return f"(SELECT f + to_minutes(m * {k} // {n}) FROM sp)"
+
+
+PARTS = SPAN | {"ds": f"""SELECT * FROM (SELECT *, CASE WHEN pt < {at(3, 5)} - INTERVAL 16 MINUTE THEN 'train' WHEN pt >= {at(3, 5)} AND pt < {at(4, 5)} - INTERVAL 16 MINUTE THEN 'validation'
+    WHEN pt >= {at(4, 5)} AND pt < {at(5, 5)} - INTERVAL 16 MINUTE THEN 'test' END AS split FROM pred) WHERE split IS NOT NULL"""}
+ORACLE_SQL["split_assign"] = sql(PRED + " sp ds", "SELECT instrument, split, count(*) AS n, min(pt) AS first_time, max(le) AS last_end FROM ds GROUP BY ALL", PARTS)
+BLOCKS = [(f"f{i}-{n}", a, b) for i in range(3) for n, a, b in (("train", 0, 2 + i), ("calibration", 2 + i, 3 + i), ("test", 3 + i, 4 + i))]
+ORACLE_SQL["walk_forward_blocks"] = sql(PRED + " sp", " UNION ALL ".join(f"SELECT '{n}' AS block, count(*) AS n, max(le) AS last_end FROM pred WHERE pt >= {at(a, 6)} AND pt < {at(b, 6)} - INTERVAL 181 MINUTE AND le < {at(b, 6)} HAVING count(*) > 0" for n, a, b in BLOCKS), SPAN)
 ORACLE_SQL["holdout_violations"] = sql(PRED, "SELECT " + ", ".join(f"count(*) FILTER ({c} >= TIMESTAMP '2024-01-06') AS n_{n}" for c, n in (("pt", "prediction_time_utc"), ("et", "entry_time_utc"), ("le", "label_end_time_utc"))) + " FROM pred")
 STATS = [("m5", "momentum_5_bps"), ("rv20", "realized_volatility_20_bps"), ("body", "candle_body_bps")]
-TRAIN = "(SELECT CASE WHEN m5 > 30 THEN NULL ELSE m5 END AS m5, rv20, body FROM pred WHERE pt < TIMESTAMP '2024-01-04')"
-ORACLE_SQL["impute_scale_stats"] = sql(PRED, " UNION ALL ".join(f"SELECT '{n}' AS feature, {r('max(med)', 'median')}, {r('avg(coalesce(x, med))', 'mean')}, {r('CASE WHEN stddev_pop(coalesce(x, med)) = 0 THEN 1 ELSE stddev_pop(coalesce(x, med)) END', 'scale')} FROM (SELECT {c} AS x, (SELECT quantile_cont({c}, 0.5) FROM {TRAIN}) AS med FROM {TRAIN})" for c, n in STATS))
-DIST = {"ds": "SELECT * FROM (SELECT *, " + SPLIT.format("2024-01-03", "2024-01-04") + " AS split FROM pred) WHERE split IS NOT NULL"}
-ORACLE_SQL["feature_distribution"] = sql(PRED + " ds", " UNION ALL ".join(f"SELECT split, '{n}' AS feature, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, {r(f'avg({c})', 'mean')}, {r(f'stddev_pop({c})', 'std')}, {', '.join(r(f'quantile_cont({c}, {q})', k) for q, k in ((0.05, 'p05'), (0.5, 'p50'), (0.95, 'p95')))} FROM ds GROUP BY split" for c, n in STATS), DIST)
-ORACLE_SQL["mean_shift"] = sql(PRED + " ds", " UNION ALL ".join(f"SELECT '{n}' AS feature, round((avg({c}) FILTER (split = 'test') - avg({c}) FILTER (split = 'train')) / stddev_pop({c}) FILTER (split = 'train'), 4) + 0.0 AS mean_shift FROM ds HAVING count(*) FILTER (split = 'test') > 0 AND count(*) FILTER (split = 'train') > 0" for c, n in STATS), DIST)
+TRAIN = "(SELECT CASE WHEN m5 > 30 THEN NULL ELSE m5 END AS m5, rv20, body FROM ds WHERE split = 'train')"
+ORACLE_SQL["impute_scale_stats"] = sql(PRED + " sp ds", " UNION ALL ".join(f"SELECT '{n}' AS feature, {r('max(med)', 'median')}, {r('avg(coalesce(x, med))', 'mean')}, {r('CASE WHEN stddev_pop(coalesce(x, med)) = 0 THEN 1 ELSE stddev_pop(coalesce(x, med)) END', 'scale')} FROM (SELECT {c} AS x, (SELECT quantile_cont({c}, 0.5) FROM {TRAIN}) AS med FROM {TRAIN})" for c, n in STATS), PARTS)
+ORACLE_SQL["feature_distribution"] = sql(PRED + " sp ds", " UNION ALL ".join(f"SELECT split, '{n}' AS feature, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, {r(f'avg({c})', 'mean')}, {r(f'stddev_pop({c})', 'std')}, {', '.join(r(f'quantile_cont({c}, {q})', k) for q, k in ((0.05, 'p05'), (0.5, 'p50'), (0.95, 'p95')))} FROM ds GROUP BY split" for c, n in STATS), PARTS)
+ORACLE_SQL["mean_shift"] = sql(PRED + " sp ds", " UNION ALL ".join(f"SELECT '{n}' AS feature, round((avg({c}) FILTER (split = 'test') - avg({c}) FILTER (split = 'train')) / stddev_pop({c}) FILTER (split = 'train'), 4) + 0.0 AS mean_shift FROM ds HAVING count(*) FILTER (split = 'test') > 0 AND count(*) FILTER (split = 'train') > 0" for c, n in STATS), PARTS)
 ORACLE_SQL["class_weights"] = sql(PRED, "SELECT cls AS target_class, n, round(sum(n) OVER () / (count(*) OVER () * n), 4) + 0.0 AS weight, round(n / sum(n) OVER (), 4) + 0.0 AS prior FROM (SELECT cls, count(*) AS n FROM pred GROUP BY cls)")
 RULES = {"last_candle": "CASE WHEN r < -6 THEN 'down' WHEN r > 6 THEN 'up' ELSE 'neutral' END", "momentum": "CASE WHEN m20 < -6 THEN 'down' WHEN m20 > 6 THEN 'up' ELSE 'neutral' END", "mean_reversion": "CASE WHEN m20 > 6 THEN 'down' WHEN m20 < -6 THEN 'up' ELSE 'neutral' END", "always_neutral": "'neutral'"}
 ORACLE_SQL["baseline_rules"] = sql(PRED, " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n, count(*) FILTER ({v} = cls) AS n_right FROM pred HAVING count(*) > 0" for k, v in RULES.items()))
