@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.bars import CLASSES, sessions
-from tickloom.operators import asof, backtest, calendars, features, labels, metrics, paths, resample, splits, validate
+from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, resample, splits, validate
 from tickloom.operators.segments import with_segments
-from tickloom.schema import SERIES
+from tickloom.schema import SERIES, later
 from tickloom.session import in_utc
 from tickloom.sources.events import both_clocks, events, minute_clock, tick_bars
 
@@ -640,3 +640,172 @@ def model_ridge(spark, d):
     train, test = _model_sides(spark, d)
     model, sigma = models.fit_ridge(train, features.FEATURES)
     return metrics.classification_metrics(models.score_ridge(model, sigma, test), ["instrument"])
+
+
+def _minute(name: str):
+    return F.floor(F.unix_seconds(name) / 60)
+
+
+@query
+def candidate_contract(spark, d):
+    """Candidates with planted defects: off the grid, repeated, unnamed."""
+    c = _candidates(clocks(spark, d))
+    m, t = _minute("prediction_time_utc"), F.col("prediction_time_utc")
+    broken = c.withColumns({"prediction_time_utc": F.when(m % 101 == 3, later(t, 1)).otherwise(t), "source": F.when(m % 113 == 7, " ").otherwise(F.col("source"))})
+    return contracts.candidate_violations(broken.unionByName(broken.filter(m % 50 == 0)))
+
+
+@query
+def ask_contract(spark, d):
+    m, bid = _minute("timestamp_open_utc"), F.col("bid_open")
+    ask = F.when(m % 101 == 3, bid - 1).when(m % 103 == 4, float("nan")).when(m % 107 == 5, 0.0).when(m % 109 == 6, None).otherwise(bid + 0.3)
+    return contracts.ask_violations(clocks(spark, d).withColumn("ask_open", ask))
+
+
+@query
+def target_contract(spark, d):
+    bars = clocks(spark, d)
+    rows = labels.with_sample_ids(labels.build_labels(bars, _candidates(bars)))
+    m = _minute("prediction_time_utc")
+    broken = rows.withColumns({
+        "target_class_id": F.when(m % 101 == 3, 3).otherwise(F.col("target_class_id")), "arithmetic_return_bps": F.when(m % 103 == 4, float("inf")).otherwise(F.col("arithmetic_return_bps")),
+        "sample_id": F.when(m % 107 == 5, "").otherwise(F.col("sample_id")),
+    })
+    return contracts.target_violations(broken.unionByName(broken.filter(m % 50 == 0)))
+
+
+@query
+def audit_records(spark, d):
+    return contracts.audit_records(labels.with_sample_ids(predictions(spark, d))).drop("source")
+
+
+@query
+def class_priors(spark, d):
+    return benchmark.class_priors(_split(spark, d).filter("split = 'train'"))
+
+
+@query
+def prior_baseline(spark, d):
+    """The training part's class shares, held against the test part."""
+    rows = _split(spark, d)
+    said = benchmark.prior_predictions(rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+    return metrics.classification_metrics(said, ["instrument"]).select("instrument", "n", "accuracy", "log_loss", "brier")
+
+
+@query
+def fold_coverage(spark, d):
+    """Blocks of the walk-forward folds, with a feature that is first seen in the second half."""
+    rows = _spanned(predictions(spark, d), spark, d).withColumn("late_bps", F.when(F.col("prediction_time_utc") >= _at(1, 2), F.col("momentum_20_bps")))
+    return benchmark.fold_coverage(rows, _blocks(), ["momentum_5_bps", "late_bps"])
+
+
+@query
+def label_coverage(spark, d):
+    bars = clocks(spark, d)
+    return benchmark.label_coverage(_candidates(bars), labels.build_labels(bars, _candidates(bars))).drop("source")
+
+
+def _path_rows(spark, d):
+    bars = clocks(spark, d)
+    found = labels.with_sample_ids(labels.build_labels(bars, _candidates(bars)))
+    return benchmark.path_dataset(found, benchmark.whole_path_parts(paths.future_paths(resample.resample(bars, "3min"))))
+
+
+@query
+def path_dataset(spark, d):
+    return _path_rows(spark, d).select("instrument", "prediction_time_utc", "label_end_time_utc", "path_end_utc", "in_time", "future_return_bps", (F.col("agg_gap") + F.col("agg_body")).alias("path_return_bps"))
+
+
+@query
+def path_unmatched(spark, d):
+    """Predictions of every third path, held against the executable samples: how many lack a target."""
+    bars = clocks(spark, d)
+    ids = paths.future_paths(resample.resample(bars, "3min")).withColumn("horizon_minutes", F.lit(15))
+    known = labels.with_sample_ids(predictions(spark, d))
+    return contracts.unmatched(labels.with_sample_ids(ids), known).groupBy("instrument").agg(F.count("*").alias("n_unmatched"))
+
+
+@query
+def path_quantile_columns(spark, d):
+    """A band around what happened, as the named columns of a path forecast."""
+    band = lambda c: F.array(F.col(c) - 5.0, F.col(c), F.col(c) + 5.0)
+    steps = F.array(*[F.array(*[band(f"path_{k}_{p}") for p in paths.PARTS]) for k in range(1, paths.STEPS + 1)])
+    rows = _path_rows(spark, d).select("instrument", "prediction_time_utc", steps.alias("path_quantiles"), F.array(*[band(f"agg_{p}") for p in paths.PARTS]).alias("whole_quantiles"))
+    return benchmark.quantile_columns(rows, ["instrument", "prediction_time_utc"])
+
+
+@query
+def path_normalizer(spark, d):
+    return benchmark.part_normalizer(paths.future_paths(bars3(spark, d)))
+
+
+@query
+def sequence_normalizer(spark, d):
+    ready = paths.sequences(bars3(spark, d), "3min", 5).filter("seq_ok")
+    return benchmark.sequence_normalizer(ready, ["log_return_bps", "candle_range_bps"])
+
+
+@query
+def reference_parity(spark, d):
+    """A frozen reference that lacks some samples and tells others apart, held against the universe."""
+    rows = labels.with_sample_ids(predictions(spark, d))
+    m = _minute("prediction_time_utc")
+    frozen = rows.filter(m % 7 != 0).withColumns({"target_class_id": F.when(m % 11 == 0, 9).otherwise(F.col("target_class_id")), "arithmetic_return_bps": F.when(m % 13 == 0, F.col("arithmetic_return_bps") + 0.001).otherwise(F.col("arithmetic_return_bps"))})
+    return contracts.parity(frozen, rows.filter(m % 2 == 0))
+
+
+def _families(spark, d):
+    """Metrics a fold (a tenth of the series) of the scored model, of its opposite and of equal chances."""
+    rows = _spanned(predictions(spark, d), spark, d)
+    fold = F.least(F.floor((F.unix_seconds("prediction_time_utc") - F.unix_seconds("_first")) / 60 * 10 / F.col("_minutes")), F.lit(9))
+    p = lambda name, *c: F.struct(F.lit(name).alias("family"), *[x.alias(f"p_{k}") for x, k in zip(c, CLASSES, strict=True)])
+    third, down, neutral, up = F.lit(1 / 3), F.col("p_down"), F.col("p_neutral"), F.col("p_up")
+    each = F.inline(F.array(p("scored", down, neutral, up), p("opposite", up, neutral, down), p("equal", third, third, third)))
+    long = rows.select("target_class", fold.alias("fold"), each)
+    return metrics.classification_metrics(long, ["family", "fold"])
+
+
+SUMMARIZED = {"accuracy": True, "macro_f1": True, "brier": False, "log_loss": False}
+
+
+@query
+def horizon_summary(spark, d):
+    return benchmark.horizon_summary(_families(spark, d), SUMMARIZED)
+
+
+@query
+def research_champion(spark, d):
+    return benchmark.admitted(benchmark.horizon_summary(_families(spark, d), SUMMARIZED), "opposite")
+
+
+@query
+def selected_candidate(spark, d):
+    """Each day's metrics stand for a candidate's, with C and weights by the day."""
+    per = metrics.classification_metrics(predictions(spark, d), ["instrument", F.to_date("prediction_time_utc").alias("day")])
+    k = F.datediff("day", F.lit("2024-01-01").cast("date"))
+    scores = per.select("instrument", "day", F.pow(F.lit(10.0), F.pmod(k, F.lit(5)) - 2).alias("c"), (k % 2 == 1).alias("weighted"), F.round("macro_f1", 2).alias("macro_f1"), F.round("log_loss", 2).alias("log_loss"))
+    return benchmark.selected_candidate(scores.groupBy("c", "weighted").agg(F.max("macro_f1").alias("macro_f1"), F.min("log_loss").alias("log_loss")))
+
+
+@query
+def head_and_tail(spark, d):
+    rows = predictions(spark, d).select("instrument", "prediction_time_utc", "target_class")
+    return benchmark.head_and_tail(rows, 16, ["instrument"], "prediction_time_utc")
+
+
+@query
+def feature_availability(spark, d):
+    return benchmark.availability(features.regimes(features.mvp_features(bars3(spark, d))), ["regime_trend_score", "regime_shock_score"])
+
+
+@query
+def quality_totals(spark, d):
+    """Daily quality summed for each timeframe."""
+    as_of = F.lit("2024-01-05").cast("timestamp")
+    out = None
+    for t, bars in (("1min", _repeated(spark, d)), ("3min", bars3(spark, d))):
+        daily = calendars.daily_quality(bars, t, as_of)
+        names = ["n_rows", "n_missing", "n_stale", "n_incomplete", "n_duplicate", "n_invalid", "n_unknown_market_status"]
+        one = daily.agg(F.lit(t).alias("timeframe"), F.count("*").alias("n_days"), *[F.sum(n).alias(n) for n in names])
+        out = one if out is None else out.unionByName(one)
+    return out

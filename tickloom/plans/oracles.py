@@ -274,3 +274,62 @@ ORACLE_SQL["policy_select"] = sql(
     + ") GROUP BY policy) WHERE least_trades >= 3 AND m > 0 ORDER BY m DESC, policy LIMIT 1",
     {k: v for p in POLICIES for k, v in p.items()},
 ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# Contracts, coverage and comparisons of families.
+M = "(epoch(pt)::BIGINT // 60)"
+ORACLE_SQL["candidate_contract"] = sql("a c1 b3 cand", f"""SELECT count(*) AS n_rows, count(*) FILTER (m % 113 = 7) AS n_unnamed, count(*) FILTER (m % 101 = 3) AS n_off_grid, count(*) - count(DISTINCT (instrument, m, m % 101 = 3, m % 113 = 7)) AS n_repeated FROM
+    (SELECT instrument, {M} AS m FROM cand UNION ALL (SELECT instrument, {M} AS m FROM cand WHERE ({M} + ({M} % 101 = 3)::INT) % 50 = 0))""")
+ORACLE_SQL["ask_contract"] = sql("a c1", """SELECT count(*) AS n_rows, count(*) FILTER (ask IS NULL OR isnan(ask)) AS n_not_finite, count(*) FILTER (NOT isnan(ask) AND ask <= 0) AS n_not_positive, count(*) FILTER (NOT isnan(ask) AND ask < o) AS n_below_bid FROM
+    (SELECT o, CASE WHEN m % 101 = 3 THEN o - 1 WHEN m % 103 = 4 THEN 'nan'::DOUBLE WHEN m % 107 = 5 THEN 0 WHEN m % 109 = 6 THEN NULL ELSE o + 0.3 END AS ask FROM (SELECT o, epoch(t)::BIGINT // 60 AS m FROM c1))""")
+ORACLE_SQL["target_contract"] = sql(LAB, f"""SELECT count(*) AS n_rows, count(*) FILTER (m % 101 = 3) AS n_class_mismatch, count(*) FILTER (m % 103 = 4) AS n_return_not_finite, count(*) FILTER (m % 107 = 5) AS n_empty_id,
+    count(*) - count(DISTINCT CASE WHEN m % 107 = 5 THEN '' ELSE instrument || m END) AS n_repeated_id FROM (SELECT instrument, {M} AS m FROM l15 UNION ALL SELECT instrument, {M} AS m FROM l15 WHERE {M} % 50 = 0)""")
+ORACLE_SQL["audit_records"] = sql(PRED, f"""SELECT instrument, pt AS prediction_time_utc, fw AS feature_window_start_utc, et AS entry_time_utc, le AS label_end_time_utc, 15 AS horizon_minutes, {r('eo', 'entry_bid_open')}, {r('xo', 'exit_bid_open')}, {r('fr', 'future_return_bps')}, {r('ar', 'arithmetic_return_bps')}, {r('frng', 'future_range_bps')},
+    {r('fvol', 'future_realized_vol_bps')}, cls AS target_class, CAST(CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS INT) AS target_class_id, {SID} AS sample_id, sha256(instrument || '|clock|' || strftime(pt, '%Y-%m-%dT%H:%M:%S') || '+00:00|15') AS sample_hash FROM pred""")
+PRIORS = PARTS | {"pri": "SELECT k AS cls, count(cls) AS n, coalesce(avg(ar), 0) AS mr FROM (SELECT unnest(['down', 'neutral', 'up']) AS k) LEFT JOIN (SELECT cls, ar FROM ds WHERE split = 'train') ON k = cls GROUP BY k"}
+ORACLE_SQL["class_priors"] = sql(PRED + " sp ds pri", f"SELECT cls AS target_class, n, round(coalesce(n / nullif(sum(n) OVER (), 0), 0), 4) + 0.0 AS prior, {r('mr', 'mean_return_bps')} FROM pri", PRIORS)
+PRIOR = "SELECT cls, n / nullif(sum(n) OVER (), 0) AS p FROM pri"
+ORACLE_SQL["prior_baseline"] = sql(PRED + " sp ds pri", f"""SELECT instrument, count(*) AS n, {r("avg((cls = (SELECT cls FROM pri ORDER BY n DESC, CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END LIMIT 1))::INT)", 'accuracy')}, {r('avg(-ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))', 'log_loss')},
+    {r('avg(1 - 2 * p + pp)', 'brier')} FROM ds JOIN ({PRIOR}) USING (cls), (SELECT sum(p * p) AS pp FROM ({PRIOR})) WHERE split = 'test' GROUP BY instrument""", PRIORS)
+ORACLE_SQL["fold_coverage"] = sql(PRED + " sp", " UNION ALL ".join(
+    f"SELECT '{n}' AS block, count(*) AS n_rows, CAST((count(m5) = 0)::INT + (count(*) FILTER (pt >= {at(1, 2)}) = 0)::INT AS INT) AS n_unsupported FROM pred WHERE pt >= {at(a, 6)} AND " + (f"pt < {at(b, 6)} - INTERVAL 181 MINUTE AND le < {at(b, 6)}" if n.endswith("train") else f"pt < {at(b, 6)}") for n, a, b in BLOCKS
+), SPAN)
+ORACLE_SQL["label_coverage"] = sql(LAB, "SELECT instrument, count(*) AS n_candidates, count(l15.pt) AS n_eligible, count(*) - count(l15.pt) AS n_dropped FROM cand LEFT JOIN l15 USING (instrument, pt) GROUP BY instrument")
+PATHS = LAB + " sb3 pa pl"
+LABEL_PATH = PATH | {"pl": "SELECT l15.instrument, l15.pt, l15.le, l15.et, l15.fr, pa.* EXCLUDE (instrument), pa.t + INTERVAL 18 MINUTE AS pe FROM l15 JOIN pa ON l15.instrument = pa.instrument AND l15.pt = pa.t + INTERVAL 3 MINUTE"}
+ORACLE_SQL["path_dataset"] = sql(PATHS, f"SELECT instrument, pt AS prediction_time_utc, le AS label_end_time_utc, pe AS path_end_utc, 1 AS in_time, {r('fr', 'future_return_bps')}, {r('1e4 * (ln(c5) - ln(c))', 'path_return_bps')} FROM pl", LABEL_PATH)
+ORACLE_SQL["path_unmatched"] = sql(PRED + " pa", "SELECT instrument, count(*) AS n_unmatched FROM (SELECT instrument, t + INTERVAL 3 MINUTE AS pt FROM pa) p ANTI JOIN pred ON pred.instrument = p.instrument AND pred.pt = p.pt GROUP BY instrument", PATH)
+WHOLE = {"gap": "1e4 * (ln(o1) - ln(c))", "body": "1e4 * (ln(c5) - ln(o1))", "upper": f"greatest(1e4 * (ln({HIGH}) - ln(greatest(o1, c5))), 0)", "lower": f"greatest(1e4 * (ln(least(o1, c5)) - ln({LOW})), 0)"}
+BANDS = (("q10", -5), ("q50", 0), ("q90", 5))
+ORACLE_SQL["path_quantile_columns"] = sql(PATHS, "SELECT instrument, pt AS prediction_time_utc, " + ", ".join([r(f"({v}) + {x}", k.replace("path_", "step_") + f"_{q}") for k, v in PART.items() for q, x in BANDS] + [r(f"({v}) + {x}", f"aggregate_{k}_{q}") for k, v in WHOLE.items() for q, x in BANDS]) + " FROM pl", LABEL_PATH)
+ORACLE_SQL["path_normalizer"] = sql("a c1 b3 sb3 pa", f"SELECT part, {r('avg(v)', 'mean')}, {r('CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END', 'scale')} FROM ({' UNION ALL '.join(f'''SELECT '{k.split('_')[2]}' AS part, {v} AS v FROM pa''' for k, v in PART.items())}) GROUP BY part", PATH)
+STEPS5 = {"st": "SELECT instrument, g, t, 1e4 * (h - l) / o AS rng, r, count(r) OVER (PARTITION BY instrument, g ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS ok FROM (SELECT *, 1e4 * (ln(c) - ln(lag(c) OVER (PARTITION BY instrument, g ORDER BY t))) AS r FROM sb3)", "sq": "SELECT s.* FROM st e JOIN st s ON e.ok AND s.instrument = e.instrument AND s.g = e.g AND s.t BETWEEN e.t - INTERVAL 12 MINUTE AND e.t"}
+ORACLE_SQL["sequence_normalizer"] = sql("a c1 b3 sb3 st sq", " UNION ALL ".join(f"SELECT '{n}' AS channel, {r(f'quantile_cont({c}, 0.5)', 'median')}, {r(f'avg({c})', 'mean')}, {r(f'CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END', 'scale')} FROM sq" for c, n in (("r", "log_return_bps"), ("rng", "candle_range_bps"))), STEPS5)
+ORACLE_SQL["reference_parity"] = sql(PRED, f"SELECT count(*) AS n_rows, count(*) FILTER (m % 7 = 0) AS n_missing, 0::BIGINT AS n_repeated, 0::BIGINT AS n_time, count(*) FILTER (m % 7 <> 0 AND m % 11 = 0) AS n_class, count(*) FILTER (m % 7 <> 0 AND m % 13 = 0) AS n_return FROM (SELECT {M} AS m FROM pred) WHERE m % 2 = 0")
+SAID = "CASE WHEN pd >= pn AND pd >= pu THEN 'down' WHEN pn >= pu THEN 'neutral' ELSE 'up' END"
+FAMILIES = SPAN | {
+    "fam": f"""SELECT *, {SAID} AS said FROM (SELECT instrument, pt, cls, family, fold, CASE family WHEN 'scored' THEN pd WHEN 'opposite' THEN pu ELSE 1 / 3.0::DOUBLE END AS pd, CASE family WHEN 'equal' THEN 1 / 3.0::DOUBLE ELSE pn END AS pn, CASE family WHEN 'scored' THEN pu WHEN 'opposite' THEN pd ELSE 1 / 3.0::DOUBLE END AS pu FROM
+        (SELECT instrument, pt, cls, pd, pn, pu, unnest(['scored', 'opposite', 'equal']) AS family, least(floor(epoch(pt - f) / 60 * 10 / m), 9) AS fold FROM pred, sp))""",
+    "fm": f"SELECT family, fold, {ACC} AS accuracy, {F1} AS macro_f1, avg({BRIER}) AS brier, {LL} AS log_loss FROM fam GROUP BY family, fold",
+    "hs": " UNION ALL ".join(f"SELECT family, '{n}' AS metric, count(*) AS n_folds, avg({n}) AS mean, quantile_cont({n}, 0.5) AS median, {w}({n}) AS worst FROM fm GROUP BY family" for n, w in (("accuracy", "min"), ("macro_f1", "min"), ("brier", "max"), ("log_loss", "max"))),
+}
+ORACLE_SQL["horizon_summary"] = sql(PRED + " sp fam fm hs", f"SELECT family, metric, n_folds, {r('mean')}, {r('median')}, {r('worst')} FROM hs", FAMILIES)
+ORACLE_SQL["research_champion"] = sql(PRED + " sp fam fm hs", f"""SELECT family, {r('f', 'macro_f1_mean')}, {r('b', 'brier_mean')}, CAST(row_number() OVER (ORDER BY f DESC, b, family) AS INT) AS place FROM
+    (SELECT x.family, x.mean AS f, y.mean AS b, x.worst AS w FROM hs x JOIN hs y ON x.family = y.family AND x.metric = 'macro_f1' AND y.metric = 'brier') c, (SELECT x.mean AS f0, y.mean AS b0, x.worst AS w0 FROM hs x JOIN hs y ON x.family = 'opposite' AND y.family = 'opposite' AND x.metric = 'macro_f1' AND y.metric = 'brier')
+    WHERE family <> 'opposite' AND f > f0 AND w >= w0 AND b <= b0""", FAMILIES)
+ORACLE_SQL["selected_candidate"] = sql(PRED, f"""SELECT c, CAST(weighted AS INT) AS weighted, macro_f1 + 0.0 AS macro_f1, log_loss + 0.0 AS log_loss FROM (SELECT c, weighted, max(f) AS macro_f1, min(ll) AS log_loss FROM
+    (SELECT round(power(10.0::DOUBLE, k % 5 - 2), 4) AS c, k % 2 = 1 AS weighted, round(f, 2) AS f, round(ll, 2) AS ll FROM (SELECT datediff('day', DATE '2024-01-01', CAST(pt AS DATE)) AS k, {F1} AS f, {LL} AS ll FROM pred GROUP BY instrument, k)) GROUP BY ALL)
+    ORDER BY macro_f1 DESC, log_loss, weighted, abs(log10(c)), c LIMIT 1""")
+ORACLE_SQL["head_and_tail"] = sql(PRED, "SELECT instrument, pt AS prediction_time_utc, cls AS target_class FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY pt) AS a, row_number() OVER (PARTITION BY instrument ORDER BY pt DESC) AS b FROM pred) WHERE a <= 16 OR b <= 16")
+ORACLE_SQL["feature_availability"] = sql(FEAT + " sf rg", " UNION ALL ".join(f"SELECT '{n}' AS feature, count({c}) AS n_there, {r(f'count({c}) / nullif(count(*), 0)', 'share')} FROM rg" for c, n in (("ts", "regime_trend_score"), ("ss", "regime_shock_score"))), REGIME)
+MISSING3 = {"ms3": MISSING["ms"].replace("INTERVAL 1 MINUTE", "INTERVAL 3 MINUTE").replace("c1", "b3"), "ms1": MISSING["ms"].replace("FROM c1 GROUP", "FROM c1 WHERE instrument = 'CLOCK_A' GROUP")}
+
+
+def totals(k: int, bars_: str, missing: str) -> str:
+    late = f"INTERVAL '{k + 5} minutes'"
+    gaps = f"(SELECT count(*) FILTER (k) FROM (SELECT lag(t) OVER w IS NULL OR t - lag(t) OVER w <> INTERVAL '{k} minutes' AS k FROM {missing} WINDOW w AS (PARTITION BY instrument, CAST(t AS DATE) ORDER BY t)))"
+    return f"""SELECT '{k}min' AS timeframe, count(DISTINCT (instrument, CAST(t AS DATE))) AS n_days, count(*) AS n_rows, (SELECT count(*) FROM {missing}) AS n_missing, (SELECT count(*) FROM {missing} WHERE t + {late} <= TIMESTAMP '2024-01-05') AS n_stale,
+        count(*) FILTER (t + INTERVAL '{k} minutes' > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) - count(DISTINCT (instrument, t)) AS n_duplicate, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid, {gaps} AS n_unknown_market_status FROM {bars_}"""
+
+
+ORACLE_SQL["quality_totals"] = sql("a c1 b3 rp ms1 ms3", totals(1, "rp", "ms1") + " UNION ALL " + totals(3, "b3", "ms3"), REPEATED | MISSING3)
