@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import ROW, discard, materialize, packed, skew_join, unpacked, with_row_id
 from tickloom.llm.components import connected_components
 
-LANES, LANE_WORDS = 16, 60_000
+LANE_WORDS, LANE_MOST = 60_000, 127  # words of a line counted together: as many as asked for, no more than a lane can count
 EACH = 0x0001_0001_0001_0001
 BLOCKS = 4
 CLOSE_BANDS = (8, 32, 128, 512, 2048, 8192)
@@ -46,30 +46,30 @@ def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys and fp, a 64-bit SimHash of four blocks: a bit of block b is 1 if over half of the words of the b-th quarter of the
     line have it in their XXH64.
 
-    words: keys, pos, w, and n, the number of the line's words. A long holds four counters in 16-bit lanes, so four sums
-    count the 16 bits of a quarter's block over LANE_WORDS words; a line's quarters and such parts come together in lanes of 32 bits. With 2**30
-    less the majority added to each of these, bit 30 tells where a majority was reached.
+    words: keys, pos, w, and n, the number of the line's words. A long holds eight counters in lanes of 8 bits, so two sums
+    count the 16 bits of a quarter's block over LANE_MOST words at most; such parts come together in lanes of 32 bits. With
+    2**30 less the majority added to each of these, bit 30 tells where a majority was reached.
     """
-    quarter = F.expr(f"CAST(pos * {BLOCKS} div n AS INT)")
-    hashed = words.select(*keys, "n", F.expr(f"CAST(pos div {LANE_WORDS} AS INT)").alias("part"), quarter.alias("q"), F.xxhash64("w").alias("x"))
-    lane = lambda j: F.expr(f"shiftrightunsigned(x, 4 * q + {j})").bitwiseAND(long_(EACH))
-    parts = hashed.groupBy(*keys, "n", "q", "part").agg(*[F.sum(lane(j)).alias(f"s{j}") for j in range(4)])
-    wide = {(j, h): F.shiftrightunsigned(f"s{j}", 16 * h).bitwiseAND(long_(0x0000_FFFF_0000_FFFF)) for j in range(4) for h in (0, 1)}
-    sums = parts.groupBy(*keys, "n", "q").agg(*[F.sum(c).alias(f"w{j}_{h}") for (j, h), c in wide.items()])
-    begins = lambda b: F.expr(f"(n * ({b}) + {BLOCKS - 1}) div {BLOCKS}")
-    bias = (long_(1 << 30) - (F.floor((begins("q + 1") - begins("q")) / 2) + 1)) * long_(0x0000_0001_0000_0001)
+    at, size = F.expr(f"CAST(pos * {BLOCKS} div n AS INT)"), min(LANE_WORDS, LANE_MOST)
+    hashed = words.select(*keys, (F.expr(f"CAST(pos div {size} AS INT)") * BLOCKS + at).alias("part"), F.xxhash64("w").alias("x"), at.alias("q"))
+    lane = lambda j: F.expr(f"(shiftrightunsigned(x, 4 * q + {2 * j}) & {EACH}L) | shiftleft(shiftrightunsigned(x, 4 * q + {2 * j + 1}) & {EACH}L, 8)")
+    parts = hashed.groupBy(*keys, "part").agg(F.count("*").alias("n"), *[F.sum(lane(j)).alias(f"s{j}") for j in (0, 1)])
+    wide = {(j, h): F.shiftrightunsigned(f"s{j}", 8 * h).bitwiseAND(long_(0x0000_00FF_0000_00FF)) for j in (0, 1) for h in range(4)}
+    sums = parts.groupBy(*keys, F.pmod("part", F.lit(BLOCKS)).alias("q")).agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"w{j}_{h}") for (j, h), c in wide.items()])
+    bias = (long_(1 << 30) - (F.expr("n div 2") + 1)) * long_(0x0000_0001_0000_0001)
     block = long_(0)
-    for j, h in wide:
+    for j, h in wide:  # lanes h and h + 4 of a sum: bits 2j or 2j + 1 of each 16, in turn
         reached = F.shiftrightunsigned((F.col(f"w{j}_{h}") + bias).bitwiseAND(long_(0x4000_0000_4000_0000)), 30)
-        block = block.bitwiseOR(F.shiftleft(reached, j + 16 * h))
+        block = block.bitwiseOR(F.shiftleft(reached, 2 * j + h % 2 + 16 * (h // 2)))
     return sums.select(*keys, "q", block.alias("block")).groupBy(*keys).agg(F.bit_or(F.expr("shiftleft(block, 4 * q)")).alias("fp"))
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row for each line of at least min_chars normalised characters: where it stands, two hashes and its normalised form.
-    The one-element explode holds the form, which else would be computed anew wherever it is named."""
-    lines = docs.select("doc_id", ROW, F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    once = lines.select("doc_id", ROW, "ln", F.explode(F.array(normalised(F.col("line")))).alias("norm")).filter(F.length("norm") >= min_chars)
+    A text is normalised whole, its line feeds kept; only its ends are trimmed line by line."""
+    forms = F.regexp_replace(F.lower("text"), r"[^\p{L}\n]+", " ")
+    lines = docs.select("doc_id", ROW, F.posexplode(F.split(forms, "\n")).alias("ln", "line"))
+    once = lines.select("doc_id", ROW, "ln", F.trim("line").alias("norm")).filter(F.length("norm") >= min_chars)
     return once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
 
 
