@@ -66,8 +66,9 @@ def grouped_simhash(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row for each line of at least min_chars normalised characters: where it stands, two hashes and its normalised form.
-    A text is normalised whole, its line feeds kept; only its ends are trimmed line by line."""
-    forms = F.regexp_replace(F.lower("text"), r"[^\p{L}\n]+", " ")
+    A text is normalised whole, its line feeds kept; only its ends are trimmed line by line. Single spaces stay as they are, so
+    most words cost no replacement."""
+    forms = F.regexp_replace(F.lower("text"), r"[^\p{L}\n ][^\p{L}\n]*| [^\p{L}\n]+", " ")
     lines = docs.select("doc_id", ROW, F.posexplode(F.split(forms, "\n")).alias("ln", "line"))
     once = lines.select("doc_id", ROW, "ln", F.trim("line").alias("norm")).filter(F.length("norm") >= min_chars)
     return once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
@@ -78,9 +79,9 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     fingerprints are then summed where the lines are. Lines of fewer than BLOCKS words are taken letter by letter."""
     order = F.struct("doc_id", ROW, "ln")
     lines = rows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("many"), F.min("norm").alias("norm"))
-    words = F.split("norm", " ")
     keys = ["h1", "h2", "many", "doc_id", ROW, "ln"]
-    split = lines.select("h1", "h2", "many", "first.*", F.explode(F.array(F.when(F.size(words) >= BLOCKS, words).otherwise(F.split("norm", "")))).alias("words"))
+    cut = lines.select("h1", "h2", "many", "first.*", "norm", F.split("norm", " ").alias("words"))
+    split = cut.select(*keys, F.explode(F.array(F.when(F.size("words") >= BLOCKS, F.col("words")).otherwise(F.split("norm", "")))).alias("words"))
     prints = grouped_simhash(split.select(*keys, F.size("words").alias("n"), F.posexplode("words").alias("pos", "w")), keys)
     return prints.withColumn("lid", F.monotonically_increasing_id())
 
