@@ -173,7 +173,20 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8, long_words=40):
+def close(a, b, most):
+    """Whether a and b are at most `most` edits apart: rows of the table of distances, all of a row at once."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in (a, b))
+    ramp = np.arange(len(y) + 1)
+    row = ramp.copy()
+    for i in range(len(x)):
+        step = np.minimum(row[1:] + 1, row[:-1] + (y != x[i]))
+        row = np.minimum.accumulate(np.concatenate([[i + 1], step]) - ramp) + ramp
+    return bool(row[-1] <= most)
+
+
+def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8):
     places = defaultdict(list)
     for d, t in sorted(docs, key=lambda x: x[0]):
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
@@ -186,11 +199,7 @@ def fuzzy_lines(docs, min_chars=20, changed=2, similarity=0.8, long_words=40):
     pairs = {p for group in met.values() for p in combinations(group, 2)}
     linked = []
     for a, b in pairs:
-        if max(a.count(" "), b.count(" ")) + 1 >= long_words:
-            x, y = a.split(" "), b.split(" ")
-        else:
-            x, y = a, b
-        if edit_distance(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9):
+        if close(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)):
             linked.append((a, b))
     group, keep = components(names, linked), {}
     for n in names:

@@ -300,6 +300,19 @@ def test_fuzzy_lines_finds_changed_letters(spark, sf_dir, edits):
     assert not {d for d in left if d % 2}
 
 
+def test_long_lines_are_compared_in_letters(spark):
+    """The same nine changed letters count alike in lines of 39, 40 and 200 words."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k, n in enumerate((39, 40, 41, 200)):
+        words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+        turned = [w if i * 4 // n != 1 or i % 2 else "q" + w[1:] for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(turned))]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.filter("text <> ''").collect()} == {0, 2, 4, 6}
+    assert plain(got.select("doc_id", "text")) == brute.fuzzy_lines(rows)
+
+
 def test_fuzzy_lines(spark, odd):
     long = [f"term{i}" for i in range(120)]
     vary = lambda i: " ".join(w if j != i else "other" for j, w in enumerate(long))

@@ -20,8 +20,6 @@ LANE_WORDS, LANE_MOST = 60_000, 127  # words of a line counted together: as many
 EACH = 0x0001_0001_0001_0001
 BLOCKS = 4
 CLOSE_BANDS = (8, 32, 128, 512, 2048, 8192)
-LONG_WORDS = 40
-SYMBOLS = range(0x0100, 0xD800)  # code points of two bytes in UTF-16
 
 
 def normalised(line: Column) -> Column:
@@ -100,30 +98,18 @@ def crowded(lines: DataFrame, masks: list[int]) -> DataFrame:
     return skew_join(keyed, heads.hint("shuffle_hash"), ["key"])
 
 
-def spelled(words: Column) -> Column:
-    """Words as a text of one symbol each, by hash: equal words are equal symbols, and of 55,040 pairs of others one is."""
-    symbol = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(len(SYMBOLS))) + SYMBOLS[0]), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(words, symbol), "")), "UTF-16BE")
-
-
 def texts_of(met: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(lid, many, norm, spell) of the lines that meet any other: the number of words, the text of those under LONG_WORDS words,
-    the words as symbols. Their documents are read once more, each cut into its lines once."""
+    """(lid, norm) of the lines that meet any other. Their documents are read once more, each cut into its lines once."""
     wanted = met.select("lid").distinct().join(lines.select("lid", ROW, "ln"), "lid")
     places = wanted.groupBy(ROW).agg(F.collect_list(F.struct("ln", "lid")).alias("places"))
     cut = docs.select(ROW, "text").join(places, ROW).select("places", F.explode(F.array(F.split("text", "\n"))).alias("all"))
-    forms = cut.select("all", F.inline("places")).select("lid", F.explode(F.array(normalised(F.col("all")[F.col("ln")]))).alias("norm"))
-    split = forms.select("lid", "norm", F.explode(F.array(F.split("norm", " "))).alias("words")).withColumn("many", F.size("words"))
-    return split.select("lid", "many", F.when(F.col("many") < LONG_WORDS, F.col("norm")).alias("norm"), spelled(F.col("words")).alias("spell"))
+    return cut.select("all", F.inline("places")).select("lid", normalised(F.col("all")[F.col("ln")]).alias("norm"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose lines have edit similarity 1 - distance / longer length of at least `similarity`: counted in letters, or
-    in words if one of the two has LONG_WORDS words or more."""
-    side = lambda e: texts.withColumnsRenamed({c: f"{c}_{e}" for c in ("many", "norm", "spell")})
+    """Pairs (a, b) whose lines have edit similarity 1 - distance / longer length, in letters, of at least `similarity`."""
+    side = lambda e: texts.withColumnRenamed("norm", f"t{e}")
     both = skew_join(skew_join(pairs.withColumn("lid", F.col("b")), side("b"), ["lid"]).withColumn("lid", F.col("a")), side("a"), ["lid"])
-    long = F.greatest("many_a", "many_b") >= LONG_WORDS
-    both = both.select("a", "b", *[F.when(long, F.col(f"spell_{e}")).otherwise(F.col(f"norm_{e}")).alias(f"t{e}") for e in "ab"])
     la, lb = F.length("ta"), F.length("tb")
     allowed = F.floor((1 - F.lit(similarity)) * F.greatest(la, lb) + 1e-9).cast("int")
     within = lambda most: F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0
@@ -198,7 +184,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, changed: int = 2, similari
 
     docs: doc_id, text and any more columns. Lines are cut at line feeds. Two lines are linked if their normalised forms
     are equal, or their SimHashes agree in all but `changed` of the four blocks and their edit similarity is `similarity`
-    or more (in words where one has LONG_WORDS words or more, else in letters); of each connected group the occurrence first in (doc_id, scan order, line) stays, null doc_ids first. Lines
+    or more, in letters; of each connected group the occurrence first in (doc_id, scan order, line) stays, null doc_ids first. Lines
     of fewer than min_chars normalised characters always stay. Every document stays, if with empty text; null text stays
     null; an empty table gives no rows. Equal lines are grouped by partial sums and found again by a join whose hot keys
     AQE can split, so a line may stand in any share of the documents.
