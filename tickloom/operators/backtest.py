@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.bars import BPS, session_bucket
 from tickloom.operators.metrics import confidence, predicted
+from tickloom.scratch import written
 
 
 @dataclass(frozen=True)
@@ -50,29 +51,41 @@ def without_overlap(decisions: DataFrame) -> DataFrame:
     """Signals become executed or suppressed_overlap: in the order of prediction, instrument and horizon, one that enters
     before the last executed one of its instrument has ended is suppressed; entering just then is allowed.
 
-    Only signals take part. They fall apart into islands that no earlier signal reaches into, found within days with a
-    row a day carried on, and each island is decided on its own: an instrument is as many tasks as it has pauses.
+    The decisions are written once and read from there. A trade reaches from its day into a later one only by the time it ends at, so a day
+    is a function of that time: for each end that can reach into it, the end that leaves it. A day's signals give this table on their own;
+    a row a day is carried through the instrument, and each day is then decided from the time that enters it. No task holds more than the
+    signals of an instrument's day or an instrument's days; trades that last many days cost more, with the ends that reach into a day.
     """
-    signals = decisions.filter("decision_status = 'signal'").select("instrument", "prediction_time_utc", "horizon_minutes", "source", "entry_time_utc", "label_end_time_utc", F.to_date("prediction_time_utc").alias("_day"))
+    decisions = written(decisions)
     order = ["prediction_time_utc", "horizon_minutes", "source"]
-    within = Window.partitionBy("instrument", "_day").orderBy(*order)
-    days = signals.groupBy("instrument", "_day").agg(F.max("label_end_time_utc").alias("_end"))
-    carried = days.select("instrument", "_day", F.max("_end").over(Window.partitionBy("instrument").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    reach = F.greatest(F.max("label_end_time_utc").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
-    cut = signals.join(carried, ["instrument", "_day"]).withColumn("_free", F.coalesce(F.col("entry_time_utc") >= reach, F.lit(True)))
-    heads = cut.groupBy("instrument", "_day").agg(F.max(F.when(F.col("_free"), F.col("prediction_time_utc"))).alias("_h"))
-    heads = heads.select("instrument", "_day", F.last("_h", ignorenulls=True).over(Window.partitionBy("instrument").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    island = F.coalesce(F.last(F.when(F.col("_free"), F.col("prediction_time_utc")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    marked = cut.join(heads, ["instrument", "_day"]).withColumn("_island", island)
-    one = F.struct(*order, "entry_time_utc", "label_end_time_utc")
-    lists = marked.groupBy("instrument", "_island").agg(F.array_sort(F.collect_list(one)).alias("_s"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("until"), F.array().cast("array<boolean>").alias("taken"))
+    signals = decisions.filter("decision_status = 'signal'").select("instrument", *order, "entry_time_utc", "label_end_time_utc", F.to_date("prediction_time_utc").alias("_day"))
+    days = signals.groupBy("instrument", "_day").agg(F.array_sort(F.collect_list(F.struct(*order, "entry_time_utc", "label_end_time_utc"))).alias("_s"), F.min("entry_time_utc").alias("_first"))
+    later_days = F.explode(F.sequence(F.date_add("_day", 1), F.to_date("label_end_time_utc"))).alias("_day")
+    ends = signals.filter(F.to_date("label_end_time_utc") > F.col("_day")).select("instrument", "label_end_time_utc", later_days).groupBy("instrument", "_day").agg(F.collect_set("label_end_time_utc").alias("_ends"))
+    none = F.lit(None).cast("timestamp")
+    free = lambda x, until: until.isNull() | (x["entry_time_utc"] >= until)
+
+    def leaves(until: Column) -> Column:
+        return F.aggregate("_s", until, lambda acc, x: F.when(free(x, acc), x["label_end_time_utc"]).otherwise(acc))
+
+    reaching = F.concat(F.array(none), F.coalesce(F.filter("_ends", lambda e: e > F.col("_first")), F.array().cast("array<timestamp>")))
+    tables = days.join(ends, ["instrument", "_day"], "left").select("instrument", "_day", "_first", F.transform(reaching, lambda e: F.struct(e.alias("enters"), leaves(e).alias("leaves"))).alias("_table"))
+
+    def through(acc: Column, day: Column) -> Column:
+        enters = F.when(acc["until"] > day["_first"], acc["until"])
+        until = F.filter(day["_table"], lambda r: r["enters"].eqNullSafe(enters))[0]["leaves"]
+        return F.struct(until.alias("until"), F.concat(acc["days"], F.array(F.struct(day["_day"].alias("_day"), enters.alias("_enters")))).alias("days"))
+
+    start = F.struct(none.alias("until"), F.array().cast("array<struct<_day:date,_enters:timestamp>>").alias("days"))
+    carried = tables.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("_day", "_first", "_table"))).alias("_d"))
+    entering = carried.select("instrument", F.inline(F.aggregate("_d", start, through, lambda acc: acc["days"])))
 
     def step(acc: Column, x: Column) -> Column:
-        free = F.coalesce(x["entry_time_utc"] >= acc["until"], F.lit(True))
-        return F.struct(F.when(free, x["label_end_time_utc"]).otherwise(acc["until"]).alias("until"), F.concat(acc["taken"], F.array(free)).alias("taken"))
+        taken = free(x, acc["until"])
+        return F.struct(F.when(taken, x["label_end_time_utc"]).otherwise(acc["until"]).alias("until"), F.concat(acc["taken"], F.array(taken)).alias("taken"))
 
-    decided = lists.withColumn("_t", F.aggregate("_s", start, step, lambda acc: acc["taken"])).select("instrument", F.inline(F.arrays_zip("_s", "_t"))).select("instrument", *[F.col(f"_s.{c}").alias(c) for c in order], F.col("_t").alias("_taken"))
+    begin = F.struct(F.col("_enters").alias("until"), F.array().cast("array<boolean>").alias("taken"))
+    decided = days.join(entering, ["instrument", "_day"]).withColumn("_t", F.aggregate("_s", begin, step, lambda acc: acc["taken"])).select("instrument", F.inline(F.arrays_zip("_s", "_t"))).select("instrument", *[F.col(f"_s.{c}").alias(c) for c in order], F.col("_t").alias("_taken"))
     out = decisions.join(decided, ["instrument", *order], "left")
     status = F.when(F.col("decision_status") != "signal", F.col("decision_status")).when(F.col("_taken"), "executed").otherwise("suppressed_overlap")
     return out.withColumn("decision_status", status).drop("_taken")
@@ -137,26 +150,29 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision_status").agg(F.count("*").alias("n"))
 
 
-def exposure(decisions: DataFrame) -> DataFrame:
-    """Observed minutes (each instrument from first prediction to last label end), minutes in a trade, and their share."""
+def exposure(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Observed minutes (each instrument from first prediction to last label end), minutes in a trade, and their share; by group if asked."""
+    by = by or []
     minutes = lambda a, b: (F.unix_seconds(b) - F.unix_seconds(a)) / 60.0
     held = F.when(F.col("decision_status") == "executed", minutes("entry_time_utc", "label_end_time_utc")).otherwise(0.0)
-    per = decisions.groupBy("instrument").agg(minutes(F.min("prediction_time_utc"), F.max("label_end_time_utc")).alias("m"), F.sum(held).alias("held"))
-    return per.agg(F.sum("m").alias("observation_minutes"), F.sum("held").alias("held_minutes"), F.try_divide(F.sum("held"), F.sum("m")).alias("exposure"))
+    per = decisions.groupBy(*by, "instrument").agg(minutes(F.min("prediction_time_utc"), F.max("label_end_time_utc")).alias("m"), F.sum(held).alias("held"))
+    return per.groupBy(*by).agg(F.sum("m").alias("observation_minutes"), F.sum("held").alias("held_minutes"), F.try_divide(F.sum("held"), F.sum("m")).alias("exposure"))
 
 
-def max_drawdown(decisions: DataFrame) -> DataFrame:
-    """Largest fall of realized net from its peak so far, which starts at 0. Exits at one time net out first; running sums
+def max_drawdown(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Largest fall of realized net from its peak so far, which starts at 0; by group if asked. Exits at one time net out first; running sums
     are within months, with a row a month carried on."""
-    exits = decisions.filter("decision_status = 'executed'").groupBy("label_end_time_utc").agg(F.sum("net_return_bps").alias("net")).withColumn("_m", F.date_trunc("month", "label_end_time_utc"))
-    w = Window.partitionBy("_m").orderBy("label_end_time_utc").rowsBetween(Window.unboundedPreceding, 0)
+    by = by or []
+    exits = decisions.filter("decision_status = 'executed'").groupBy(*by, "label_end_time_utc").agg(F.sum("net_return_bps").alias("net")).withColumn("_m", F.date_trunc("month", "label_end_time_utc"))
+    w = Window.partitionBy(*by, "_m").orderBy("label_end_time_utc").rowsBetween(Window.unboundedPreceding, 0)
     run = exits.withColumn("_c", F.sum("net").over(w)).withColumn("_p", F.max("_c").over(w))
-    whole = run.groupBy("_m").agg(F.max("_p").alias("_peak"), F.max_by("_c", "label_end_time_utc").alias("_sum"))
-    before = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    # of a month: where it ends, its peak, and its largest falls from a peak within it and, by the lowest point, from one before it
+    whole = run.groupBy(*by, "_m").agg(F.max("_p").alias("_peak"), F.max_by("_c", "label_end_time_utc").alias("_sum"), F.max(F.col("_p") - F.col("_c")).alias("_own"), F.min("_c").alias("_low"))
+    before = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     months = whole.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    months = months.withColumn("_top", F.greatest(F.coalesce(F.max(F.col("_base") + F.col("_peak")).over(before), F.lit(0.0)), F.lit(0.0))).select("_m", "_base", "_top")
-    fall = F.greatest(F.col("_top"), F.col("_base") + F.col("_p")) - (F.col("_base") + F.col("_c"))
-    return run.join(months, "_m").agg(F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown_bps"))
+    top = F.greatest(F.coalesce(F.max(F.col("_base") + F.col("_peak")).over(before), F.lit(0.0)), F.lit(0.0))
+    fall = F.greatest("_own", top - (F.col("_base") + F.col("_low")))
+    return months.withColumn("_fall", fall).groupBy(*by).agg(F.coalesce(F.max("_fall"), F.lit(0.0)).alias("max_drawdown_bps"))
 
 
 POLICIES = (Policy(0.5, 0.0), Policy(0.6, 2.0), Policy(0.7, 4.0))

@@ -78,6 +78,14 @@ def expected_calibration_error(rows: DataFrame, buckets: int = 10) -> DataFrame:
     return reliability(rows, buckets).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("ece"))
 
 
+def calibration_errors(rows: DataFrame, by: list[str], buckets: int = 10, true: str = "target_class") -> DataFrame:
+    """calibration_error by group: over confidence buckets, the gap of accuracy and mean confidence weighted by rows."""
+    conf = confidence()
+    bucket = F.least(F.floor(conf * buckets), F.lit(buckets - 1)).alias("_bucket")
+    per = rows.groupBy(*by, bucket).agg(F.count("*").alias("n"), F.abs(F.avg((predicted() == F.col(true)).cast("double")) - F.avg(conf)).alias("gap"))
+    return per.groupBy(*by).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("calibration_error"))
+
+
 def return_errors(rows: DataFrame, predicted_return: Column, actual: Column) -> DataFrame:
     e = predicted_return - actual
     return rows.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))

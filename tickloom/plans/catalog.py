@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.bars import CLASSES, sessions
-from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, resample, splits, validate
+from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, resample, splits, validate, walkforward
 from tickloom.operators.segments import with_segments
 from tickloom.schema import SERIES, later
 from tickloom.session import in_utc
@@ -406,8 +406,11 @@ COSTS, STRESS = backtest.Costs(), backtest.Costs(spread_bps=4.5)
 POLICY = backtest.Policy(0.5, -2.0)
 
 
+TRADED = [*SERIES, "prediction_time_utc", "entry_time_utc", "label_end_time_utc", "horizon_minutes", *[f"p_{c}" for c in CLASSES], "expected_return_bps", "entry_bid_open", "exit_bid_open", "future_return_bps"]
+
+
 def _tested(spark, d, costs=COSTS):
-    return backtest.run_backtest(predictions(spark, d), costs, POLICY)
+    return backtest.run_backtest(predictions(spark, d).select(*TRADED), costs, POLICY)
 
 
 @query
@@ -462,7 +465,7 @@ def max_drawdown(spark, d):
 
 @query
 def policy_select(spark, d):
-    rows, costs = predictions(spark, d), backtest.Costs(0.0, 0.0)
+    rows, costs = predictions(spark, d).select(*TRADED), backtest.Costs(0.0, 0.0)
     policies = (backtest.Policy(0.4, -9.0), backtest.Policy(0.5, -3.0), backtest.Policy(0.6, -3.0))
     for i, p in enumerate(policies):
         rows = backtest.with_decisions(rows, costs, p).withColumnRenamed("decision_status", f"_s{i}")
@@ -642,6 +645,36 @@ def model_ridge(spark, d):
     return metrics.classification_metrics(models.score_ridge(model, sigma, test), ["instrument"])
 
 
+def _nested_folds() -> list[splits.Fold]:
+    """Three years of sixths of the series: a fold trains on what lies before the last quarter of a year, which is for calibration, tests
+    on the year after it, and has the two quarters before that for inner validations."""
+    def fold(i: int) -> splits.Fold:
+        year = 4 * (3 + i)  # in 24ths
+        at = lambda k: _at(k, 24)
+        inner = tuple((splits.Block(f"f{i}-inner{q}-train", at(0), at(year - q)), splits.Block(f"f{i}-inner{q}", at(year - q), at(year - q + 1))) for q in (3, 2))
+        return splits.Fold(f"f{i}", splits.Block(f"f{i}-train", at(0), at(year - 1)), splits.Block(f"f{i}-calibration", at(year - 1), at(year)), splits.Block(f"f{i}-test", at(year), at(year + 4)), inner)
+
+    return [fold(i) for i in range(FOLDS)]
+
+
+def _nested(spark, d) -> walkforward.Nested:
+    rows = _spanned(labels.with_sample_ids(predictions(spark, d).drop("p_down", "p_neutral", "p_up", "expected_return_bps")), spark, d)
+    policies = (backtest.Policy(0.4, -2.0), backtest.Policy(0.5, 0.0), backtest.Policy(0.6, 2.0))
+    return walkforward.nested_selection(rows, _nested_folds(), gap_minutes=16, balanced=(False, True), costs=backtest.Costs(0.0, 0.0), policies=policies, minimum_trades=5)
+
+
+@query
+def nested_selection(spark, d):
+    """Models fitted on inner folds, chosen, refitted and judged on outer tests; no twin in SQL."""
+    return _nested(spark, d).report
+
+
+@query
+def promotion_report(spark, d):
+    """Thirteen metrics of the nested selection over its folds, and the tests for promotion; no twin in SQL."""
+    return walkforward.promotion(benchmark.horizon_summary(_nested(spark, d).report, walkforward.METRICS))
+
+
 def _minute(name: str):
     return F.floor(F.unix_seconds(name) / 60)
 
