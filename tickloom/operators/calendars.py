@@ -1,12 +1,12 @@
-"""Market calendars as small tables, gap slots classified against them, and the daily quality of bars."""
+"""Market calendars as small tables, and gap slots classified against them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.validate import incomplete, invalid_ohlc
-from tickloom.schema import SERIES, later, seconds
+from tickloom.schema import SERIES, later, seconds, window_end
+
 
 def weekly_windows(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
     """(weekday from Monday, first minute, end minute) of the open hours of a week: at most some dozens of rows."""
@@ -36,20 +36,31 @@ def states(slots: DataFrame, weekly: DataFrame, special: DataFrame, time: str =
     return out.withColumn("market_status", status).drop("_wd", "_hours", "_date", "_d", "_special")
 
 
-def interval_expected(slots: DataFrame, weekly: DataFrame, special: DataFrame, timeframe: str) -> DataFrame:
-    """Whether a bar of the timeframe is expected: intraday bars if all their minutes are open, days and months if any is. Bars
-    not expected have the status that all their minutes share, else unknown."""
-    minutes = slots.withColumn("_m", F.explode(F.sequence("timestamp_open_utc", later(F.col("timestamp_open_utc"), seconds(timeframe) // 60 - 1), F.expr("INTERVAL 1 MINUTE"))))
+def interval_states(slots: DataFrame, weekly: DataFrame, special: DataFrame, timeframe: str) -> DataFrame:
+    """(timestamp_open_utc, market_status, expected) for each slot: intraday bars are expected if all their minutes are open, days and months
+    if any is. Bars not expected have the status that all their minutes share, else unknown."""
+    t = F.col("timestamp_open_utc")
+    if timeframe == "1min":
+        return states(slots.select(t), weekly, special).withColumn("expected", F.col("market_status") == "open")
+    minutes = slots.select(t, F.explode(F.sequence(t, later(window_end(t, timeframe), -1), F.expr("INTERVAL 1 MINUTE"))).alias("_m"))
     is_open = F.col("market_status") == "open"
-    grouped = states(minutes, weekly, special, "_m").groupBy(*SERIES, "timestamp_open_utc").agg((F.bool_or(is_open) if timeframe in ("1d", "1mo") else F.bool_and(is_open)).alias("expected"), F.min("market_status").alias("_low"), F.max("market_status").alias("_high"))
+    grouped = states(minutes, weekly, special, "_m").groupBy("timestamp_open_utc").agg((F.bool_or(is_open) if timeframe in ("1d", "1mo") else F.bool_and(is_open)).alias("expected"), F.min("market_status").alias("_low"), F.max("market_status").alias("_high"))
     status = F.when(F.col("expected"), "open").when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("unknown")
-    return grouped.select(*SERIES, "timestamp_open_utc", "expected", status.alias("market_status"))
+    return grouped.select("timestamp_open_utc", status.alias("market_status"), "expected")
+
+
+def interval_expected(slots: DataFrame, weekly: DataFrame, special: DataFrame, timeframe: str) -> DataFrame:
+    """interval_states for the slots of series."""
+    return slots.select(*SERIES, "timestamp_open_utc").join(interval_states(slots.select("timestamp_open_utc").distinct(), weekly, special, timeframe), "timestamp_open_utc")
 
 
 def expected_grid(bars: DataFrame, timeframe: str) -> DataFrame:
-    """The slots of each series and UTC day between its first and last bar of the day."""
-    days = bars.groupBy(*SERIES, F.to_date("timestamp_open_utc").alias("day")).agg(F.min("timestamp_open_utc").alias("a"), F.max("timestamp_open_utc").alias("b"))
-    return days.select(*SERIES, "day", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {seconds(timeframe)} SECONDS"))).alias("timestamp_open_utc"))
+    """The slots of each series from its first bar to its last, days without a bar included, a day at a time."""
+    step = F.expr(f"INTERVAL {seconds(timeframe)} SECONDS")
+    spans = bars.groupBy(*SERIES).agg(F.min("timestamp_open_utc").alias("a"), F.max("timestamp_open_utc").alias("b"))
+    days = spans.select(*SERIES, "a", "b", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("day"))
+    start = F.col("day").cast("timestamp")
+    return days.select(*SERIES, "day", F.explode(F.filter(F.sequence(start, later(start, 1440) - step, step), lambda s: s.between(F.col("a"), F.col("b")))).alias("timestamp_open_utc"))
 
 
 def missing_slots(bars: DataFrame, timeframe: str) -> DataFrame:
@@ -83,31 +94,5 @@ def gap_islands(slots: DataFrame, timeframe: str) -> DataFrame:
     return marked.groupBy(*SERIES, "day", "_id", "classification").agg(F.min("timestamp_open_utc").alias("gap_start_utc"), later(F.max("timestamp_open_utc"), seconds(timeframe) // 60).alias("gap_end_utc"), F.count("*").alias("n_slots")).drop("_id")
 
 
-GAP_CLASSES = ("known_gap", "scheduled_closure", "missing_data", "unknown_market_status")  # fixed values: names of classes
-
-
-def daily_quality(bars: DataFrame, timeframe: str, as_of: Column, stale_after_minutes: int = 5, classified: DataFrame | None = None) -> DataFrame:
-    """One row a series and UTC day: rows, distinct bars, expected, missing and stale slots, incomplete, duplicate and invalid
-    bars, gaps (runs of slots) by class, and a status: fail for invalid, duplicate or incomplete bars and for gaps that
-    nothing explains (missing_data), marked for all other gaps, else pass.
-
-    classified: the missing slots from classify_gaps; without it, all of them are gaps of unknown market status.
-    """
-    day = F.to_date("timestamp_open_utc").alias("day")
-    found = bars.groupBy(*SERIES, day).agg(F.count("*").alias("n_rows"), F.countDistinct("timestamp_open_utc").alias("n_distinct"), F.count_if(incomplete(as_of)).alias("n_incomplete"), F.count_if(invalid_ohlc()).alias("n_invalid"), F.min("timestamp_open_utc").alias("a"), F.max("timestamp_open_utc").alias("b"))
-    step = seconds(timeframe)
-    late = missing_slots(bars, timeframe).withColumn("_stale", later(F.col("timestamp_open_utc"), step // 60 + stale_after_minutes) <= as_of)
-    missing = late.groupBy(*SERIES, "day").agg(F.count("*").alias("n_missing"), F.count_if("_stale").alias("n_stale"))
-    slots = missing_slots(bars, timeframe).withColumn("classification", F.lit("unknown_market_status")) if classified is None else classified
-    gaps = gap_islands(slots, timeframe).groupBy(*SERIES, "day").agg(*[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in GAP_CLASSES])
-    none = {f"n_{c}": F.coalesce(f"n_{c}", F.lit(0)) for c in GAP_CLASSES}
-    out = found.join(missing, [*SERIES, "day"], "left").join(gaps, [*SERIES, "day"], "left").withColumns(none).withColumns({
-        "n_expected": ((F.unix_seconds("b") - F.unix_seconds("a")) / step + 1).cast("long"), "n_missing": F.coalesce("n_missing", F.lit(0)), "n_stale": F.coalesce("n_stale", F.lit(0)), "n_duplicate": F.col("n_rows") - F.col("n_distinct"),
-    })
-    any_of = lambda *names: F.greatest(*[F.col(n) for n in names]) > 0
-    status = F.when(any_of("n_invalid", "n_duplicate", "n_incomplete", "n_missing_data"), "fail").when(any_of("n_known_gap", "n_scheduled_closure", "n_unknown_market_status"), "marked").otherwise("pass")
-    return out.withColumn("quality_status", status).drop("a", "b")
-
-
 def coverage(bars: DataFrame) -> DataFrame:
     return bars.groupBy("timeframe").agg(F.count("*").alias("n_rows"), F.min("timestamp_open_utc").alias("first_open_utc"), F.max("timestamp_close_utc").alias("last_close_utc"))

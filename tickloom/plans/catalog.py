@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.bars import CLASSES, sessions
-from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, resample, splits, validate, walkforward
+from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, quality, resample, splits, validate, walkforward
 from tickloom.operators.segments import with_segments
 from tickloom.schema import SERIES, later
 from tickloom.session import in_utc
@@ -504,8 +504,7 @@ KNOWN = [(1, "2024-01-02 09:00:00", "2024-01-02 12:00:00", "planned", None, None
 
 
 def _classified(spark, d):
-    known = spark.createDataFrame(KNOWN, "place int, start string, end string, reason string, instrument string, source string").selectExpr("place", "CAST(start AS TIMESTAMP) AS start_utc", "CAST(end AS TIMESTAMP) AS end_utc", "reason", "instrument", "source")
-    return calendars.classify_gaps(calendars.missing_slots(clocks(spark, d), "1min"), known, *_calendar(spark))
+    return calendars.classify_gaps(calendars.missing_slots(clocks(spark, d), "1min"), _known(spark), *_calendar(spark))
 
 
 @query
@@ -518,16 +517,31 @@ def gap_islands(spark, d):
     return calendars.gap_islands(_classified(spark, d), "1min").drop("source", "day")
 
 
+def _known(spark):
+    return spark.createDataFrame(KNOWN, "place int, start string, end string, reason string, instrument string, source string").selectExpr("place", "CAST(start AS TIMESTAMP) AS start_utc", "CAST(end AS TIMESTAMP) AS end_utc", "reason", "instrument", "source")
+
+
+AS_OF = "2024-01-05 00:00:30"
+
+
 @query
 def daily_quality(spark, d):
-    return calendars.daily_quality(_repeated(spark, d), "1min", F.lit("2024-01-05").cast("timestamp")).select("instrument", "day", "n_rows", "n_distinct", "n_expected", "n_missing", "n_stale", "n_incomplete", "n_duplicate", "n_invalid", "quality_status")
+    """Repeated bars, what is there alone saying what is expected, cut off half a minute into a bar."""
+    return quality.daily_quality(_repeated(spark, d), quality.Audit("1min", AS_OF)).drop("source")
 
 
 @query
 def daily_quality_classes(spark, d):
-    bars = clocks(spark, d)
-    found = calendars.daily_quality(bars, "1min", F.lit("2024-01-05").cast("timestamp"), classified=_classified(spark, d))
-    return found.select("instrument", "day", "n_rows", *[f"n_{c}" for c in calendars.GAP_CLASSES], "n_incomplete", "n_invalid", "quality_status")
+    """The same by a calendar and known gaps, over days from before the first bar on."""
+    audit = quality.Audit("1min", AS_OF, calendar=_calendar(spark), known=_known(spark), first_day="2023-12-30")
+    return quality.daily_quality(clocks(spark, d), audit).drop("source")
+
+
+@query
+def quality_gaps(spark, d):
+    """The gaps of 15-minute bars, by a calendar and known gaps, to the end of the series."""
+    audit = quality.Audit("15min", "2034-01-01", calendar=_calendar(spark), known=_known(spark))
+    return quality.gap_report(resample.resample(clocks(spark, d), "15min"), audit).drop("source")
 
 
 @query
@@ -833,12 +847,11 @@ def feature_availability(spark, d):
 
 @query
 def quality_totals(spark, d):
-    """Daily quality summed for each timeframe."""
-    as_of = F.lit("2024-01-05").cast("timestamp")
-    out = None
-    for t, bars in (("1min", _repeated(spark, d)), ("3min", bars3(spark, d))):
-        daily = calendars.daily_quality(bars, t, as_of)
-        names = ["n_rows", "n_missing", "n_stale", "n_incomplete", "n_duplicate", "n_invalid", "n_unknown_market_status"]
+    """Daily quality summed for each intraday timeframe."""
+    bars, out = clocks(spark, d), None
+    for t in ("1min", "3min", "5min", "15min", "30min", "1h", "3h"):
+        daily = quality.daily_quality(_repeated(spark, d) if t == "1min" else resample.resample(bars, t), quality.Audit(t, AS_OF))
+        names = ["n_rows", "n_expected", "n_missing", "n_stale", "n_incomplete", "n_duplicate", "n_invalid", "n_unknown_market_status"]
         one = daily.agg(F.lit(t).alias("timeframe"), F.count("*").alias("n_days"), *[F.sum(n).alias(n) for n in names])
         out = one if out is None else out.unionByName(one)
     return out

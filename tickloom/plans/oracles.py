@@ -222,23 +222,43 @@ CAL = """CASE WHEN t >= TIMESTAMP '2024-01-01 08:00:00' AND t < TIMESTAMP '2024-
 ORACLE_SQL["calendar_states"] = sql("a c1", f"SELECT instrument, CAST(t AS DATE) AS day, {CAL} AS market_status, count(*) AS n FROM c1 GROUP BY ALL")
 ORACLE_SQL["calendar_expected"] = sql("tk", f"""SELECT instrument, market_status, count(*) AS n, count(*) FILTER (expected) AS n_expected FROM (SELECT instrument, t0, bool_and(s = 'open') AS expected, CASE WHEN count(DISTINCT s) = 1 THEN min(s) ELSE 'unknown' END AS market_status FROM
     (SELECT instrument, t0, {CAL} AS s FROM (SELECT instrument, t AS t0, t + to_minutes(unnest(range(60))) AS t FROM tk)) GROUP BY ALL) GROUP BY ALL""", TICKS)
-MISSING = {"ms": "SELECT g.instrument, g.t FROM (SELECT instrument, unnest(generate_series(min(t), max(t), INTERVAL 1 MINUTE)) AS t FROM c1 GROUP BY instrument, CAST(t AS DATE)) g ANTI JOIN c1 ON c1.instrument = g.instrument AND c1.t = g.t"}
+MISSING = {"ms": "SELECT g.instrument, g.t FROM (SELECT instrument, unnest(generate_series(min(t), max(t), INTERVAL 1 MINUTE)) AS t FROM c1 GROUP BY instrument) g ANTI JOIN c1 ON c1.instrument = g.instrument AND c1.t = g.t"}
 ORACLE_SQL["expected_grid_anti"] = sql("a c1 ms", "SELECT instrument, t AS timestamp_open_utc FROM ms", MISSING)
 KNOWN = "CASE WHEN t >= TIMESTAMP '2024-01-02 09:00:00' AND t < TIMESTAMP '2024-01-02 12:00:00' THEN 'planned' WHEN t >= TIMESTAMP '2024-01-02 10:00:00' AND t < TIMESTAMP '2024-01-05' AND instrument = 'CLOCK_A' THEN 'outage' END"
 CLASSED = MISSING | {"gc": f"SELECT instrument, t, {KNOWN} AS known_reason, CASE WHEN {KNOWN} IS NOT NULL THEN 'known_gap' WHEN {CAL} <> 'open' THEN 'scheduled_closure' ELSE 'missing_data' END AS classification FROM ms"}
 ORACLE_SQL["known_gap_range_join"] = sql("a c1 ms gc", "SELECT instrument, classification, known_reason, count(*) AS n FROM gc GROUP BY ALL", CLASSED)
 ORACLE_SQL["gap_islands"] = sql("a c1 ms gc", """SELECT instrument, classification, min(t) AS gap_start_utc, max(t) + INTERVAL 1 MINUTE AS gap_end_utc, count(*) AS n_slots FROM (SELECT *, sum(k) OVER (PARTITION BY instrument ORDER BY t) AS g FROM
     (SELECT *, CASE WHEN t - lag(t) OVER w = INTERVAL 1 MINUTE AND classification = lag(classification) OVER w AND CAST(t AS DATE) = CAST(lag(t) OVER w AS DATE) THEN 0 ELSE 1 END AS k FROM gc WINDOW w AS (PARTITION BY instrument ORDER BY t))) GROUP BY instrument, classification, g""", CLASSED)
-ORACLE_SQL["daily_quality"] = sql("a c1 rp ms", """SELECT *, n_rows - n_distinct AS n_duplicate, n_invalid, CASE WHEN n_rows > n_distinct OR n_invalid > 0 OR n_incomplete > 0 THEN 'fail' WHEN n_missing > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
-    (SELECT f.instrument, f.day, n_rows, n_distinct, n_expected, coalesce(n_missing, 0) AS n_missing, coalesce(n_stale, 0) AS n_stale, n_incomplete, n_invalid FROM
-     (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_rows, count(DISTINCT t) AS n_distinct, CAST(epoch(max(t) - min(t)) / 60 + 1 AS BIGINT) AS n_expected, count(*) FILTER (t + INTERVAL 1 MINUTE > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid FROM rp GROUP BY ALL) f
-     LEFT JOIN (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_missing, count(*) FILTER (t + INTERVAL 6 MINUTE <= TIMESTAMP '2024-01-05') AS n_stale FROM ms GROUP BY ALL) m ON f.instrument = m.instrument AND f.day = m.day)""", REPEATED | MISSING)
-ORACLE_SQL["daily_quality"] = ORACLE_SQL["daily_quality"].replace("SELECT *, n_rows - n_distinct", "SELECT instrument, day, n_rows, n_distinct, n_expected, n_missing, n_stale, n_incomplete, n_rows - n_distinct")
-ORACLE_SQL["daily_quality_classes"] = sql("a c1 ms gc", """SELECT instrument, day, n_rows, coalesce(n_known_gap, 0) AS n_known_gap, coalesce(n_scheduled_closure, 0) AS n_scheduled_closure, coalesce(n_missing_data, 0) AS n_missing_data, 0::BIGINT AS n_unknown_market_status, n_incomplete, n_invalid,
-    CASE WHEN n_invalid > 0 OR n_incomplete > 0 OR n_missing_data > 0 THEN 'fail' WHEN n_known_gap > 0 OR n_scheduled_closure > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
-    (SELECT instrument, CAST(t AS DATE) AS day, count(*) AS n_rows, count(*) FILTER (t + INTERVAL 1 MINUTE > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid FROM c1 GROUP BY ALL) LEFT JOIN
-    (SELECT instrument, day, count(*) FILTER (k AND classification = 'known_gap') AS n_known_gap, count(*) FILTER (k AND classification = 'scheduled_closure') AS n_scheduled_closure, count(*) FILTER (k AND classification = 'missing_data') AS n_missing_data FROM
-     (SELECT *, CAST(t AS DATE) AS day, lag(t) OVER w IS NULL OR t - lag(t) OVER w <> INTERVAL 1 MINUTE OR classification <> lag(classification) OVER w AS k FROM gc WINDOW w AS (PARTITION BY instrument, CAST(t AS DATE) ORDER BY t)) GROUP BY ALL) USING (instrument, day)""", CLASSED)
+AS_OF = "TIMESTAMP '2024-01-05 00:00:30'"
+
+
+def audited(bars_: str, k: int, as_of: str = AS_OF, first: str = "", stale: int = 5, calendar: bool = False) -> dict[str, str]:
+    """Days of the scope, slots in it that close by the cutoff, those without a bar with their class, and their runs."""
+    step = f"INTERVAL '{k} minutes'"
+    status = CAL.replace("t >=", "u >=").replace("t <", "u <").replace("(t)", "(u)")
+    states = f"SELECT s, bool_and(x = 'open') AS ex, CASE WHEN bool_and(x = 'open') THEN 'open' WHEN count(DISTINCT x) = 1 THEN min(x) ELSE 'unknown' END AS st FROM (SELECT s, {status} AS x FROM (SELECT s, s + to_minutes(unnest(range({k}))) AS u FROM (SELECT DISTINCT s FROM gr{k}))) GROUP BY s"
+    known = KNOWN.replace("t >=", "s >=").replace("t <", "s <") if calendar else "NULL::VARCHAR"
+    return {
+        f"sp{k}": f"SELECT instrument, min(t) AS lo, max(t) AS hi, {first or 'CAST(min(t) AS DATE)'}::TIMESTAMP AS f, {first and first + '::TIMESTAMP' or 'min(t)'} AS a, max(t) + {step} AS b FROM {bars_} GROUP BY instrument",
+        f"dd{k}": f"SELECT instrument, a, b, unnest(generate_series(f, CAST(CAST(hi AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM sp{k}",
+        f"ob{k}": f"SELECT instrument, CAST(CAST(t AS DATE) AS TIMESTAMP) AS d, min(t) AS lo, max(t) AS hi, count(*) AS n_rows, count(DISTINCT t) AS n_distinct, count(*) FILTER (t + {step} > {as_of}) AS n_incomplete, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid FROM {bars_} GROUP BY ALL",
+        f"gr{k}": f"SELECT * FROM (SELECT instrument, a, b, d, unnest(generate_series(d, d + INTERVAL 1 DAY - {step}, {step})) AS s FROM dd{k}) WHERE s >= a AND s < b AND s + {step} <= {as_of}",
+        f"st{k}": states if calendar else f"SELECT DISTINCT s, NULL::BOOLEAN AS ex, 'unknown' AS st FROM gr{k}",
+        f"sl{k}": f"SELECT g.instrument, g.d, g.s, st, CASE WHEN ex IS NULL THEN coalesce(g.s BETWEEN lo AND hi, false) ELSE ex END AS want, ex FROM gr{k} g JOIN st{k} USING (s) LEFT JOIN ob{k} o ON o.instrument = g.instrument AND o.d = g.d",
+        f"ab{k}": f"SELECT *, CASE WHEN known IS NOT NULL THEN 'known_gap' WHEN ex THEN 'missing_data' WHEN NOT ex THEN 'scheduled_closure' ELSE 'unknown_market_status' END AS cl, want AND s + INTERVAL '{k + stale} minutes' <= {as_of} AS late FROM (SELECT x.*, {known} AS known FROM sl{k} x ANTI JOIN {bars_} y ON x.instrument = y.instrument AND x.s = y.t)",
+        f"gp{k}": f"SELECT instrument, d, st, cl, known, want, late, min(s) AS s0, max(s) + {step} AS s1, count(*) AS n FROM (SELECT *, s - to_minutes({k} * row_number() OVER (PARTITION BY instrument, d, st, cl, known, want, late ORDER BY s)) AS run FROM ab{k}) GROUP BY instrument, d, st, cl, known, want, late, run",
+        f"dq{k}": f"""SELECT *, n_rows - n_distinct AS n_duplicate, CASE WHEN n_rows > n_distinct OR n_invalid > 0 OR n_incomplete > 0 OR n_missing_data > 0 THEN 'fail' WHEN n_known_gap + n_scheduled_closure + n_unknown_market_status > 0 THEN 'marked' ELSE 'pass' END AS quality_status FROM
+            (SELECT dd{k}.instrument, CAST(dd{k}.d AS DATE) AS day, coalesce(n_rows, 0) AS n_rows, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_incomplete, 0) AS n_incomplete, coalesce(n_invalid, 0) AS n_invalid, coalesce(n_expected, 0) AS n_expected, coalesce(market_status, 'unknown') AS market_status, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('n_missing', 'n_stale', 'n_known_gap', 'n_scheduled_closure', 'n_missing_data', 'n_unknown_market_status'))}
+             FROM dd{k} LEFT JOIN ob{k} USING (instrument, d) LEFT JOIN (SELECT instrument, d, count(*) FILTER (want) AS n_expected, CASE WHEN bool_or(st = 'open') THEN 'open' WHEN bool_or(st = 'holiday') THEN 'holiday' WHEN bool_or(st = 'maintenance') THEN 'maintenance' WHEN bool_or(st = 'weekend') THEN 'weekend' ELSE 'unknown' END AS market_status FROM sl{k} GROUP BY ALL) USING (instrument, d)
+             LEFT JOIN (SELECT instrument, d, sum(n) FILTER (want) AS n_missing, sum(n) FILTER (late) AS n_stale, {', '.join(f"count(*) FILTER (cl = '{c}') AS n_{c}" for c in ('known_gap', 'scheduled_closure', 'missing_data', 'unknown_market_status'))} FROM gp{k} GROUP BY ALL) USING (instrument, d))""",
+    }
+
+
+AUDIT = ("sp", "dd", "ob", "gr", "st", "sl", "ab", "gp", "dq")
+audit_names = lambda k: " ".join(f"{n}{k}" for n in AUDIT)
+ORACLE_SQL["daily_quality"] = sql(f"a c1 rp {audit_names(1)}", "SELECT * FROM dq1", REPEATED | audited("rp", 1))
+ORACLE_SQL["daily_quality_classes"] = sql(f"a c1 {audit_names(1)}", "SELECT * FROM dq1", audited("c1", 1, first="DATE '2023-12-30'", calendar=True))
+ORACLE_SQL["quality_gaps"] = sql(f"a c1 b15 {audit_names(15)}", "SELECT instrument, CAST(d AS DATE) AS day, st AS market_status, cl AS classification, known AS known_reason, CAST(want AS INT) AS counts_as_missing, CAST(late AS INT) AS is_stale, s0 AS gap_start_utc, s1 AS gap_end_utc, n AS n_slots FROM gp15", audited("b15", 15, "TIMESTAMP '2034-01-01'", calendar=True))
 RET = {"rb": "SELECT *, 1e4 * (ln(c) - ln(lag(c) OVER (PARTITION BY instrument, g ORDER BY t))) AS r FROM sb3"}
 ORACLE_SQL["sequence_last20"] = sql("a c1 b3 sb3 rb", """SELECT instrument, t + INTERVAL 3 MINUTE AS available_at_utc, round(lag(r, 19) OVER w, 4) + 0.0 AS oldest_return, round(r, 4) + 0.0 AS newest_return, round(sum(1e4 * (h - l) / o) OVER v, 4) + 0.0 AS sum_range FROM rb
     WINDOW w AS (PARTITION BY instrument, g ORDER BY t), v AS (PARTITION BY instrument, g ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) QUALIFY count(r) OVER v = 20""", RET)
@@ -322,14 +342,9 @@ ORACLE_SQL["selected_candidate"] = sql(PRED, f"""SELECT c, CAST(weighted AS INT)
     ORDER BY macro_f1 DESC, log_loss, weighted, abs(log10(c)), c LIMIT 1""")
 ORACLE_SQL["head_and_tail"] = sql(PRED, "SELECT instrument, pt AS prediction_time_utc, cls AS target_class FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY pt) AS a, row_number() OVER (PARTITION BY instrument ORDER BY pt DESC) AS b FROM pred) WHERE a <= 16 OR b <= 16")
 ORACLE_SQL["feature_availability"] = sql(FEAT + " sf rg", " UNION ALL ".join(f"SELECT '{n}' AS feature, count({c}) AS n_there, {r(f'count({c}) / nullif(count(*), 0)', 'share')} FROM rg" for c, n in (("ts", "regime_trend_score"), ("ss", "regime_shock_score"))), REGIME)
-MISSING3 = {"ms3": MISSING["ms"].replace("INTERVAL 1 MINUTE", "INTERVAL 3 MINUTE").replace("c1", "b3"), "ms1": MISSING["ms"].replace("FROM c1 GROUP", "FROM c1 WHERE instrument = 'CLOCK_A' GROUP")}
-
-
-def totals(k: int, bars_: str, missing: str) -> str:
-    late = f"INTERVAL '{k + 5} minutes'"
-    gaps = f"(SELECT count(*) FILTER (k) FROM (SELECT lag(t) OVER w IS NULL OR t - lag(t) OVER w <> INTERVAL '{k} minutes' AS k FROM {missing} WINDOW w AS (PARTITION BY instrument, CAST(t AS DATE) ORDER BY t)))"
-    return f"""SELECT '{k}min' AS timeframe, count(DISTINCT (instrument, CAST(t AS DATE))) AS n_days, count(*) AS n_rows, (SELECT count(*) FROM {missing}) AS n_missing, (SELECT count(*) FROM {missing} WHERE t + {late} <= TIMESTAMP '2024-01-05') AS n_stale,
-        count(*) FILTER (t + INTERVAL '{k} minutes' > TIMESTAMP '2024-01-05') AS n_incomplete, count(*) - count(DISTINCT (instrument, t)) AS n_duplicate, count(*) FILTER (h < greatest(o, c) OR l > least(o, c) OR h < l) AS n_invalid, {gaps} AS n_unknown_market_status FROM {bars_}"""
-
-
-ORACLE_SQL["quality_totals"] = sql("a c1 b3 rp ms1 ms3", totals(1, "rp", "ms1") + " UNION ALL " + totals(3, "b3", "ms3"), REPEATED | MISSING3)
+TOTALS = {1: ("1min", "rp"), 3: ("3min", "b3"), 5: ("5min", "b5"), 15: ("15min", "b15"), 30: ("30min", "b30"), 60: ("1h", "b60"), 180: ("3h", "b180")}
+ORACLE_SQL["quality_totals"] = sql(
+    "a c1 rp b3 b5 b15 b30 b60 b180 " + " ".join(audit_names(k) for k in TOTALS),
+    " UNION ALL ".join(f"SELECT '{t}' AS timeframe, count(*) AS n_days, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in ('n_rows', 'n_expected', 'n_missing', 'n_stale', 'n_incomplete', 'n_duplicate', 'n_invalid', 'n_unknown_market_status'))} FROM dq{k}" for k, (t, _) in TOTALS.items()),
+    REPEATED | {n: q for k, (_, b) in TOTALS.items() for n, q in audited(b, k).items()},
+)
