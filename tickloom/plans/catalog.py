@@ -855,3 +855,6 @@ def quality_totals(spark, d):
         one = daily.agg(F.lit(t).alias("timeframe"), F.count("*").alias("n_days"), *[F.sum(n).alias(n) for n in names])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+from tickloom.plans import streams  # noqa: E402, F401  registers its queries

@@ -348,3 +348,16 @@ ORACLE_SQL["quality_totals"] = sql(
     " UNION ALL ".join(f"SELECT '{t}' AS timeframe, count(*) AS n_days, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in ('n_rows', 'n_expected', 'n_missing', 'n_stale', 'n_incomplete', 'n_duplicate', 'n_invalid', 'n_unknown_market_status'))} FROM dq{k}" for k, (t, _) in TOTALS.items()),
     REPEATED | {n: q for k, (_, b) in TOTALS.items() for n, q in audited(b, k).items()},
 )
+
+# What a stream has emitted once its watermark, ten minutes behind the latest row, has come to rest.
+MARK = "(SELECT max(t) - INTERVAL 10 MINUTE FROM {})"
+ORACLE_SQL["stream_ohlc_3min"] = sql("a c1 b3", bar_select(3, "3min") + f"b3 WHERE t + INTERVAL 3 MINUTE <= {MARK.format('c1')}")
+ORACLE_SQL["stream_sessions"] = f"SELECT * FROM ({ORACLE_SQL['session_windows']}) WHERE end_utc <= ({sql('a c1', 'SELECT max(t) - INTERVAL 10 MINUTE FROM c1')})"
+ORACLE_SQL["stream_first_deliveries"] = sql("a c1 rp", f"SELECT instrument, count(*) AS n, {r('sum(c)', 'sum_close')} FROM (SELECT DISTINCT * FROM rp) GROUP BY instrument", REPEATED)
+ORACLE_SQL["stream_asof"] = f"SELECT * FROM ({ORACLE_SQL['asof_tolerance']}) WHERE prediction_time_utc <= ({sql('a c1 b3', 'SELECT max(t) + INTERVAL 3 MINUTE - INTERVAL 10 MINUTE FROM b3')})"
+ORACLE_SQL["stream_positions"] = sql(TRADES, "SELECT instrument, pt AS prediction_time_utc, 15 AS horizon_minutes FROM tr", BASE)
+ORACLE_SQL["stream_silences"] = sql("tk", """SELECT instrument, t + INTERVAL 1 HOUR AS silent_from_utc, t + INTERVAL 3 HOUR AS stale_from_utc FROM (SELECT *, lead(t) OVER (PARTITION BY instrument ORDER BY t) AS later, max(t) OVER () AS latest FROM tk)
+    WHERE later >= t + INTERVAL 3 HOUR OR (later IS NULL AND t + INTERVAL 3 HOUR <= latest - INTERVAL 1 HOUR)""", TICKS)
+FILES = "SELECT k, max(t) + INTERVAL 1 MINUTE AS cutoff FROM (SELECT t, (SELECT epoch(min(t)) FROM c1) AS low, (SELECT epoch(max(t)) FROM c1) AS high FROM c1), range(6) r(k) WHERE epoch(t)::BIGINT >= low::BIGINT + (high::BIGINT + 1 - low::BIGINT) * k // 6 AND epoch(t)::BIGINT < low::BIGINT + (high::BIGINT + 1 - low::BIGINT) * (k + 1) // 6 GROUP BY k"
+ORACLE_SQL["stream_online_features"] = sql(FEAT + " fl", f"""SELECT instrument, pt AS prediction_time_utc, fw AS feature_window_start_utc, {', '.join(r(*x) for x in FEATURES)} FROM
+    (SELECT *, row_number() OVER (PARTITION BY instrument, k ORDER BY pt DESC) AS place FROM feat JOIN fl ON pt <= cutoff AND fw >= cutoff - INTERVAL 180 MINUTE) WHERE place = 1""", {"fl": FILES})
