@@ -2,14 +2,17 @@
 
 import math
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import backtest, walkforward
+from tickloom.operators import backtest, bundles, walkforward
 from tickloom.operators.splits import Block, Fold
 from tickloom.session import in_utc
+from tickloom.sources import inventory
+from tickloom.sources.inventory import InventoryError
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 NAMES = ["momentum_5_bps", "candle_body_bps", "hour_sin"]
@@ -187,3 +190,86 @@ def test_promotion_is_by_every_gate(spark):
     got = {r.family: r for r in walkforward.promotion(frame).collect()}
     assert {f for f, r in got.items() if r.promoted} == {"better"} and got["same"].failed == "macro_f1 mean over reference" and got["few"].failed == "trades worst at least 20.0"
     assert got["loses"].n_passed == 5 and got["empty"].n_passed == 0 and "reference" not in got
+
+
+# bundles, inventories, reproduction
+
+
+def test_bundles_reload_to_the_same_scores_and_refuse_others(spark, nested, rows, made, tmp_path):
+    root, to = f"file://{tmp_path}/bundles", max(m.trained_to for m in nested.models)
+    path = bundles.save_bundle(spark, root, nested.models, NAMES, "v1", to)
+    assert bundles.latest(spark, root) == path
+    load = lambda names=NAMES, version="v1", as_of="2024-01-08 00:00:00", days=30: bundles.load_bundle(spark, path, names, version, as_of, days)
+    models = load()
+    assert [m.cell for m in models] == [m.cell for m in nested.models]
+    for a, b in zip(models, nested.models, strict=True):
+        assert all((x == y).all() for x, y in zip(a.predict(made[0]), b.predict(made[0]), strict=True))
+    for refused, match in (({"names": NAMES[::-1]}, "other features"), ({"version": "v2"}, "trained on v1"), ({"as_of": "2024-03-08 00:00:00"}, "days old"), ({"as_of": "2024-01-02 00:00:00"}, "comes after")):
+        with pytest.raises(InventoryError, match=match):
+            load(**refused)
+    universe = rows.filter(F.col("sample_id").endswith("7")).select("sample_id")
+    again = bundles.reevaluate(models, rows, universe)
+    assert again.count() == len(models) * universe.count()
+    row = again.filter("model = 1 AND sample_id = 's417'").first()
+    assert row.p_up == models[1].predict(made[0][417:418])[0][0, 2]
+    with pytest.raises(Exception, match="(?i)exists"):
+        bundles.save_bundle(spark, root, nested.models, NAMES, "v1", to)
+
+
+def test_a_changed_bundle_is_refused_by_file(spark, nested, tmp_path):
+    to = max(m.trained_to for m in nested.models)
+    for k, harm in enumerate((lambda p: p.unlink(), lambda p: p.write_bytes(p.read_bytes() + b"x"), lambda p: (p.parent / "part-more.parquet").write_bytes(b"y"))):
+        path = bundles.save_bundle(spark, f"file://{tmp_path}/b{k}", nested.models, NAMES, "v1", to)
+        victim = next(Path(path.removeprefix("file://")).glob("content/models/*.parquet"))
+        (victim.parent / f".{victim.name}.crc").unlink()  # a local file system's own check
+        harm(victim)
+        with pytest.raises(InventoryError, match=("missing: models/part-", "changed: models/part-", "added: models/part-more")[k]):
+            bundles.load_bundle(spark, path, NAMES, "v1", "2024-01-08 00:00:00", 30)
+    path = Path(bundles.save_bundle(spark, f"file://{tmp_path}/b9", nested.models, NAMES, "v1", to).removeprefix("file://"))
+    text = (path / "manifest.json").read_text()
+    for crc in path.glob(".manifest.json*"):
+        crc.unlink()
+    (path / "manifest.json").write_text(text.replace('"v1"', '"v2"'))
+    with pytest.raises(InventoryError, match="manifest was changed"):
+        bundles.load_bundle(spark, f"file://{path}", NAMES, "v2", "2024-01-08 00:00:00", 30)
+
+
+def test_pipelines_are_bundled_too(spark, rows, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    model = Pipeline(stages=[Imputer(inputCols=NAMES, outputCols=[f"{n}_i" for n in NAMES]), VectorAssembler(inputCols=[f"{n}_i" for n in NAMES], outputCol="features"), LinearRegression(labelCol="arithmetic_return_bps", solver="normal")]).fit(rows)
+    path = bundles.save_bundle(spark, f"file://{tmp_path}/p", model, NAMES, "v1", "2024-01-02 00:00:00")
+    again = bundles.load_bundle(spark, path, NAMES, "v1", "2024-01-08 00:00:00", 30)
+    assert again.transform(rows).select("sample_id", "prediction").exceptAll(model.transform(rows).select("sample_id", "prediction")).count() == 0
+
+
+def test_files_are_told_apart_by_content_and_paths_kept_inside(spark, tmp_path):
+    for name, text in (("a", "1"), ("d/b", "2"), ("d/c", "3"), ("d/new", "4"), ("_hidden", "5")):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    there = inventory.files(spark, f"{tmp_path}/r")
+    assert {r.path: r.length for r in there.collect()} == {"a": 1, "d/b": 1, "d/c": 1, "d/new": 1}
+    digest = dict(there.select("path", "sha256").collect())
+    listed = [("a", 1, digest["a"].upper()), ("d/b", 1, digest["a"]), ("d/c", 2, digest["d/c"]), ("gone", 1, "x"), ("../a", 1, digest["a"]), ("/etc/x", 1, "x"), ("d/../a", 1, "x"), ("file:x", 1, "x"), ("gone2", 1, "x"), ("gone2", 1, "x"), (None, 1, "x")]
+    got = {r.path: r.status for r in inventory.compared(spark.createDataFrame(listed, "path string, length long, sha256 string"), there).collect()}
+    assert got == {"a": "same", "d/b": "changed", "d/c": "changed", "d/new": "added", "gone": "missing", "../a": "escapes", "/etc/x": "escapes", "d/../a": "escapes", "file:x": "escapes", "gone2": "repeated", "": "escapes"}
+
+
+def test_a_recorded_run_is_reproduced(spark, nested, rows, tmp_path):
+    path = f"file://{tmp_path}/run"
+    bundles.record_run(spark, path, rows, nested, FOLDS, NAMES, GAP)
+    r = bundles.reproduce_run(spark, path, FOLDS).first()
+    assert (r.n_other_choices, r.n_other_models, r.n_other_keys, r.n_far) == (0, 0, 0, 0) and r.n_rows == 2 * 300 and r.largest < 1e-11
+    with pytest.raises(InventoryError, match="other folds"):
+        bundles.reproduce_run(spark, path, FOLDS[:1])
+    again = bundles.reproduce_run(spark, path, FOLDS).first()
+    assert again == r  # sums are added in one order
+
+
+def test_differences_count_both_sides(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("y", 2.0), ("z", 3.0)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 3.5), ("w", 0.0)], "k string, v double")
+    r = bundles.differences(a, b, ["k"], ["v"], 0.1).first()
+    assert (r.n_rows, r.n_other_keys, r.n_only_saved, r.n_only_again, r.largest, r.n_far) == (4, 2, 2, 2, 0.5, 1)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,14 +154,16 @@ def summed(blocks: Blocks, size: int, cells: int, add: Callable[[list[np.ndarray
         totals = [np.zeros(size) for _ in range(cells)]
         for batch in batches:
             add(totals, matrix(batch, features), numbers(batch, "target_class_id"), numbers(batch, "arithmetic_return_bps"), numbers(batch, "mask_train"))
-        yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(totals, pa.list_(pa.float64()))], names=["cell", "sums"])
+        place = np.full(cells, TaskContext.get().partitionId(), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(place), pa.array(totals, pa.list_(pa.float64()))], names=["cell", "part", "sums"])
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": frame["cell"][:1], "sums": [np.sum(np.stack(frame["sums"].to_list()), axis=0)]})
+        ordered = frame.sort_values("part")["sums"].to_list()  # whatever order they came in, the same sum
+        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "sums": [np.sum(np.stack(ordered), axis=0)]})
 
     spark = blocks.table.sparkSession
     rows = blocks.table.filter("mask_train != 0").select("x", *TARGETS, "mask_train").coalesce(2 * spark.sparkContext.defaultParallelism)
-    found = rows.mapInArrow(part, "cell int, sums array<double>").groupBy("cell").applyInPandas(whole, "cell int, sums array<double>")
+    found = rows.mapInArrow(part, "cell int, part int, sums array<double>").groupBy("cell").applyInPandas(whole, "cell int, sums array<double>")
     return {r.cell: np.array(r.sums) for r in found.collect()}
 
 
