@@ -71,19 +71,27 @@ def mvp_features(bars: DataFrame, timeframe: str = "3min", lags: tuple[int, ...]
 FEATURES = ["close_log_return_1_bps", *[f"close_log_return_lag_{k}_bps" for k in (1, 2, 3)], "candle_body_bps", "candle_range_bps", "upper_wick_bps", "lower_wick_bps", "close_position", "momentum_5_bps", "momentum_20_bps", "realized_volatility_20_bps", "distance_to_sma_5_bps", "distance_to_sma_20_bps", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos"]
 
 
-def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def price_names(timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...] = (1, 2, 3)) -> list[str]:
+    """The columns of price_block, in order."""
+    longest = max(windows)
+    names = ["log_return_1_bps", *[f"log_return_lag_{k}_bps" for k in lags], *shapes(), *[f"{n}_{k}_bps" for k in windows for n in ("momentum", "realized_volatility")]]
+    return [f"p7_{timeframe}_{n}" for n in (*names, f"distance_to_sma_{longest}_bps", f"price_zscore_{longest}", f"breakout_position_{longest}")]
+
+
+def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...] = (1, 2, 3), start: str | None = None) -> DataFrame:
     """Features p7_<timeframe>_* of one timeframe: returns, shapes, momentum and volatility for each window, and distance to
     the mean, z-score and breakout for the longest. Rows with any null are left out before any as-of join, so that an
-    older bar can match instead."""
-    w, longest, p = within_segment(), max(windows), f"p7_{timeframe}_"
+    older bar can match instead. start: a column for the open of the first bar that the row looks at."""
+    w, longest = within_segment(), max(windows)
     base = with_segments(bars, seconds(timeframe)).withColumn("_r", log_return(w))
-    values = {"log_return_1_bps": F.col("_r")} | {f"log_return_lag_{k}_bps": F.lag("_r", k).over(w) for k in lags} | shapes()
+    values = [F.col("_r"), *[F.lag("_r", k).over(w) for k in lags], *shapes().values()]
     for k in windows:
-        values |= {f"momentum_{k}_bps": momentum(k, w), f"realized_volatility_{k}_bps": realized_vol("_r", k, w)}
-    values |= {f"distance_to_sma_{longest}_bps": sma_distance(longest, w), f"price_zscore_{longest}": price_zscore(longest, w), f"breakout_position_{longest}": breakout(longest, w)}
-    out = base.withColumns({p + k: v for k, v in values.items()} | {"_start": F.lag(OPEN, max(max(lags) + 1, longest)).over(w)})
-    names = [p + k for k in values]
-    return out.na.drop(subset=[*names, "_start"]).select(*SERIES, F.col("timestamp_close_utc").alias("available_at_utc"), *names)
+        values += [momentum(k, w), realized_vol("_r", k, w)]
+    values += [sma_distance(longest, w), price_zscore(longest, w), breakout(longest, w)]
+    names = price_names(timeframe, windows, lags)
+    out = base.withColumns(dict(zip(names, values, strict=True)) | {"_start": F.lag(OPEN, max(max(lags) + 1, longest)).over(w)})
+    extra = [F.col("_start").alias(start)] if start else []
+    return out.na.drop(subset=[*names, "_start"]).select(*SERIES, F.col("timestamp_close_utc").alias("available_at_utc"), *extra, *names)
 
 
 def regimes(features: DataFrame, lookback: int = 80, shock_rows: int = 20, cadence_seconds: int = 180) -> DataFrame:

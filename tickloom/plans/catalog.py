@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.bars import CLASSES, sessions
-from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, quality, resample, splits, validate, walkforward
+from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, quality, resample, splits, validate, walkforward, wide
 from tickloom.operators.segments import with_segments
-from tickloom.schema import SERIES, later
+from tickloom.schema import SERIES, later, seconds
+from tickloom.scratch import written
 from tickloom.session import in_utc
 from tickloom.sources.events import both_clocks, events, minute_clock, tick_bars
 
@@ -216,15 +217,27 @@ def asof_tolerance(spark, d):
 @query
 def features_wide(spark, d):
     """The MVP features with two as-of timeframes and the regime block, by instrument and day: counts and means."""
-    bars = clocks(spark, d)
-    feats = features.mvp_features(resample.resample(bars, "3min")).drop("seg")
-    wide = feats
-    for t, w in (("5min", (2, 5)), ("15min", (2, 4))):
-        block = features.price_block(resample.resample(bars, t), t, w)
-        wide = asof.asof_on_grid(wide, block, t, [c for c in block.columns if c.startswith("p7_")])
-    wide = wide.join(features.regimes(feats), [*SERIES, "prediction_time_utc"])
+    bars = written(clocks(spark, d))
+    feats = written(features.mvp_features(resample.resample(bars, "3min")))
+    blocks = {t: (features.price_block(resample.resample(bars, t), t, w), features.price_names(t, w), seconds(t)) for t, w in (("5min", (2, 5)), ("15min", (2, 4)))}
+    whole = asof.asof_many(feats.drop("seg"), blocks).join(features.regimes(feats), [*SERIES, "prediction_time_utc"])
     named = ["momentum_20_bps", "p7_5min_price_zscore_5", "p7_15min_breakout_position_4", "regime_trend_score"]
-    return wide.groupBy("instrument", F.to_date("prediction_time_utc").alias("day")).agg(F.count("*").alias("n_rows"), *[x for n in named for x in (F.count(n).alias(f"n_{n}"), F.avg(n).alias(f"avg_{n}"))])
+    return whole.groupBy("instrument", F.to_date("prediction_time_utc").alias("day")).agg(F.count("*").alias("n_rows"), *[x for n in named for x in (F.count(n).alias(f"n_{n}"), F.avg(n).alias(f"avg_{n}"))])
+
+
+@query
+def feature_availability_by_timeframe(spark, d):
+    """For each timeframe of the feature table the predictions that have a fresh bar of it, and that bar's mean age."""
+    table = wide.feature_table(clocks(spark, d))
+    age = lambda t: F.avg(F.unix_seconds("prediction_time_utc") - F.unix_seconds(f"asof_{t}_utc"))
+    sums = table.groupBy("instrument").agg(F.count("*").alias("n"), *[x for t in wide.WINDOWS for x in (F.count(f"asof_{t}_utc").alias(f"n_{t}"), age(t).alias(f"age_{t}"))])
+    return sums.select("instrument", "n", F.inline(F.array(*[F.struct(F.lit(t).alias("timeframe"), F.col(f"n_{t}").alias("n_fresh"), F.col(f"age_{t}").alias("mean_age_seconds")) for t in wide.WINDOWS])))
+
+
+@query
+def feature_variants(spark, d):
+    """The five sets of the ablation: features, and rows that have them all."""
+    return benchmark.variant_support(wide.feature_table(clocks(spark, d)), wide.feature_sets())
 
 
 @query

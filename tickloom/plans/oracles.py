@@ -361,3 +361,18 @@ ORACLE_SQL["stream_silences"] = sql("tk", """SELECT instrument, t + INTERVAL 1 H
 FILES = "SELECT k, max(t) + INTERVAL 1 MINUTE AS cutoff FROM (SELECT t, (SELECT epoch(min(t)) FROM c1) AS low, (SELECT epoch(max(t)) FROM c1) AS high FROM c1), range(6) r(k) WHERE epoch(t)::BIGINT >= low::BIGINT + (high::BIGINT + 1 - low::BIGINT) * k // 6 AND epoch(t)::BIGINT < low::BIGINT + (high::BIGINT + 1 - low::BIGINT) * (k + 1) // 6 GROUP BY k"
 ORACLE_SQL["stream_online_features"] = sql(FEAT + " fl", f"""SELECT instrument, pt AS prediction_time_utc, fw AS feature_window_start_utc, {', '.join(r(*x) for x in FEATURES)} FROM
     (SELECT *, row_number() OVER (PARTITION BY instrument, k ORDER BY pt DESC) AS place FROM feat JOIN fl ON pt <= cutoff AND fw >= cutoff - INTERVAL 180 MINUTE) WHERE place = 1""", {"fl": FILES})
+
+WIDE_WINDOWS = {1: (2, 5, 10, 20), 3: (2, 5, 10, 20), 5: (2, 5, 10, 20), 15: (2, 4, 8, 16), 30: (2, 4, 8, 12), 60: (2, 4, 8), 180: (2, 3, 5)}
+WIDE_NAMES = {1: "1min", 3: "3min", 5: "5min", 15: "15min", 30: "30min", 60: "1h", 180: "3h"}
+WIDE_CTES = (
+    {"b1": "SELECT instrument, source, t, o, h, l, c FROM c1"} | {f"sb{k}": runs(k) for k in WIDE_WINDOWS} | {n: q for k, w in WIDE_WINDOWS.items() for n, q in block(k, w).items()}
+    | {f"w{k}": f"SELECT l.instrument, l.pt, CASE WHEN l.pt - x.av <= INTERVAL '{k} minutes' THEN epoch(l.pt - x.av) END AS age FROM feat l ASOF LEFT JOIN x{k} x ON l.instrument = x.instrument AND l.pt >= x.av" for k in WIDE_WINDOWS}
+)
+WIDE_LIST = "a c1 b1 b3 b5 b15 b30 b60 b180 " + " ".join(f"sb{k}" for k in WIDE_WINDOWS) + " f3 feat " + " ".join(f"x{k} w{k}" for k in WIDE_WINDOWS)
+ORACLE_SQL["feature_availability_by_timeframe"] = sql(WIDE_LIST, " UNION ALL ".join(f"SELECT instrument, '{n}' AS timeframe, count(*) AS n, count(age) AS n_fresh, {r('avg(age)', 'mean_age_seconds')} FROM w{k} GROUP BY instrument" for k, n in WIDE_NAMES.items()), WIDE_CTES)
+ORACLE_SQL["feature_variants"] = sql(
+    WIDE_LIST + " sf rg al",
+    " UNION ALL ".join(f"SELECT '{v}' AS variant, {n}::INT AS n_features, count(*) FILTER ({c}) AS n_whole FROM al" for v, n, c in (
+        ("mvp", 18, "true"), ("price_3min", 38, "a3"), ("price_session_3min", 46, "a3"), ("price_session_regime_3min", 55, "a3 AND re"), ("price_session_regime_multitimeframe", 171, "a3 AND re AND al"))),
+    WIDE_CTES | REGIME | {"al": "SELECT w3.age IS NOT NULL AS a3, lo IS NOT NULL AND hi IS NOT NULL AND ts IS NOT NULL AND ss IS NOT NULL AS re, " + " AND ".join(f"w{k}.age IS NOT NULL" for k in WIDE_WINDOWS) + " AS al FROM rg " + " ".join(f"JOIN w{k} ON rg.instrument = w{k}.instrument AND rg.pt = w{k}.pt" for k in WIDE_WINDOWS)},
+)
