@@ -15,7 +15,7 @@ def con(sf_dir):
 
 
 FITTED = {"model_logistic", "model_ridge"}  # no SQL for an optimizer
-NESTED = {"nested_selection", "promotion_report"}  # against plain loops in test_walkforward
+NESTED = {"nested_selection", "promotion_report", "model_boosted"}  # against plain loops in test_walkforward
 
 
 def test_every_query_has_a_twin():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.bars import class_probabilities, huber, normal_cdf, pinball
-from tickloom.operators import asof, backtest, labels, models, paths, resample, splits, validate
+from tickloom.operators import asof, backtest, labels, metrics, models, paths, resample, splits, validate
 from tickloom.operators.features import mvp_features
 from tickloom.schema import BARS
 from tickloom.session import in_utc
@@ -198,16 +198,48 @@ def test_stream_positions(spark, tmp_path):
 def test_models_score_probabilities(spark):
     rows = in_utc(spark).range(240).select(F.col("id").alias("sample_id"), ((F.col("id") % 3).cast("double") + (F.col("id") % 7) / 20).alias("x"), (F.col("id") % 5).cast("double").alias("z"), (F.col("id") % 3).cast("int").alias("target_class_id"), ((F.col("id") % 3) * 10.0 - 10).alias("arithmetic_return_bps"))
     ready = models.prepare(rows, rows, ["x", "z"])
-    scored = models.score_classes(models.fit_logistic(ready, ["x", "z"], 10.0), ready)
+    scored = models.score_classes(models.fit_logistic(ready, ["x", "z"], 10.0, allowed=["x", "z"]), ready)
     assert scored.filter("abs(p_down + p_neutral + p_up - 1) > 1e-9").count() == 0 and scored.filter("target_class_id = 2 AND p_up > p_down").count() == 80
-    ridge, sigma = models.fit_ridge(ready, ["x", "z"], 0.1)
+    ridge, sigma = models.fit_ridge(ready, ["x", "z"], 0.1, allowed=["x", "z"])
     assert models.score_ridge(ridge, sigma, ready).filter("target_class_id = 0 AND p_down < p_up").count() == 0
     with pytest.raises(ValueError, match="future"):
-        models.check_features(["x", "future_return_bps"])
+        models.fit_ridge(ready, ["x", "future_return_bps"], allowed=["x"])
     with pytest.raises(ValueError, match="share"):
         models.require_disjoint(rows, rows.limit(5))
-    base = {"macro_f1_mean": 0.4, "macro_f1_worst": 0.3, "brier_mean": 0.6, "n_trades_worst": 30, "net_bps_worst": 1.0, "stress_net_bps_mean": 1.0}
-    assert all(models.promotion_gate(base | {"macro_f1_mean": 0.5, "net_bps_worst": 2.0}, base).values())
+
+
+def test_digests_by_tree(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 990, "a").otherwise("b").alias("g"), F.format_string("k%05d", "id").alias("k"), F.xxhash64("id").cast("string").alias("v"))
+    digest = lambda r, fan=8: {x.g: (x.n, x.digest) for x in metrics.ordered_digest(r, "k", "v", ["g"], fan).collect()}
+    base = digest(rows)
+    assert base == digest(rows.orderBy(F.rand(1)).repartition(7)) and base["a"][0] == 990 and base["b"][0] == 10
+    swapped = rows.withColumn("k", F.when(F.col("k") == "k00500", "k00501").when(F.col("k") == "k00501", "k00500").otherwise(F.col("k")))
+    assert digest(swapped)["a"] != base["a"] and digest(swapped)["b"] == base["b"]
+    assert digest(rows.filter("g = 'b'"))["b"] == base["b"]  # whatever other groups hold
+    import hashlib
+
+    level = [v for _, v in sorted((r.k, r.v) for r in rows.filter("g = 'a'").collect())]
+    first = True
+    while first or len(level) > 1:
+        level = [hashlib.sha256("".join(x + "\n" for x in level[i : i + 8]).encode()).hexdigest() for i in range(0, len(level), 8)]
+        first = False
+    assert base["a"][1] == level[0]
+    odd = spark.createDataFrame([(None, "a", None), (None, "b", "x")], "g string, k string, v string")
+    assert digest(odd)[None] == (2, hashlib.sha256(b"\nx\n").hexdigest()) and not digest(odd.limit(0))
+
+
+def test_gaps_across_days(spark):
+    bars = make_bars(spark, [T0 + timedelta(minutes=m) for m in (0, 1, 1439, 1440, 4400, 4402)])
+    assert sorted((int((r.gap_start_utc - T0).total_seconds() // 60), r.missing_bars) for r in validate.gaps(bars, "1min").collect()) == [(2, 1437), (1441, 2959), (4401, 1)]
+
+
+def test_scaling_and_its_inverse(spark):
+    rows = spark.createDataFrame([(1.0, 5.0), (2.0, None), (4.0, 5.0), (None, 5.0)], "x double, y double")
+    stats = splits.impute_scale_stats(rows, ["x", "y"])
+    got = {r.feature: (r["median"], r["mean"], r["scale"]) for r in stats.collect()}
+    assert got["x"] == pytest.approx((2.0, 2.25, 1.0897247358851685)) and got["y"] == (5.0, 5.0, 1.0)
+    back = splits.unstandardized(splits.standardized(rows, stats, ["x", "y"]), stats, ["x", "y"])
+    assert [tuple(r) for r in back.collect()] == [pytest.approx(t) for t in ((1.0, 5.0), (2.0, 5.0), (4.0, 5.0), (2.0, 5.0))]
 
 
 def test_library_stands_without_the_corpus_subpackage():

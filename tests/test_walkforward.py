@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import backtest, bundles, walkforward
+from tickloom.operators import backtest, boosting, bundles, walkforward
 from tickloom.operators.splits import Block, Fold
 from tickloom.session import in_utc
 from tickloom.sources import inventory
@@ -273,3 +273,56 @@ def test_differences_count_both_sides(spark):
     b = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 3.5), ("w", 0.0)], "k string, v double")
     r = bundles.differences(a, b, ["k"], ["v"], 0.1).first()
     assert (r.n_rows, r.n_other_keys, r.n_only_saved, r.n_only_again, r.largest, r.n_far) == (4, 2, 2, 2, 0.5, 1)
+
+
+# boosted trees
+
+
+def plain_boosting(x, y, edges, rounds, depth, rate, penalty=1.0, least=1.0):
+    """Trees by recursion over row numbers; every split tried."""
+    margins, out = np.zeros((len(x), 3)), []
+
+    def grow(rows, g, h, level):
+        value = -rate * g[rows].sum() / (h[rows].sum() + penalty)
+        best = (1e-12, None)
+        if level < depth:
+            score = lambda r: g[r].sum() ** 2 / (h[r].sum() + penalty)
+            for i in range(x.shape[1]):
+                for e in sorted(set(edges[i])):
+                    a, b = rows[x[rows, i] <= e], rows[x[rows, i] > e]
+                    if min(h[a].sum(), h[b].sum()) >= least and (gain := score(a) + score(b) - score(rows)) > best[0] + 1e-9:
+                        best = (gain, (i, e, a, b))
+        if best[1] is None:
+            return lambda v: value
+        i, e, a, b = best[1]
+        low, high = grow(a, g, h, level + 1), grow(b, g, h, level + 1)
+        return lambda v: low(v) if v[i] <= e else high(v)
+
+    for _ in range(rounds):
+        p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+        trees = [grow(np.arange(len(x)), p[:, k] - (y == k), 2 * p[:, k] * (1 - p[:, k]), 0) for k in range(3)]
+        margins += np.array([[t(v) for t in trees] for v in x])
+        out.append(trees)
+    return margins, out
+
+
+def test_boosted_trees_match_plain_ones_and_stop_on_the_validation_block(rows, made):
+    x, y, r = made
+    blocks = walkforward.marked_blocks(rows, FOLDS[:1], NAMES, GAP, allowed=NAMES)
+    name = FOLDS[0].inner[0][0].name
+    train, test = taken(FOLDS[0].inner[0][0], True), taken(FOLDS[0].inner[0][1], False)
+    median = np.nanmedian(x[train], axis=0)
+    full = np.where(np.isnan(x), median, x)
+    model = boosting.fit_boosted(blocks, name, depth=2, most=3, rate=0.5, bins=8, patience=None)
+    edges = boosting.bin_edges(blocks, name, median, 8)
+    margins, trees = plain_boosting(full[train], y[train], edges, 3, 2, 0.5)
+    assert np.allclose(model.margins(full[train]), margins, atol=1e-9)
+    said = np.array([[sum(t[k](v) for t in trees) for k in range(3)] for v in full[test]])
+    p = np.exp(said) / np.exp(said).sum(axis=1, keepdims=True)
+    assert np.allclose(model.predict(x[test]), p, atol=1e-9) and len(model.losses) == 4 and len(model.rounds) == 3
+    assert model.losses[-1] == pytest.approx(-np.log(p[np.arange(len(p)), y[test]]).mean()) and model.losses[0] == pytest.approx(math.log(3))
+    stopped = boosting.fit_boosted(blocks, name, depth=2, most=30, rate=1.0, bins=8, patience=2)
+    best = int(np.argmin(stopped.losses))
+    assert len(stopped.rounds) == best and len(stopped.losses) == best + 3 and stopped.losses[best] < stopped.losses[0]
+    with pytest.raises(ValueError, match="lacks a class"):
+        boosting.fit_boosted(walkforward.marked_blocks(rows.filter("target_class_id < 2"), FOLDS[:1], NAMES, GAP, allowed=NAMES), name)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.bars import CLASSES, likeliest
+from tickloom.scratch import written
 
 EPS = 2.220446049250313e-16
 
@@ -108,10 +111,35 @@ def ensemble(predictions: DataFrame, key: str, probabilities: list[str], others:
     return mean.select(key, "n_members", *[(F.col(c) / total).alias(c) for c in probabilities], *others)
 
 
-def ordered_digest(rows: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """SHA-256 of the values in order, each followed by a line feed. The list is one group's: meant for folds or days."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(value).alias("value")))), lambda x: x["value"])
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat(F.array_join(ordered, "\n"), F.lit("\n")), 256).alias("digest"))
+def ordered_digest(rows: DataFrame, order: str, value: str, by: list[str], fan: int = 256) -> DataFrame:
+    """n and digest of the values of each group in order. A leaf is the SHA-256 of `fan` values, each followed by a line feed; `fan` digests
+    in a row, each followed by a line feed, give the digest above them, until one is left. Equal orders are equal, any swap or change is told.
+
+    Rows are put in order by range and numbered across partitions with a row a partition and group; no task holds more than a range
+    or `fan` digests, however large a group is. Rows that are equal in order should be equal in value. Null values count as empty.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = rows.select(*by, F.col(order).alias("_o"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_v"))
+    placed = written(narrow.repartitionByRange(parts, *by, "_o", "_v").sortWithinPartitions(*by, "_o", "_v").withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_p", F.shiftright("_at", 33))
+    starts = placed.groupBy(*by, "_p").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_p")]
+    joined = placed.alias("a").join(starts.alias("b"), reduce(and_, keys))
+    now = joined.select(*[F.col(f"a.{c}").alias(c) for c in by], (F.col("a._at") - F.col("b._first") + F.col("b._base")).alias("_k"), F.col("a._v").alias("_h"))
+    counts = starts.groupBy(*by).agg(F.sum("_n").cast("long").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    leaves = True
+    while leaves or most > 1:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"])  # at most `fan`
+        whole = F.sha2(F.concat(F.array_join("_l", "\n"), F.lit("\n")), 256)
+        alone = F.lit(not leaves) & (F.col("_up") == 0) & (F.size("_l") == 1)  # the group's digest already
+        now = now.groupBy(*by, F.expr(f"_k div {fan}").alias("_up")).agg(listed.alias("_l")).select(*by, F.col("_up").alias("_k"), F.when(alone, F.col("_l")[0]).otherwise(whole).alias("_h"))
+        most, leaves = -(-most // fan), False
+    one = now.groupBy(*by).agg(F.max_by("_h", "_k").alias("digest"))
+    return counts.alias("a").join(one.alias("b"), reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])).select(*[F.col(f"a.{c}").alias(c) for c in by], "n", "digest")
 
 
 def gaussian_log_loss_floor() -> float:

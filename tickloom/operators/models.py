@@ -12,25 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.bars import CLASSES, class_probabilities
+from tickloom.operators.contracts import require_allowed
+from tickloom.operators.features import FEATURES
 from tickloom.operators.splits import class_weights, impute_scale_stats, standardized
 
-FORBIDDEN = ("future_", "target_", "label_", "exit_", "arithmetic_")
-
-
-def check_features(names: list[str]) -> list[str]:
-    if bad := [n for n in names if n.startswith(FORBIDDEN)]:
-        raise ValueError(f"columns that tell the future: {', '.join(bad)}")
-    return names
-
-
 def require_disjoint(train: DataFrame, validation: DataFrame, key: str = "sample_id") -> None:
     if train.select(key).intersect(validation.select(key)).limit(1).count():
         raise ValueError("train and validation share samples")
 
 
-def fit_logistic(train: DataFrame, names: list[str], c: float = 0.1, balanced: bool = True, target: str = "target_class_id"):
+def fit_logistic(train: DataFrame, names: list[str], c: float = 0.1, balanced: bool = True, target: str = "target_class_id", allowed: list[str] = FEATURES):
     """Multinomial logistic regression; c as in C * sum of losses + half the squared weights."""
-    check_features(names)
+    require_allowed(names, allowed)
     rows = train.withColumn("label", F.col(target).cast("double"))
     n = rows.count()
     if balanced:
@@ -45,10 +38,10 @@ def score_classes(model, rows: DataFrame) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction", "label")
 
 
-def fit_ridge(train: DataFrame, names: list[str], alpha: float = 10.0, target: str = "arithmetic_return_bps"):
+def fit_ridge(train: DataFrame, names: list[str], alpha: float = 10.0, target: str = "arithmetic_return_bps", allowed: list[str] = FEATURES):
     """Ridge with the closed form's penalty: Spark scales the label, so its deviation enters. Returns the model and the
     residuals' deviation."""
-    check_features(names)
+    require_allowed(names, allowed)
     n, spread = train.agg(F.count("*"), F.stddev_pop(target)).first()
     lr = LinearRegression(labelCol=target, regParam=alpha * (spread or 1.0) / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal")
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), lr]).fit(train)
@@ -61,9 +54,9 @@ def score_ridge(model, sigma: float, rows: DataFrame, threshold_bps: float = 6.0
     return out.withColumns(class_probabilities(F.col("expected_return_bps"), sigma, threshold_bps))
 
 
-def fit_trees(train: DataFrame, names: list[str], depth: int = 3, rounds: int = 20, target: str = "target_class_id"):
-    """Boosted trees, one against the rest: Spark's are binary."""
-    check_features(names)
+def fit_trees(train: DataFrame, names: list[str], depth: int = 3, rounds: int = 20, target: str = "target_class_id", allowed: list[str] = FEATURES):
+    """Spark's boosted trees, binary, one against the rest; operators.boosting has three-class ones."""
+    require_allowed(names, allowed)
     rows = train.withColumn("label", F.col(target).cast("double"))
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), OneVsRest(classifier=GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=42))]).fit(rows)
 
@@ -71,11 +64,3 @@ def fit_trees(train: DataFrame, names: list[str], depth: int = 3, rounds: int =
 def prepare(train: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
     """rows imputed and scaled by the training rows' statistics alone."""
     return standardized(rows, impute_scale_stats(train, names), names)
-
-
-def promotion_gate(candidate: dict[str, float], reference: dict[str, float]) -> dict[str, bool]:
-    """Each test a candidate passes against the reference; it is promoted if all are true."""
-    return {
-        "mean_f1": candidate["macro_f1_mean"] > reference["macro_f1_mean"], "worst_f1": candidate["macro_f1_worst"] >= reference["macro_f1_worst"], "brier": candidate["brier_mean"] <= reference["brier_mean"],
-        "enough_trades": candidate["n_trades_worst"] >= 20, "worst_net": candidate["net_bps_worst"] > 0, "stress_net": candidate["stress_net_bps_mean"] > 0, "worst_net_reference": candidate["net_bps_worst"] >= reference["net_bps_worst"],
-    }

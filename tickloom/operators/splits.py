@@ -103,12 +103,19 @@ def require_before(rows: DataFrame, guard: datetime) -> DataFrame:
 
 def impute_scale_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     """(feature, median, mean, scale) of the given rows only: exact median of what is there, then mean and population
-    deviation of the imputed values; a scale of 0 counts as 1. Two passes, both with partial aggregation."""
-    medians = rows.agg(*[F.percentile(n, 0.5).alias(n) for n in names])
-    filled = rows.select(*names).join(F.broadcast(medians.select(*[F.col(n).alias(f"_m_{n}") for n in names])))
-    value = lambda n: F.coalesce(F.col(n), F.col(f"_m_{n}"))
-    wide = filled.agg(*[x for n in names for x in (F.first(f"_m_{n}").alias(f"{n}__median"), F.avg(value(n)).alias(f"{n}__mean"), F.stddev_pop(value(n)).alias(f"{n}__scale"))])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}__median").alias("median"), F.col(f"{n}__mean").alias("mean"), F.when(F.col(f"{n}__scale") == 0, 1.0).otherwise(F.col(f"{n}__scale")).alias("scale")) for n in names])))
+    deviation of the imputed values; a scale of 0 counts as 1. One pass: what imputing does to mean and deviation follows from the
+    number of missing values, the median, and the moments of what is there."""
+    sums = lambda n: [F.percentile(n, 0.5).alias(f"{n}__m"), F.count(n).alias(f"{n}__n"), F.avg(n).alias(f"{n}__a"), F.stddev_pop(n).alias(f"{n}__s")]
+    wide = rows.agg(F.count("*").alias("__all"), *[x for n in names for x in sums(n)])
+
+    def one(n: str) -> Column:
+        median, there, mean, spread = (F.col(f"{n}__{k}") for k in "mnas")
+        share = F.try_divide(there, F.col("__all"))
+        whole = share * mean + (1 - share) * median
+        scale = F.sqrt(share * (spread * spread + (mean - whole) * (mean - whole)) + (1 - share) * (median - whole) * (median - whole))
+        return F.struct(F.lit(n).alias("feature"), median.alias("median"), whole.alias("mean"), F.when(scale == 0, 1.0).otherwise(scale).alias("scale"))
+
+    return wide.select(F.inline(F.array(*[one(n) for n in names])))
 
 
 def standardized(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
@@ -117,6 +124,12 @@ def standardized(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFra
     return rows.withColumns({n: (F.coalesce(F.col(n), F.lit(known[n]["median"])) - F.lit(known[n]["mean"])) / F.lit(known[n]["scale"]) for n in names})
 
 
+def unstandardized(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
+    """Scaled values as they were: the inverse of standardized, but for values that were missing."""
+    known = {r.feature: r for r in stats.collect()}
+    return rows.withColumns({n: F.col(n) * F.lit(known[n]["scale"]) + F.lit(known[n]["mean"]) for n in names})
+
+
 def distribution(rows: DataFrame, names: list[str], by: str = "split") -> DataFrame:
     """Count, nulls, mean, population deviation and percentiles of each feature in each part."""
     long = rows.select(by, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])))

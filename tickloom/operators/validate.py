@@ -76,9 +76,16 @@ def drop_identical(bars: DataFrame) -> DataFrame:
 
 
 def gaps(bars: DataFrame, timeframe: str) -> DataFrame:
-    """Holes in each series: the first and the end of the missing bars, and their number; months count by the calendar."""
-    w = Window.partitionBy(*SERIES).orderBy("timestamp_open_utc")
-    steps = bars.select(*SERIES, F.lag("timestamp_close_utc").over(w).alias("gap_start_utc"), F.col("timestamp_open_utc").alias("gap_end_utc")).filter("gap_start_utc < gap_end_utc")
+    """Holes in each series: the first and the end of the missing bars, and their number; months count by the calendar. A bar's predecessor is
+    looked for within its day; the first of a day meets the last close of the days before, a row a day, so no task holds a series."""
+    day = F.to_date("timestamp_open_utc").alias("_day")
+    narrow = bars.select(*SERIES, day, "timestamp_open_utc", "timestamp_close_utc")
+    days = narrow.groupBy(*SERIES, "_day").agg(F.max_by("timestamp_close_utc", "timestamp_open_utc").alias("_end"))
+    before = Window.partitionBy(*SERIES).orderBy("_day")
+    carried = days.select(*SERIES, "_day", F.lag("_end").over(before).alias("_carried"))
+    within = Window.partitionBy(*SERIES, "_day").orderBy("timestamp_open_utc")
+    last = narrow.withColumn("_previous", F.lag("timestamp_close_utc").over(within)).join(carried, [*SERIES, "_day"])
+    steps = last.select(*SERIES, F.coalesce("_previous", "_carried").alias("gap_start_utc"), F.col("timestamp_open_utc").alias("gap_end_utc")).filter("gap_start_utc < gap_end_utc")
     if timeframe == "1mo":
         missing = F.round(F.months_between("gap_end_utc", "gap_start_utc")).cast("long")
     else:

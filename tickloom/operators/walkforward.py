@@ -145,28 +145,41 @@ def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def summed(blocks: Blocks, size: int, cells: int, add: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> dict[int, np.ndarray]:
-    """Sums over all training rows, `size` numbers a cell: add() puts a batch's share into the task's sums, and the tasks' sums, not more of them
-    than the cluster has places for, are added up a cell at a time."""
-    features = len(blocks.names)
+def summed_cells(rows: DataFrame, size: int, cells: int, part: Callable[[Iterator[pa.RecordBatch], list[np.ndarray]], None]) -> dict[int, np.ndarray]:
+    """Sums over rows, `size` numbers a cell: part() puts a task's share of the rows into its sums, and the tasks' sums, not more of them than twice
+    the cluster's places, are added up a cell at a time, in the order of partitions: on the same rows and places the same to the last bit."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(size) for _ in range(cells)]
-        for batch in batches:
-            add(totals, matrix(batch, features), numbers(batch, "target_class_id"), numbers(batch, "arithmetic_return_bps"), numbers(batch, "mask_train"))
+        part(batches, totals)
         place = np.full(cells, TaskContext.get().partitionId(), dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(range(cells), pa.int32()), pa.array(place), pa.array(totals, pa.list_(pa.float64()))], names=["cell", "part", "sums"])
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("part")["sums"].to_list()  # whatever order they came in, the same sum
+        ordered = frame.sort_values("part")["sums"].to_list()
         return pd.DataFrame({"cell": frame["cell"].iloc[:1], "sums": [np.sum(np.stack(ordered), axis=0)]})
 
-    spark = blocks.table.sparkSession
-    rows = blocks.table.filter("mask_train != 0").select("x", *TARGETS, "mask_train").coalesce(2 * spark.sparkContext.defaultParallelism)
-    found = rows.mapInArrow(part, "cell int, part int, sums array<double>").groupBy("cell").applyInPandas(whole, "cell int, sums array<double>")
+    places = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    found = rows.coalesce(places).mapInArrow(run, "cell int, part int, sums array<double>").groupBy("cell").applyInPandas(whole, "cell int, sums array<double>")
     return {r.cell: np.array(r.sums) for r in found.collect()}
 
 
+def summed(blocks: Blocks, size: int, cells: int, add: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> dict[int, np.ndarray]:
+    """summed_cells over all training rows: add() gets the sums so far and a batch's features, classes, returns and blocks."""
+    features = len(blocks.names)
+
+    def part(batches: Iterator[pa.RecordBatch], totals: list[np.ndarray]) -> None:
+        for batch in batches:
+            add(totals, matrix(batch, features), numbers(batch, "target_class_id"), numbers(batch, "arithmetic_return_bps"), numbers(batch, "mask_train"))
+
+    return summed_cells(blocks.table.filter("mask_train != 0").select("x", *TARGETS, "mask_train"), size, cells, part)
+
+
+def summed_rows(blocks: Blocks, size: int, part: Callable[[Iterator[pa.RecordBatch], np.ndarray], None]) -> np.ndarray:
+    """One vector of sums over all rows, training or test."""
+    return summed_cells(blocks.table.select("x", "target_class_id", "mask_train", "mask_test"), size, 1, lambda batches, totals: part(batches, totals[0]))[0]
+
+
 def fit_logistic_cells(blocks: Blocks, statistics: dict[str, dict], cells: list[Cell], tolerance: float = 1e-9, most: int = 60) -> list[Model]:
     """Multinomial logistic models of all cells, to their minimum. A step that doesn't lower its cell's loss is halved."""
     for c in cells:

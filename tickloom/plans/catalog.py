@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.bars import CLASSES, sessions
-from tickloom.operators import asof, backtest, benchmark, calendars, contracts, features, labels, metrics, paths, quality, resample, splits, validate, walkforward, wide
+from tickloom.operators import asof, backtest, benchmark, boosting, calendars, contracts, features, labels, metrics, paths, quality, resample, splits, validate, walkforward, wide
 from tickloom.operators.segments import with_segments
 from tickloom.schema import SERIES, later, seconds
 from tickloom.scratch import written
@@ -696,6 +696,17 @@ def nested_selection(spark, d):
     return _nested(spark, d).report
 
 
+@query
+def model_boosted(spark, d):
+    """Three-class trees stopped on an inner validation, refitted with that many rounds, judged on the outer test; no twin in SQL."""
+    rows = _spanned(labels.with_sample_ids(predictions(spark, d)), spark, d)
+    blocks = walkforward.marked_blocks(rows, _nested_folds()[-1:], features.FEATURES, 16)
+    (fold,) = blocks.folds
+    inner = boosting.fit_boosted(blocks, fold.inner[-1][0].name, depth=2, most=8, rate=0.3, patience=3)
+    model = boosting.fit_boosted(blocks, fold.train.name, depth=2, most=max(1, len(inner.rounds)), rate=0.3, patience=None)
+    return metrics.classification_metrics(boosting.score_boosted(blocks, fold.train.name, model), ["instrument"])
+
+
 @query
 def promotion_report(spark, d):
     """Thirteen metrics of the nested selection over its folds, and the tests for promotion; no twin in SQL."""

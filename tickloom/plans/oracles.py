@@ -275,7 +275,8 @@ ORACLE_SQL["path_quantile_eval"] = sql("a c1 b3 sb3 pa", f"""SELECT CAST(step AS
 for _n, _w in (("universe_semi", "= 0"), ("universe_anti", "<> 0")):
     ORACLE_SQL[_n] = sql(PRED, f"SELECT {SID} AS sample_id, CAST(CASE cls WHEN 'down' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS INT) AS target_class_id FROM pred WHERE minute(pt) % 2 {_w}")
 ORACLE_SQL["ids_symmetric_difference"] = sql(PRED, "SELECT 'b' AS only_in, count(*) AS n FROM pred WHERE minute(pt) % 2 = 0 AND minute(pt) % 4 <> 0 HAVING count(*) > 0")
-ORACLE_SQL["ordered_digest"] = sql(PRED, f"SELECT instrument, CAST(pt AS DATE) AS day, count(*) AS n, sha256(string_agg({SID}, chr(10) ORDER BY pt) || chr(10)) AS digest FROM pred GROUP BY ALL")
+ORACLE_SQL["ordered_digest"] = sql(PRED, f"""SELECT instrument, day, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY leaf) || chr(10)) END AS digest FROM
+    (SELECT instrument, day, k // 256 AS leaf, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY k) || chr(10)) AS h FROM (SELECT instrument, CAST(pt AS DATE) AS day, {SID} AS id, row_number() OVER (PARTITION BY instrument, CAST(pt AS DATE) ORDER BY pt) - 1 AS k FROM pred) GROUP BY ALL) GROUP BY instrument, day""")
 ORACLE_SQL["topk_latest_row"] = sql(PRED, f"SELECT instrument, pt AS prediction_time_utc, {r('m5', 'momentum_5_bps')}, cls AS target_class FROM pred ORDER BY pt DESC, instrument LIMIT 3")
 ORACLE_SQL["candidate_ranking"] = sql(PRED, f"SELECT instrument, day, CAST(place AS INT) AS place, {r('f', 'macro_f1')} FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY round(f, 6) DESC, round(ll, 6), day) AS place FROM (SELECT instrument, CAST(pt AS DATE) AS day, {F1} AS f, {LL} AS ll FROM pred GROUP BY ALL)) WHERE place <= 2")
 
