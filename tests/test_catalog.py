@@ -35,3 +35,13 @@ def test_query(spark, con, sf_dir, name):
     assert columns == sorted(want.columns)
     a, b = (sorted(map(tuple, df[columns].astype(str).to_numpy().tolist())) for df in (got, want))
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["nonoverlap_trades", "daily_quality_classes", "regime_features", "feature_variants", "ordered_digest", "label_all_horizons"])
+def test_query_with_generated_code(spark, con, sf_dir, name):
+    """The same as production compiles it."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        test_query(spark, con, sf_dir, name)
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")

@@ -242,6 +242,20 @@ def test_scaling_and_its_inverse(spark):
     assert [tuple(r) for r in back.collect()] == [pytest.approx(t) for t in ((1.0, 5.0), (2.0, 5.0), (4.0, 5.0), (2.0, 5.0))]
 
 
+def test_entry_works_with_the_corpus_folders_deleted(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    here = pathlib.Path(__file__).parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=lambda d, names: [n for n in names if n in (".git", "__pycache__", "corpus_pipeline.py") or n == "llm"])
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') for k in e.queries()), 'pipeline' in e.queries())"], cwd=copy, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    n, m, *corpus = said.stdout.split()
+    assert int(n) > 100 and int(m) > 100 and corpus == ["False", "False"], said.stderr
+
+
 def test_library_stands_without_the_corpus_subpackage():
     import pathlib
 

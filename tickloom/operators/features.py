@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.bars import BPS, clock, price, sessions, shapes
@@ -94,16 +94,29 @@ def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags:
     return out.na.drop(subset=[*names, "_start"]).select(*SERIES, F.col("timestamp_close_utc").alias("available_at_utc"), *extra, *names)
 
 
+def at_share(values: Column, q: float, size: int) -> Column:
+    """The value at share q of a sorted array of `size` numbers, between two neighbours in proportion."""
+    low = int(q * (size - 1))
+    return values[low] + (q * (size - 1) - low) * (values[min(low + 1, size - 1)] - values[low])
+
+
 def regimes(features: DataFrame, lookback: int = 80, shock_rows: int = 20, cadence_seconds: int = 180) -> DataFrame:
     """Volatility terciles over the `lookback` rows before, trend score and buckets, and shocks against the median absolute
-    return of the rows before. Null until a frame is full. Runs are those of feature rows, by prediction time."""
-    w = within_segment("prediction_time_utc")
-    base = with_segments(features.drop("seg"), cadence_seconds, "prediction_time_utc")
-    vol, ret = F.col("realized_volatility_20_bps"), F.col("close_log_return_1_bps")
+    return of the rows before. Null until a frame is full. Runs are those of feature rows, by prediction time.
+
+    A run has no gap, so the rows that a day's frames reach back to are those of a fixed time before midnight: runs are cut into days, and
+    such rows also enter the next day. A frame's values are sorted once for all its shares.
+    """
+    vol, ret, t = F.col("realized_volatility_20_bps"), F.col("close_log_return_1_bps"), F.col("prediction_time_utc")
+    day = lambda c: F.floor(F.unix_seconds(c) / 86_400)
+    until = F.floor((F.unix_seconds(t) + max(lookback, shock_rows) * cadence_seconds) / 86_400)
+    narrow = with_segments(features.select(*SERIES, "prediction_time_utc", "momentum_20_bps", vol, ret), cadence_seconds, "prediction_time_utc")
+    cut = narrow.withColumn("_day", F.explode(F.sequence(day(t), until)))
+    w = Window.partitionBy(*SERIES, "seg", "_day").orderBy("prediction_time_utc")
     f, g = previous(lookback, w), previous(shock_rows, w)
-    third = lambda q: full(F.percentile(vol, q).over(f), F.count(vol).over(f), lookback)
-    scale = full(F.percentile(F.abs(ret), 0.5).over(g), F.count(ret).over(g), shock_rows)
-    base = base.withColumns({"_low": third(1 / 3), "_high": third(2 / 3), "_scale": scale})
+    base = cut.withColumns({"_vols": F.collect_list(vol).over(f), "_rets": F.collect_list(F.abs(ret)).over(g)}).filter(F.col("_day") == day(t))
+    base = base.withColumns({"_vols": F.when(F.size("_vols") == lookback, F.array_sort("_vols")), "_rets": F.when(F.size("_rets") == shock_rows, F.array_sort("_rets"))})
+    base = base.withColumns({"_low": at_share(F.col("_vols"), 1 / 3, lookback), "_high": at_share(F.col("_vols"), 2 / 3, lookback), "_scale": at_share(F.col("_rets"), 0.5, shock_rows)})
     trend, shock = F.col("momentum_20_bps") / F.when(vol != 0, vol), F.abs(ret) / F.when(F.col("_scale") != 0, F.col("_scale"))
     ready = F.col("_low").isNotNull() & F.col("_high").isNotNull()
     flag = lambda cond, when: F.when(when, cond.cast("double"))
