@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_core import make_bars
 from tickloom.operators import backtest, boosting, bundles, walkforward
 from tickloom.operators.splits import Block, Fold
 from tickloom.session import in_utc
@@ -257,6 +258,24 @@ def test_files_are_told_apart_by_content_and_paths_kept_inside(spark, tmp_path):
     assert got == {"a": "same", "d/b": "changed", "d/c": "changed", "d/new": "added", "gone": "missing", "../a": "escapes", "/etc/x": "escapes", "d/../a": "escapes", "file:x": "escapes", "gone2": "repeated", "": "escapes"}
 
 
+def test_layers_are_read_only_as_they_were_published(spark, tmp_path):
+    bars = make_bars(spark, [datetime(2023, 12, 31, 23, 58) + timedelta(minutes=m) for m in range(6)])
+    path = f"file://{tmp_path}/layer"
+    said = inventory.publish_layer(bars, path, "curated", {"raw": "sha256:1"}, {"timeframe": "1min"})
+    read = lambda **more: inventory.read_layer(spark, path, **more)
+    assert said["body"]["years"] == [2023, 2024] and read(layer="curated", inputs={"raw": "sha256:1"}, years=[2023, 2024], first="2023-01-01", before="2025-01-01").drop("utc_year").exceptAll(bars).count() == 0
+    for wrong, match in (({"layer": "raw"}, "layer curated"), ({"inputs": {"raw": "sha256:2"}}, "inputs"), ({"years": [2024]}, "years"), ({"first": "2024-01-01"}, "2 before"), ({"before": "2024-01-01"}, "4 from")):
+        with pytest.raises(InventoryError, match=match):
+            read(**wrong)
+    stray = next((tmp_path / "layer/content/utc_year=2023").glob("part-*"))
+    moved = tmp_path / "layer/content/utc_year=2024" / stray.name
+    stray.rename(moved)
+    with pytest.raises(InventoryError, match="missing: utc_year=2023.*added: utc_year=2024|added: utc_year=2024.*missing"):
+        read()
+    with pytest.raises(InventoryError, match="missing: x"):
+        inventory.require_provenance(spark, f"{tmp_path}/layer/content", inventory.files(spark, f"{tmp_path}/layer/content").unionByName(spark.createDataFrame([("x", 1, "y")], "path string, length long, sha256 string")))
+
+
 def test_a_recorded_run_is_reproduced(spark, nested, rows, tmp_path):
     path = f"file://{tmp_path}/run"
     bundles.record_run(spark, path, rows, nested, FOLDS, NAMES, GAP)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.sources.tables import canonical, content_version, read_text, table_digest, write_text
+from tickloom.sources.tables import canonical, content_version, manifest, read_text, table_digest, write_bars, write_text
 
 CONTENT, LIST, MANIFEST = "content", "files", "manifest.json"
 
@@ -65,7 +65,39 @@ def unsealed(spark: SparkSession, path: str) -> dict[str, Any]:
     listed = spark.read.parquet(f"{path}/{LIST}")
     if table_digest(listed) != said["files"]:
         raise InventoryError(f"{path}: the list of files was changed")
-    off = compared(listed, files(spark, f"{path}/{CONTENT}")).filter("status <> 'same'").orderBy("path").limit(21).collect()
-    if off:
-        raise InventoryError(f"{path}: " + "; ".join(f"{r.status}: {r.path}" for r in off[:20]) + (" and more" if len(off) > 20 else ""))
+    require_provenance(spark, f"{path}/{CONTENT}", listed)
     return said
+
+
+def publish_layer(df: DataFrame, path: str, layer: str, inputs: dict[str, str], params: dict[str, Any], time: str = "timestamp_open_utc") -> dict[str, Any]:
+    """A layer of bars as files by UTC year under path/content, sealed: what it was made of, its rows, its span, its years."""
+    spark = df.sparkSession
+    write_bars(df, f"{path}/{CONTENT}", time)
+    table = spark.read.parquet(f"{path}/{CONTENT}")
+    years = [r.utc_year for r in table.select("utc_year").distinct().orderBy("utc_year").collect()]  # a few
+    return seal(spark, path, manifest(table, layer, inputs, params, time) | {"years": years, "time": time})
+
+
+def read_layer(spark: SparkSession, path: str, layer: str | None = None, inputs: dict[str, str] | None = None, years: list[int] | None = None, first: str | None = None, before: str | None = None) -> DataFrame:
+    """A published layer, once every file is as listed and the manifest says what the caller counts on: the layer's name, the versions it was made
+    of, exactly these years, no bar before `first` or from `before` on. What the manifest says of rows and span is held against the table, in
+    one pass. Anything else is an InventoryError, and nothing is read as data before the files are checked."""
+    body = unsealed(spark, path)["body"]
+    for what, said, wanted in (("layer", body["layer"], layer), ("inputs", body["inputs"], inputs), ("years", body["years"], years)):
+        if wanted is not None and said != wanted:
+            raise InventoryError(f"{path}: {what} {said}, not {wanted}")
+    table = spark.read.parquet(f"{path}/{CONTENT}")
+    time = F.col(body["time"])
+    now = table.agg(F.count("*").alias("rows"), F.min(time).alias("a"), F.max(time).alias("b"), F.count_if(F.year(time) != F.col("utc_year")).alias("strays"), F.count_if(time < F.lit(first).cast("timestamp")).alias("early"), F.count_if(time >= F.lit(before).cast("timestamp")).alias("late")).first()
+    if (now.rows, str(now.a), str(now.b)) != (body["rows"], body["first"], body["last"]):
+        raise InventoryError(f"{path}: {now.rows} rows from {now.a} to {now.b}, not as the manifest says")
+    if now.strays or now.early or now.late:
+        raise InventoryError(f"{path}: {now.strays} bars in another year's files, {now.early} before {first}, {now.late} from {before} on")
+    return table
+
+
+def require_provenance(spark: SparkSession, root: str, provenance: DataFrame) -> None:
+    """Raise unless the files below root are exactly those of the provenance (path, length, sha256): for archives, before any is opened."""
+    off = compared(provenance.select("path", "length", "sha256"), files(spark, root)).filter("status <> 'same'").orderBy("path").limit(21).collect()
+    if off:
+        raise InventoryError(f"{root}: " + "; ".join(f"{r.status}: {r.path}" for r in off[:20]) + (" and more" if len(off) > 20 else ""))
