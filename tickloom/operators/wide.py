@@ -30,7 +30,8 @@ def feature_table(minutes: DataFrame, windows: dict[str, tuple[int, ...]] = WIND
     Minute bars and anchors are written once and read for every timeframe; all timeframes meet in one exchange.
     """
     bars = written(minutes.select(*REQUIRED))
-    of = lambda t: bars if t == "1min" else resample.resample(bars, t)
+    made = {t: bars if t == "1min" else written(resample.resample(bars, t)) for t in {*windows, ANCHOR}}  # each is read twice: runs, and days of runs
+    of = made.__getitem__
     anchors = written(features.mvp_features(of(ANCHOR)).drop("seg"))
     blocks = {t: (features.price_block(of(t), t, w, start=f"_start_{t}"), [f"_start_{t}", *features.price_names(t, w)], int(seconds(t) * staleness)) for t, w in windows.items()}
     joined = asof.asof_many(anchors, blocks)

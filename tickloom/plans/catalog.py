@@ -41,19 +41,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def clocks(spark: SparkSession, d: str) -> DataFrame:
-    return both_clocks(events(spark, d))
+    """The minute bars as a table: a join of the events with themselves, written once for all that reads them."""
+    return written(both_clocks(events(spark, d)))
 
 
 def bars3(spark: SparkSession, d: str) -> DataFrame:
     return resample.resample(clocks(spark, d), "3min")
 
 
+def feats3(bars: DataFrame) -> DataFrame:
+    """The MVP features of minute bars; their three-minute bars are read twice (runs, and days of runs)."""
+    return features.mvp_features(written(resample.resample(bars, "3min")))
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """The labelled model table: features of 3-minute bars joined with 15-minute labels, and probabilities by a fixed rule."""
     bars = clocks(spark, d)
-    feats = features.mvp_features(resample.resample(bars, "3min"))
-    lab = labels.build_labels(bars, feats)
-    return scored(feats.join(lab, [*SERIES, "prediction_time_utc"]))
+    three = written(resample.resample(bars, "3min"))
+    lab = labels.build_labels(bars, three.select(*SERIES, F.col("timestamp_close_utc").alias("prediction_time_utc")))
+    return scored(features.mvp_features(three).join(lab, [*SERIES, "prediction_time_utc"]))
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def bar_columns(df: DataFrame) -> DataFrame:
 
 @query
 def candles_1min(spark, d):
-    return bar_columns(clocks(spark, d))
+    return bar_columns(both_clocks(events(spark, d)))
 
 
 @query
@@ -177,7 +183,7 @@ def segments(spark, d):
 
 @query
 def features_mvp(spark, d):
-    return features.mvp_features(bars3(spark, d)).select("instrument", "prediction_time_utc", "feature_window_start_utc", *features.FEATURES)
+    return feats3(clocks(spark, d)).select("instrument", "prediction_time_utc", "feature_window_start_utc", *features.FEATURES)
 
 
 @query
@@ -187,7 +193,7 @@ def price_block_15min(spark, d):
 
 @query
 def regime_features(spark, d):
-    return features.regimes(features.mvp_features(bars3(spark, d))).drop("source")
+    return features.regimes(written(feats3(clocks(spark, d)))).drop("source")
 
 
 @query
@@ -217,8 +223,8 @@ def asof_tolerance(spark, d):
 @query
 def features_wide(spark, d):
     """The MVP features with two as-of timeframes and the regime block, by instrument and day: counts and means."""
-    bars = written(clocks(spark, d))
-    feats = written(features.mvp_features(resample.resample(bars, "3min")))
+    bars = clocks(spark, d)
+    feats = written(feats3(bars))
     blocks = {t: (features.price_block(resample.resample(bars, t), t, w), features.price_names(t, w), seconds(t)) for t, w in (("5min", (2, 5)), ("15min", (2, 4)))}
     whole = asof.asof_many(feats.drop("seg"), blocks).join(features.regimes(feats), [*SERIES, "prediction_time_utc"])
     named = ["momentum_20_bps", "p7_5min_price_zscore_5", "p7_15min_breakout_position_4", "regime_trend_score"]
@@ -866,7 +872,7 @@ def head_and_tail(spark, d):
 
 @query
 def feature_availability(spark, d):
-    return benchmark.availability(features.regimes(features.mvp_features(bars3(spark, d))), ["regime_trend_score", "regime_shock_score"])
+    return benchmark.availability(features.regimes(written(feats3(clocks(spark, d)))), ["regime_trend_score", "regime_shock_score"])
 
 
 @query
