@@ -108,14 +108,13 @@ def impute_scale_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     sums = lambda n: [F.percentile(n, 0.5).alias(f"{n}__m"), F.count(n).alias(f"{n}__n"), F.avg(n).alias(f"{n}__a"), F.stddev_pop(n).alias(f"{n}__s")]
     wide = rows.agg(F.count("*").alias("__all"), *[x for n in names for x in sums(n)])
 
-    def one(n: str) -> Column:
-        median, there, mean, spread = (F.col(f"{n}__{k}") for k in "mnas")
-        share = F.try_divide(there, F.col("__all"))
-        whole = share * mean + (1 - share) * median
-        scale = F.sqrt(share * (spread * spread + (mean - whole) * (mean - whole)) + (1 - share) * (median - whole) * (median - whole))
-        return F.struct(F.lit(n).alias("feature"), median.alias("median"), whole.alias("mean"), F.when(scale == 0, 1.0).otherwise(scale).alias("scale"))
-
-    return wide.select(F.inline(F.array(*[one(n) for n in names])))
+    col = lambda n, k: F.col(f"{n}__{k}")
+    share = {n: F.try_divide(col(n, "n"), F.col("__all")) for n in names}
+    means = wide.withColumns({f"{n}__w": share[n] * col(n, "a") + (1 - share[n]) * col(n, "m") for n in names})
+    square = lambda x: x * x
+    scales = means.withColumns({f"{n}__d": F.sqrt(share[n] * (square(col(n, "s")) + square(col(n, "a") - col(n, "w"))) + (1 - share[n]) * square(col(n, "m") - col(n, "w"))) for n in names})
+    one = lambda n: F.struct(F.lit(n).alias("feature"), col(n, "m").alias("median"), col(n, "w").alias("mean"), F.when(col(n, "d") == 0, 1.0).otherwise(col(n, "d")).alias("scale"))
+    return scales.select(F.inline(F.array(*[one(n) for n in names])))
 
 
 def standardized(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:

@@ -653,7 +653,7 @@ def _model_sides(spark, d):
     """Rows before and from the middle of the series, with features scaled by the first alone."""
     from tickloom.operators import models
 
-    rows = predictions(spark, d).drop("p_down", "p_neutral", "p_up", "expected_return_bps")
+    rows = written(predictions(spark, d).drop("p_down", "p_neutral", "p_up", "expected_return_bps"))
     middle = rows.agg(F.percentile(F.unix_seconds("prediction_time_utc"), 0.5)).first()[0]
     early = F.unix_seconds("prediction_time_utc") < int(middle)
     train = rows.filter(early & (F.unix_seconds("label_end_time_utc") < int(middle)))
