@@ -560,7 +560,7 @@ def daily_quality_classes(spark, d):
 def quality_gaps(spark, d):
     """The gaps of 15-minute bars, by a calendar and known gaps, to the end of the series."""
     audit = quality.Audit("15min", "2034-01-01", calendar=_calendar(spark), known=_known(spark))
-    return quality.gap_report(resample.resample(clocks(spark, d), "15min"), audit).drop("source")
+    return quality.gap_report(resample.resample(clocks(spark, d), "15min"), audit).drop("source", "day")
 
 
 @query

@@ -258,7 +258,7 @@ AUDIT = ("sp", "dd", "ob", "gr", "st", "sl", "ab", "gp", "dq")
 audit_names = lambda k: " ".join(f"{n}{k}" for n in AUDIT)
 ORACLE_SQL["daily_quality"] = sql(f"a c1 rp {audit_names(1)}", "SELECT * FROM dq1", REPEATED | audited("rp", 1))
 ORACLE_SQL["daily_quality_classes"] = sql(f"a c1 {audit_names(1)}", "SELECT * FROM dq1", audited("c1", 1, first="DATE '2023-12-30'", calendar=True))
-ORACLE_SQL["quality_gaps"] = sql(f"a c1 b15 {audit_names(15)}", "SELECT instrument, CAST(d AS DATE) AS day, st AS market_status, cl AS classification, known AS known_reason, CAST(want AS INT) AS counts_as_missing, CAST(late AS INT) AS is_stale, s0 AS gap_start_utc, s1 AS gap_end_utc, n AS n_slots FROM gp15", audited("b15", 15, "TIMESTAMP '2034-01-01'", calendar=True))
+ORACLE_SQL["quality_gaps"] = sql(f"a c1 b15 {audit_names(15)}", "SELECT instrument, st AS market_status, cl AS classification, known AS known_reason, CAST(want AS INT) AS counts_as_missing, CAST(late AS INT) AS is_stale, s0 AS gap_start_utc, s1 AS gap_end_utc, n AS n_slots FROM gp15", audited("b15", 15, "TIMESTAMP '2034-01-01'", calendar=True))
 RET = {"rb": "SELECT *, 1e4 * (ln(c) - ln(lag(c) OVER (PARTITION BY instrument, g ORDER BY t))) AS r FROM sb3"}
 ORACLE_SQL["sequence_last20"] = sql("a c1 b3 sb3 rb", """SELECT instrument, t + INTERVAL 3 MINUTE AS available_at_utc, round(lag(r, 19) OVER w, 4) + 0.0 AS oldest_return, round(r, 4) + 0.0 AS newest_return, round(sum(1e4 * (h - l) / o) OVER v, 4) + 0.0 AS sum_range FROM rb
     WINDOW w AS (PARTITION BY instrument, g ORDER BY t), v AS (PARTITION BY instrument, g ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) QUALIFY count(r) OVER v = 20""", RET)
