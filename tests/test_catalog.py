@@ -14,6 +14,31 @@ def con(sf_dir):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_bases(spark):
+    """Minute bars and the model table are made once for all queries of the module; the first query that asks tests how."""
+    from tickloom.plans import catalog, streams
+    from tickloom.scratch import written
+    from tickloom.session import in_utc
+
+    made = {}
+
+    def once(name, plain):
+        def run(spark, d):
+            if (name, d) not in made:
+                made[name, d] = written(plain(in_utc(spark), d))
+            return made[name, d]
+
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("clocks", "predictions"):
+            kept = once(name, getattr(catalog, name))
+            for module in (catalog, streams):
+                patch.setattr(module, name, kept)
+        yield
+
+
 FITTED = {"model_logistic", "model_ridge"}  # no SQL for an optimizer
 NESTED = {"nested_selection", "promotion_report", "model_boosted"}  # against plain loops in test_walkforward
 
