@@ -211,6 +211,18 @@ def test_recall_over_shards_and_clusters(spark):
     assert hits >= 0.9 * 300 * 20
 
 
+def test_search_is_exact_on_other_rows(spark):
+    """Lengths spread over decades, few components, unit lengths: of each the nearest rows, all of them, by default."""
+    rng = np.random.default_rng(4)
+    normal = rng.normal(size=(2000, 16))
+    for x in (normal * rng.lognormal(0, 1, (2000, 1)), normal, np.float32(normal / np.linalg.norm(normal, axis=1)[:, None]).astype(float)):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in nearest_vectors(frame, "vec_id % 100 = 0").collect()}
+        assert got == brute.nearest(rows, 100, 20)
+    assert {r.vec_id for r in nearest_vectors(spark.createDataFrame([(i, [1e300]) for i in range(300)], "vec_id long, embedding array<double>"), "vec_id = 200", leaf=16).collect()} == set(range(20))
+
+
 def test_sharding(spark, sf_dir, odd):
     docs = texts(spark, sf_dir)
     got = Q.op4_minimax_shards(spark, sf_dir).collect()

@@ -1,8 +1,8 @@
-"""Approximate nearest neighbours by inner product: a vantage-point tree per shard.
+"""Nearest neighbours by inner product: a vantage-point tree per shard.
 
 Vectors are lifted by one coordinate to equal length, so that the largest inner product is the smallest distance and the
 triangle inequality holds. A branch is pruned if its distance bound, times a factor, exceeds the query's k-th distance;
-factor 1 is exact search, a larger one prunes more.
+factor 1 is exact search, a larger one prunes more and may miss rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialize, numbered
 from tickloom.llm.vectors import Best, finite, power_above, search
 
-SLACK = 1e-9
+SLACK = 1e-12  # of squared distances: a lifted coordinate or a distance near 0 is known to the root of it only
+BIGGEST = np.finfo(np.float64).max  # infinite scores are ties, so all of them are looked at
 PLAIN = 500  # products of two numbers below 2**500 in size neither overflow nor vanish
 
 
@@ -63,8 +64,8 @@ class Tree:
         error = 1e-12 * np.sqrt(norm * self.top) * max(1, q.shape[1]) + 1e-300
 
         def walk(node: tuple, active: np.ndarray, bound: np.ndarray) -> None:
-            reach = np.sqrt(np.maximum(0.0, norm[active] + self.top - 2 * near[active]))  # inf while fewer than k are known
-            live = bound * factor <= reach * (1 + SLACK) + SLACK
+            whole = norm[active] + self.top
+            live = (bound * factor) ** 2 <= np.maximum(0.0, whole - 2 * near[active]) + SLACK * q.shape[1] * whole  # inf while fewer than k are known
             active, bound = active[live], bound[live]
             if not len(active):
                 return
@@ -76,7 +77,7 @@ class Tree:
                     chosen, a = members[hit[i]], active[i]
                     best.add(a, products(self.x[chosen], q[a]), self.ids[chosen], self.rows[chosen], own[a])
                     if best.least[a] is not None:
-                        near[a] = np.ldexp(np.ldexp(best.least[a], -self.power), -int(power[a]))
+                        near[a] = np.ldexp(np.ldexp(min(best.least[a], BIGGEST), -self.power), -int(power[a]))
                 return
             vantage, inner, outer, first, second = node
             d = np.linalg.norm(lifted[active] - vantage, axis=1)
@@ -92,8 +93,9 @@ class Tree:
         return best.rows()
 
 
-def nearest_vectors(rows: DataFrame, query_where: str = "vec_id % 20 = 0", k: int = 20, factor: float = 1.25, shard_rows: int = 8192, leaf: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that query_where picks the k other rows of largest inner product found.
+def nearest_vectors(rows: DataFrame, query_where: str = "vec_id % 20 = 0", k: int = 20, factor: float = 1.0, shard_rows: int = 8192, leaf: int = 128) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that query_where picks the k other rows of largest inner product; with
+    factor over 1, of those found.
 
     rows: vec_id, embedding; other columns aren't used. Every row is indexed, in the tree of one shard. Scores are inner
     products of the original vectors in double precision, summed in order of the components; ties go to the smaller
