@@ -103,6 +103,25 @@ def test_simhash_dense_and_edges(spark, odd):
     assert sorted(ids, key=str) == [1, 4, 5, 8, 9] or sorted(ids, key=str) == [1, 4, 5, 6, 8, 9, None]
 
 
+def test_near_dedup_verifies_links_of_the_trie(spark, monkeypatch):
+    """The pipeline's near duplicates come through op5's trie; its links are candidates, and what it misses is found all the same."""
+    import corpus_pipeline as P
+    from tests.llm.test_advice_r01 import similar_keepers
+    from tickloom.llm import shingles
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(rng.choice(words, 200)) for _ in range(20)]
+    rows = [(3 * i + k, t + " " + tail) for i, t in enumerate(base) for k, tail in enumerate(("", "one more", " ".join(rng.choice(words, 30 + 10 * (i % 5)))))] + [(90, None), (91, ""), (92, base[0] + " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    seen, tried = [], []
+    monkeypatch.setattr(P, "near_duplicates", lambda docs, **more: seen.append(more) or near_duplicates(docs, **more))
+    pairs = shingles.grouped_points
+    monkeypatch.setattr(shingles, "grouped_points", lambda *tables: tried.append(pairs(*tables)) or tried[-1])
+    assert {r.doc_id for r in P.near_dedup(spark, frame, "").collect()} == similar_keepers(rows)
+    assert seen == [{"words": 3, "budget": 2}] and tried[0].count() > 0
+
+
 def test_word_hashes_are_xxh64(spark):
     import xxhash
     from tickloom.llm.common import bytes_and_offsets, word_hashes, word_spans
