@@ -10,7 +10,7 @@ from tests.test_core import T0, make_bars, run_of
 from tickloom.operators import asof, features, resample
 from tickloom.session import in_utc
 from tickloom.streaming import bars as stream
-from tickloom.streaming.replay import online_rows, outcome, streamed
+from tickloom.streaming.replay import online_rows, outcome, replay_files, streamed
 from tickloom.streaming.state import latest_fresh, rocks, silences
 
 
@@ -86,3 +86,17 @@ def test_every_online_row_of_a_replay_is_the_batch_row(spark, parts):
 def test_no_bars_no_rows(spark):
     none = some_bars(spark, minutes((0, 3))).limit(0)
     assert outcome(spark, silences(streamed(none, "timestamp_open_utc", 3), 20)).count() == 0
+
+
+def test_spans_of_a_replay_are_several_files_but_one_batch(spark):
+    """No task writes or reads a whole span, and batches still end where spans do, one with few times or no rows too."""
+    rows = some_bars(spark, minutes((0, 400)) + minutes((0, 400), instrument="J") + minutes((401, 403), (1199, 1200)))
+    path, files = replay_files(rows, "timestamp_open_utc", 4, file_rows=50)
+    written = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert files == 5 and len(written) > 8 and max(r["count"] for r in written) < 300 and spark.read.parquet(path).exceptAll(rows).count() == 0 and spark.read.parquet(path).count() == rows.count()
+    seen = {}
+    stream_of = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream_of.writeStream.trigger(availableNow=True).foreachBatch(lambda b, k: seen.update({k: (b.count(), b.agg(F.max("timestamp_open_utc")).first()[0])})).start().awaitTermination()
+    assert [seen[k] for k in sorted(seen)] == [(600, T0 + timedelta(minutes=299)), (202, T0 + timedelta(minutes=402)), (0, None), (1, T0 + timedelta(minutes=1199))]
+    sessions = lambda n: {tuple(r) for r in outcome(spark, stream.sessions(streamed(rows, "timestamp_open_utc", 4, file_rows=n))).collect()}
+    assert sessions(50) == sessions(10_000) and len(sessions(50)) == 3

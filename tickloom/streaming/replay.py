@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.schema import SERIES, later
 from tickloom.scratch import new_path
@@ -13,21 +14,44 @@ from tickloom.streaming.bars import run_available
 from tickloom.streaming.state import rocks
 
 
-def replay_files(rows: DataFrame, time: str, parts: int) -> str:
-    """rows as `parts` files in the order of time, one written after the other, as a feed would leave them: equal spans of the whole. The path."""
-    path, spark = new_path(rows.sparkSession), rows.sparkSession
-    low, high = rows.agg(F.min(F.unix_seconds(time)), F.max(F.unix_seconds(time))).first()
-    rows.limit(0).write.parquet(path)
-    for k in range(parts if low is not None else 0):
-        a, b = (low + (high + 1 - low) * (k + e) // parts for e in (0, 1))
-        rows.filter(F.unix_seconds(time).between(a, b - 1)).coalesce(1).write.mode("append").parquet(path)
-    return path
+FILE_ROWS = 250_000
 
 
-def streamed(rows: DataFrame, time: str, parts: int) -> DataFrame:
-    """rows as a stream, a file of replay_files at a time."""
-    path = replay_files(rows, time, parts)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def replay_files(rows: DataFrame, time: str, parts: int, file_rows: int = FILE_ROWS) -> tuple[str, int]:
+    """rows as `parts` equal spans of time, one written after the other, as a feed would leave them. The path, and how many files each span
+    has, so that a trigger can take up a span: about file_rows rows a file, for no task should write or read a whole span.
+
+    rows are read twice, so they should be a table of files: for the ends of time, and to lie by span in a table of their own, from which
+    the spans are written in order."""
+    spark = rows.sparkSession
+    path, staged = new_path(spark), new_path(spark)
+    low, high, n = rows.agg(F.min(F.unix_seconds(time)), F.max(F.unix_seconds(time)), F.count("*")).first()
+    none = rows.limit(0).coalesce(1)
+    if low is None:
+        none.write.parquet(path)
+        return path, 1
+    files = max(1, -(-n // (parts * file_rows)))
+    span = F.floor(((F.unix_seconds(time) - low + 1) * parts - 1) / (high + 1 - low)).cast("int")  # ends of spans are rounded down
+    rows.withColumn("_span", span).filter("_span IS NOT NULL").write.partitionBy("_span").parquet(staged)
+    known = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_span", T.IntegerType())])).parquet(staged)
+    for k in range(parts):
+        part = known.filter(F.col("_span") == k).drop("_span")
+        (part.repartitionByRange(files, time) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - _data_files(spark, path)):  # a span of few times
+            none.write.mode("append").parquet(path)
+    return path, files
+
+
+def _data_files(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sum(f.getPath().getName().startswith("part-") for f in found)
+
+
+def streamed(rows: DataFrame, time: str, parts: int, file_rows: int = FILE_ROWS) -> DataFrame:
+    """rows as a stream, a span of replay_files at a time."""
+    path, files = replay_files(rows, time, parts, file_rows)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def outcome(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
