@@ -261,3 +261,14 @@ def test_library_stands_without_the_corpus_subpackage():
 
     root = pathlib.Path(__file__).parent.parent / "tickloom"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "tickloom.llm" in p.read_text()]
+
+
+def test_label_paths_are_made_rows_after_the_last_exchange(spark):
+    """Eight horizons cost no exchange of eight rows a bar, and candidates that repeat keep their rows."""
+    bars = make_bars(spark, run_of(200))
+    ask = spark.createDataFrame([("I", "s", T0 + timedelta(minutes=m)) for m in (5, 5, 9, 190)], "instrument string, source string, prediction_time_utc timestamp").withColumns({c: F.lit(bars.first()[c]) for c in ("instrument", "source")})
+    found = labels.build_labels(bars, ask, labels.HORIZONS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    rows = [(int((r.prediction_time_utc - T0).total_seconds() // 60), r.horizon_minutes) for r in found.collect()]
+    assert sorted(rows) == sorted([(m, h) for m in (5, 5, 9, 190) for h in labels.HORIZONS if m + 1 + h < 200])

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.bars import BPS, class_id, price, return_class
 from tickloom.operators.segments import with_segments, within_segment
-from tickloom.schema import SERIES, later
+from tickloom.schema import PRICES, SERIES, later
 
 HORIZONS = (3, 6, 9, 12, 15, 30, 60, 180)
 
 
-def paths(minutes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """For each minute bar as an entry: for each horizon the exit open and what lies between. A run has no gap, so `H` rows
-    ahead in a run is `H` minutes ahead; frames that reach past the run's end count too few rows and give null."""
+def paths(minutes: DataFrame, entries: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """For each entry (series, entry_time_utc, asked: how often) that is a minute bar, and for each horizon: the exit open and what lies between.
+    Bars are marked before their frames are made, so only they are exchanged, not eight paths of each. A run has no gap, so `H` rows ahead in a run is `H` minutes ahead; frames that reach past the run's end count too few rows and give null."""
     w = within_segment()
-    base = with_segments(minutes, 60).withColumn("_r", BPS * (F.log(price("open")) - F.log(F.lag(price("open")).over(w))))
+    asked = minutes.select(*SERIES, "timestamp_open_utc", *PRICES).join(entries.withColumnRenamed("entry_time_utc", "timestamp_open_utc"), [*SERIES, "timestamp_open_utc"], "left")
+    base = with_segments(asked, 60).withColumn("_r", BPS * (F.log(price("open")) - F.log(F.lag(price("open")).over(w))))
     out = {}
     for h in horizons:
         ahead, after = w.rowsBetween(0, h - 1), w.rowsBetween(1, h)
         out[f"p{h}"] = F.struct(F.lead(price("open"), h).over(w).alias("exit_open"), F.max("bid_high").over(ahead).alias("high"), F.min("bid_low").over(ahead).alias("low"), F.sum(F.col("_r") * F.col("_r")).over(after).alias("variance"))
     wide = base.withColumns(out)
-    return wide.select(*SERIES, F.col("timestamp_open_utc").alias("entry_time_utc"), price("open").alias("entry_bid_open"), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_minutes"), f"p{h}.*") for h in horizons])).alias("p")).select("*", "p.*").drop("p").filter("exit_open IS NOT NULL")
+    each = F.array(*[F.struct(F.lit(h).alias("horizon_minutes"), f"p{h}.*") for h in horizons])
+    found = wide.filter("asked IS NOT NULL").select(*SERIES, F.col("timestamp_open_utc").alias("entry_time_utc"), price("open").alias("entry_bid_open"), F.inline(F.flatten(F.array_repeat(each, F.col("asked").cast("int")))))
+    return found.filter("exit_open IS NOT NULL")
 
 
 def build_labels(minutes: DataFrame, candidates: DataFrame, horizons: tuple[int, ...] = (15,), latency_minutes: int = 1, threshold_bps: float = 6.0, guard: str | None = None) -> DataFrame:
@@ -31,8 +34,8 @@ def build_labels(minutes: DataFrame, candidates: DataFrame, horizons: tuple[int,
     Entry and exit must be bars of one run, H bars apart; a path that ends at or after a guard is dropped, but
     only where a caller asks for one (splits.require_before raises instead). Returns, range and realized volatility are in bps; the class is neutral within the threshold, bounds included.
     """
-    entries = candidates.select(*SERIES, "prediction_time_utc").withColumn("entry_time_utc", later(F.col("prediction_time_utc"), latency_minutes))
-    found = entries.join(paths(minutes, horizons), [*SERIES, "entry_time_utc"]).withColumn("label_end_time_utc", later(F.col("entry_time_utc"), F.col("horizon_minutes")))
+    entries = candidates.select(*SERIES, later(F.col("prediction_time_utc"), latency_minutes).alias("entry_time_utc")).groupBy(*SERIES, "entry_time_utc").agg(F.count("*").alias("asked"))
+    found = paths(minutes, entries, horizons).withColumns({"prediction_time_utc": later(F.col("entry_time_utc"), -latency_minutes), "label_end_time_utc": later(F.col("entry_time_utc"), F.col("horizon_minutes"))})
     ratio = F.col("exit_open") / F.col("entry_bid_open")
     future = BPS * (F.log("exit_open") - F.log("entry_bid_open"))
     if guard is not None:
