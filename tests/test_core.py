@@ -272,3 +272,17 @@ def test_label_paths_are_made_rows_after_the_last_exchange(spark):
     assert plan.index("Generate") < plan.index("Join")
     rows = [(int((r.prediction_time_utc - T0).total_seconds() // 60), r.horizon_minutes) for r in found.collect()]
     assert sorted(rows) == sorted([(m, h) for m in (5, 5, 9, 190) for h in labels.HORIZONS if m + 1 + h < 200])
+
+
+def test_medians_from_brackets_are_exact(spark):
+    """As F.percentile has it, by group, with nulls, ties, NaN, groups of one value and none, and no sketch of a group's different values."""
+    from tickloom.operators import splits
+
+    h = F.xxhash64("id") % 1_000_003
+    rows = spark.range(30_001).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 != 0, h / 7.0).alias("a"), F.when(F.col("id") % 3 == 1, F.col("id") % 2).otherwise(h % 5).cast("double").alias("b"), F.when(F.col("id") % 3 != 2, F.when(F.col("id") % 2 == 0, float("nan")).otherwise(h)).alias("c"))
+    rows = rows.unionByName(rows.limit(1).withColumn("g", F.lit(9).cast("long"))).unionByName(rows.limit(2).withColumn("g", F.lit(8).cast("long")))
+    names = ["a", "b", "c"]
+    got = splits.with_brackets(rows, names, ["g"]).groupBy("g").agg(*[splits.median(splits.bracketed(n)).alias(n) for n in names])
+    want = rows.groupBy("g").agg(*[F.percentile(n, 0.5).alias(n) for n in names])
+    assert got.count() == 5 and got.exceptAll(want).count() == 0
+    assert "percentile(" not in splits.impute_scale_stats(rows, names)._jdf.queryExecution().optimizedPlan().toString()

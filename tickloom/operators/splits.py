@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.scratch import written
+
 
 @dataclass(frozen=True)
 class Block:
@@ -101,12 +103,48 @@ def require_before(rows: DataFrame, guard: datetime) -> DataFrame:
     return rows
 
 
+def _ordered(name: str) -> Column:
+    """Values for sketches and comparisons: NaN, which is larger than any, as infinity."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(float("inf")))
+
+
+def with_brackets(rows: DataFrame, names: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows with <name>__b, for each group two values that its median lies between, closely: what medians() needs."""
+    near = rows.groupBy(*by).agg(*[F.percentile_approx(_ordered(n), [0.499, 0.501], 10_000).alias(f"{n}__b") for n in names])
+    return rows.join(F.broadcast(near), by) if by else rows.join(F.broadcast(near))
+
+
+def bracketed(name: str) -> Column:
+    """An aggregate of with_brackets' rows for median(): how many values are there, below and at the lower end, at the upper end, and the
+    few between them. So no task holds a group's different values, as F.percentile does."""
+    x, low, high = _ordered(name), F.col(f"{name}__b")[0], F.col(f"{name}__b")[1]
+    inside = F.array_sort(F.collect_list(F.when((x > low) & (x < high), x)))
+    return F.struct(F.count(x).alias("n"), F.count_if(F.isnan(name)).alias("nan"), F.count_if(x < low).alias("below"), F.count_if(x == low).alias("low"), F.count_if(x == high).alias("high"), F.min(low).alias("a"), F.min(high).alias("b"), inside.alias("inside"))
+
+
+def median(m: Column) -> Column:
+    """The exact median that F.percentile gives, from bracketed(): null where nothing is there."""
+    first = m["below"] + m["low"]
+
+    def at(rank: Column) -> Column:
+        place = rank - first
+        return (
+            F.when(rank >= m["n"] - m["nan"], float("nan")).when((rank >= m["below"]) & (rank < first), m["a"]).when((place >= 0) & (place < F.size(m["inside"])), F.get(m["inside"], place.cast("int")))
+            .when((place >= F.size(m["inside"])) & (place < F.size(m["inside"]) + m["high"]), m["b"]).otherwise(F.raise_error(F.lit("a median lies outside its bracket")).cast("double"))
+        )
+
+    low, high = at(F.floor((m["n"] - 1) / 2)), at(F.floor(m["n"] / 2))
+    return F.when(m["n"] > 0, F.when(low == high, low).otherwise(0.5 * low + 0.5 * high))
+
+
 def impute_scale_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     """(feature, median, mean, scale) of the given rows only: exact median of what is there, then mean and population
-    deviation of the imputed values; a scale of 0 counts as 1. One pass: what imputing does to mean and deviation follows from the
-    number of missing values, the median, and the moments of what is there."""
-    sums = lambda n: [F.percentile(n, 0.5).alias(f"{n}__m"), F.count(n).alias(f"{n}__n"), F.avg(n).alias(f"{n}__a"), F.stddev_pop(n).alias(f"{n}__s")]
+    deviation of the imputed values; a scale of 0 counts as 1. What imputing does to mean and deviation follows from the
+    number of missing values, the median, and the moments of what is there. Two passes over the features, which are written once."""
+    rows = with_brackets(written(rows.select(*names)), names)
+    sums = lambda n: [bracketed(n).alias(f"{n}__k"), F.count(n).alias(f"{n}__n"), F.avg(n).alias(f"{n}__a"), F.stddev_pop(n).alias(f"{n}__s")]
     wide = rows.agg(F.count("*").alias("__all"), *[x for n in names for x in sums(n)])
+    wide = wide.withColumns({f"{n}__m": median(F.col(f"{n}__k")) for n in names})
 
     col = lambda n, k: F.col(f"{n}__{k}")
     share = {n: F.try_divide(col(n, "n"), F.col("__all")) for n in names}

@@ -24,7 +24,7 @@ from tickloom.functions.bars import BPS, CLASSES
 from tickloom.operators import backtest, metrics
 from tickloom.operators.contracts import require_allowed
 from tickloom.operators.features import FEATURES
-from tickloom.operators.splits import Fold
+from tickloom.operators.splits import Fold, bracketed, median, with_brackets
 from tickloom.scratch import written
 
 # The candidates of each family, C or the penalty.
@@ -118,22 +118,24 @@ def marked_blocks(rows: DataFrame, folds: list[Fold], names: list[str], gap_minu
 
 def block_statistics(blocks: Blocks, names: list[str] | None = None) -> dict[str, dict]:
     """For each training block its rows, those of each class, their mean returns, its last label's end, and per feature the exact median of
-    what is there and mean and population deviation of the imputed values (0 counts as 1). One grouped pass; a row a block comes back."""
+    what is there and mean and population deviation of the imputed values (0 counts as 1). Two grouped passes; a row a block comes back."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(len(blocks.trains) - 1)), lambda k: F.getbit("mask_train", k) == 1)
     long = blocks.table.filter("mask_train != 0").select("x", *TARGETS, "label_end_time_utc", F.explode(bits).alias("block"))
     y, r = F.col("target_class_id"), F.col("arithmetic_return_bps")
-    x = [F.col("x")[i] for i in range(len(blocks.names))]
-    per = [F.coalesce(s.cast("double"), F.lit(0.0)) for v in x for s in (F.percentile(v, 0.5), F.count(v), F.avg(v), F.stddev_pop(v))]
+    places = [f"x{i}" for i in range(len(blocks.names))]
+    long = with_brackets(long.select("*", *[F.col("x")[i].alias(v) for i, v in enumerate(places)]).drop("x"), places, ["block"])
+    medians = F.array(*[F.coalesce(median(bracketed(v)), F.lit(0.0)) for v in places])
+    per = [F.coalesce(s.cast("double"), F.lit(0.0)) for v in places for s in (F.count(v), F.avg(v), F.stddev_pop(v))]
     classes = [F.count_if(y == c) for c in range(len(CLASSES))]
     returns = [F.coalesce(F.avg(F.when(y == c, r)), F.lit(0.0)) for c in range(len(CLASSES))]
-    said = long.groupBy("block").agg(F.count("*").alias("n"), F.array(*classes).alias("classes"), F.array(*returns).alias("returns"), F.array(*per).alias("per"), F.date_format(F.max("label_end_time_utc"), "yyyy-MM-dd HH:mm:ss").alias("until"))
+    said = long.groupBy("block").agg(F.count("*").alias("n"), F.array(*classes).alias("classes"), F.array(*returns).alias("returns"), F.array(*per).alias("per"), medians.alias("medians"), F.date_format(F.max("label_end_time_utc"), "yyyy-MM-dd HH:mm:ss").alias("until"))
     found = {}
     for row in said.collect():
-        median, there, mean, spread = np.array(row.per).reshape(-1, 4).T
-        share = there / row.n
-        whole = share * mean + (1 - share) * median
-        scale = np.sqrt(share * (spread**2 + (mean - whole) ** 2) + (1 - share) * (median - whole) ** 2)
-        found[blocks.trains[row.block]] = {"n": row.n, "classes": np.array(row.classes, dtype=float), "returns": np.array(row.returns), "prepare": np.array([median, whole, np.where(scale > 0, scale, 1.0)]), "until": row.until}
+        there, mean, spread = np.array(row.per).reshape(-1, 3).T
+        middle, share = np.array(row.medians), there / row.n
+        whole = share * mean + (1 - share) * middle
+        scale = np.sqrt(share * (spread**2 + (mean - whole) ** 2) + (1 - share) * (middle - whole) ** 2)
+        found[blocks.trains[row.block]] = {"n": row.n, "classes": np.array(row.classes, dtype=float), "returns": np.array(row.returns), "prepare": np.array([middle, whole, np.where(scale > 0, scale, 1.0)]), "until": row.until}
     return found
 
 
