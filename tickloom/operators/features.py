@@ -78,10 +78,12 @@ def price_names(timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...]
     return [f"p7_{timeframe}_{n}" for n in (*names, f"distance_to_sma_{longest}_bps", f"price_zscore_{longest}", f"breakout_position_{longest}")]
 
 
-def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...] = (1, 2, 3), start: str | None = None) -> DataFrame:
+def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags: tuple[int, ...] = (1, 2, 3), start: str | None = None, asked: tuple[int, int] | None = None) -> DataFrame:
     """Features p7_<timeframe>_* of one timeframe: returns, shapes, momentum and volatility for each window, and distance to
     the mean, z-score and breakout for the longest. Rows with any null are left out before any as-of join, so that an
-    older bar can match instead. start: a column for the open of the first bar that the row looks at."""
+    older bar can match instead. start: a column for the open of the first bar that the row looks at.
+    asked: (step, tolerance) in seconds of an as-of join whose times all stand on a grid of that step; rows that no such time can match, for it is too late
+    or the run's next row is there by then, are left out."""
     w, longest = within_segment(), max(windows)
     base = with_segments(bars, seconds(timeframe)).withColumn("_r", log_return(w))
     values = [F.col("_r"), *[F.lag("_r", k).over(w) for k in lags], *shapes().values()]
@@ -91,6 +93,14 @@ def price_block(bars: DataFrame, timeframe: str, windows: tuple[int, ...], lags:
     names = price_names(timeframe, windows, lags)
     out = base.withColumns(dict(zip(names, values, strict=True)) | {"_start": F.lag(OPEN, max(max(lags) + 1, longest)).over(w)})
     extra = [F.col("_start").alias(start)] if start else []
+    if asked:
+        step, tolerance = asked
+        whole, at = F.col("_start").isNotNull(), F.unix_micros("timestamp_close_utc")
+        for n in names:
+            whole = whole & F.col(n).isNotNull() & ~F.isnan(n)
+        wait = F.pmod(-at, F.lit(step * 1_000_000))
+        replaced = F.coalesce(F.lead("_whole").over(w), F.lit(False)) & (F.lit(seconds(timeframe) * 1_000_000) <= wait)
+        out = out.withColumn("_whole", whole).withColumn("_taken", (wait <= tolerance * 1_000_000) & ~replaced).filter("_taken")
     return out.na.drop(subset=[*names, "_start"]).select(*SERIES, F.col("timestamp_close_utc").alias("available_at_utc"), *extra, *names)
 
 

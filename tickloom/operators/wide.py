@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.bars import sessions
 from tickloom.operators import asof, benchmark, features, resample
-from tickloom.schema import REQUIRED, SERIES, seconds
+from tickloom.operators.segments import days_together
+from tickloom.schema import PRICES, REQUIRED, SERIES, seconds
 from tickloom.scratch import written
 
 # The windows of each timeframe, in its bars.
@@ -27,15 +28,18 @@ def feature_table(minutes: DataFrame, windows: dict[str, tuple[int, ...]] = WIND
     looks at), feature_available_at_utc, asof_<timeframe>_utc, and all features of feature_sets(). A timeframe's values are those of its latest bar closed by
     then and at most `staleness` bars old, else null; rows are never dropped for what a timeframe lacks.
 
-    Minute bars and anchors are written once and read for every timeframe; all timeframes meet in one exchange.
+    Minute bars and anchors are written once and read for every timeframe; all timeframes, and the regimes as one more table whose rows are as old as
+    the anchors, meet in one exchange, where only bars enter that an anchor can take.
     """
-    bars = written(minutes.select(*REQUIRED))
-    made = {t: bars if t == "1min" else written(resample.resample(bars, t)) for t in {*windows, ANCHOR}}  # each is read twice: runs, and days of runs
+    bars = written(days_together(minutes.select(*REQUIRED)))
+    read = [*SERIES, "timestamp_open_utc", "timestamp_close_utc", *PRICES]
+    made = {t: bars if t == "1min" else written(resample.resample(bars, t).select(*read)) for t in {*windows, ANCHOR}}  # each is read twice: runs, and days of runs
     of = made.__getitem__
     anchors = written(features.mvp_features(of(ANCHOR)).drop("seg"))
-    blocks = {t: (features.price_block(of(t), t, w, start=f"_start_{t}"), [f"_start_{t}", *features.price_names(t, w)], int(seconds(t) * staleness)) for t, w in windows.items()}
+    fresh = {t: int(seconds(t) * staleness) for t in windows}
+    blocks = {t: (features.price_block(of(t), t, w, start=f"_start_{t}", asked=(seconds(ANCHOR), fresh[t])), [f"_start_{t}", *features.price_names(t, w)], fresh[t]) for t, w in windows.items()}
+    blocks["regime"] = (features.regimes(anchors.withColumn("seg", F.lit(0))).withColumnRenamed("prediction_time_utc", "available_at_utc"), REGIMES, 0)
     joined = asof.asof_many(anchors, blocks)
-    joined = joined.join(features.regimes(anchors.withColumn("seg", F.lit(0))), [*SERIES, "prediction_time_utc"])
     joined = joined.withColumns(sessions(F.col("prediction_time_utc")))
     earliest = F.least("feature_window_start_utc", *[F.col(f"_start_{t}") for t in windows])
     ordered = list(dict.fromkeys(n for names in feature_sets(windows).values() for n in names))
