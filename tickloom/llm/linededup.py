@@ -9,6 +9,7 @@ blocks, the pigeonhole's, whatever bits of the others differ.
 from __future__ import annotations
 
 from itertools import combinations
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ from tickloom.llm.components import connected_components
 LANE_WORDS, LANE_MOST = 60_000, 127  # words of a line counted together: as many as asked for, no more than a lane can count
 EACH = 0x0001_0001_0001_0001
 BLOCKS = 4
-CLOSE_BANDS = (8, 32, 128, 512, 2048, 8192)
+CLOSE_BANDS = (128, 2048)
+#: What becomes one space, line feeds aside: all between letters but a lone space, which may stay. Letters a to z are told first.
+BETWEEN = r"[^a-z\n\p{L}](?:[^a-z\n\p{L}]++|(?<! ))".replace("a-z", ascii_lowercase)
 
 
 def normalised(line: Column) -> Column:
     """Lower-case letters; all between them, digits too, as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), BETWEEN, " "))
 
 
 def long_(x: int) -> Column:
@@ -66,7 +69,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row for each line of at least min_chars normalised characters: where it stands, two hashes and its normalised form.
     A text is normalised whole, its line feeds kept; only its ends are trimmed line by line. Single spaces stay as they are, so
     most words cost no replacement."""
-    forms = F.regexp_replace(F.lower("text"), r"[^\p{L}\n ][^\p{L}\n]*| [^\p{L}\n]+", " ")
+    forms = F.regexp_replace(F.lower("text"), BETWEEN, " ")
     lines = docs.select("doc_id", ROW, F.posexplode(F.split(forms, "\n")).alias("ln", "line"))
     once = lines.select("doc_id", ROW, "ln", F.trim("line").alias("norm")).filter(F.length("norm") >= min_chars)
     return once.select("doc_id", ROW, "ln", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
@@ -106,17 +109,65 @@ def texts_of(met: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     return cut.select("all", F.inline("places")).select("lid", normalised(F.col("all")[F.col("ln")]).alias("norm"))
 
 
+def same_from_start(a: Column, b: Column) -> Column:
+    """How many words two lists have alike before the first that differs."""
+    return F.array_position(F.concat(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.array(F.lit(False))), False).cast("int") - 1
+
+
+def word_by_word(a: Column, b: Column) -> Column:
+    """Letters that turn one list of words into the other if each word is turned into the one at its place; words beyond the shorter
+    list count with their space. No edit distance of the lines is greater."""
+    letters = lambda x, y: F.when(x.isNull(), F.length(y) + 1).when(y.isNull(), F.length(x) + 1).when(x == y, 0).otherwise(F.levenshtein(x, y))
+    return F.aggregate(F.zip_with(a, b, letters), F.lit(0), lambda total, n: total + n)
+
+
+def word_after_word(a: Column, b: Column) -> Column:
+    """As word_by_word, but a word that one of the next two of the other list equals waits for it, and those before that one go, each with its
+    space. So words put in or left out don't move all that follow."""
+
+    def step(t: Column, _: Column) -> Column:
+        (x, x1, x2), (y, y1, y2) = ([F.get(w, at + k) for k in range(3)] for w, at in ((a, t.i), (b, t.j)))
+        to = lambda i, j, letters: F.struct((t.i + i).alias("i"), (t.j + j).alias("j"), (t.n + letters).alias("n"))
+        turned = F.when(x.isNull() & y.isNull(), t).when(x == y, to(1, 1, 0))
+        turned = turned.when(y.isNull() | (x1 == y), to(1, 0, F.length(x) + 1)).when(x.isNull() | (x == y1), to(0, 1, F.length(y) + 1))
+        turned = turned.when(x1 == y1, to(1, 1, F.levenshtein(x, y))).when(x2 == y, to(1, 0, F.length(x) + 1)).when(x == y2, to(0, 1, F.length(y) + 1))
+        return turned.otherwise(to(1, 1, F.levenshtein(x, y)))
+
+    start = F.struct(*[F.lit(0).alias(c) for c in ("i", "j", "n")])
+    return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, step, lambda t: t.n)
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often later ones and filters name them."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose lines have edit similarity 1 - distance / longer length, in letters, of at least `similarity`."""
+    """Pairs (a, b) whose lines have edit similarity 1 - distance / longer length, in letters, of at least `similarity`.
+
+    The words that both lines begin and end with are left out, which leaves the distance as it is. What remains is first turned word
+    by word, then with words put in or left out: where that takes no more letters than allowed, the lines are alike. Only the others
+    are compared as strings.
+    """
     side = lambda e: texts.withColumnRenamed("norm", f"t{e}")
     both = skew_join(skew_join(pairs.withColumn("lid", F.col("b")), side("b"), ["lid"]).withColumn("lid", F.col("a")), side("a"), ["lid"])
     la, lb = F.length("ta"), F.length("tb")
     allowed = F.floor((1 - F.lit(similarity)) * F.greatest(la, lb) + 1e-9).cast("int")
-    within = lambda most: F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0
-    close = within(allowed)
-    for band in reversed(CLOSE_BANDS):  # narrow bands tell most pairs, at less work
-        close = ((allowed > band) & within(F.lit(band))) | close
-    return both.filter((F.abs(la - lb) <= allowed) & close).select("a", "b")
+    cut = held(both.filter(F.abs(la - lb) <= allowed), allowed=allowed, wa=F.split("ta", " "), wb=F.split("tb", " ")).drop("ta", "tb")
+    ends = held(cut, before=same_from_start(F.col("wa"), F.col("wb")), after=same_from_start(F.reverse("wa"), F.reverse("wb")))
+    after = F.least("after", F.least(F.size("wa"), F.size("wb")) - F.col("before"))
+    middle = lambda w: F.slice(w, F.col("before") + 1, F.size(w) - F.col("before") - after)
+    left = held(ends, wa=middle("wa"), wb=middle("wb"))
+    turned = held(left, most=word_by_word(F.col("wa"), F.col("wb")))
+    most = held(turned, most=F.when(F.col("most") <= F.col("allowed"), F.col("most")).otherwise(word_after_word(F.col("wa"), F.col("wb"))))
+    spaced = lambda w: F.when((F.col("most") > F.col("allowed")) & (F.size(w) > 0), F.concat(F.array_join(w, " "), F.lit(" "))).otherwise("")
+    asked = held(most, ta=spaced("wa"), tb=spaced("wb"))
+    within = lambda n: F.call_function("levenshtein", F.col("ta"), F.col("tb"), n) >= 0
+    close = within(F.col("allowed"))
+    for band in reversed(CLOSE_BANDS):  # a narrow band tells long lines at less work
+        close = ((F.col("allowed") > 4 * band) & within(F.lit(band))) | close
+    return asked.filter((F.col("most") <= F.col("allowed")) | close).select("a", "b")
 
 
 def grouped(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
